@@ -133,6 +133,7 @@ def best_fit_pack(items: DataFrame, order: list[str], capacity: int = CAPACITY)
     keys = plan[:, 0] * (1 << 42) + plan[:, 1]
     by_key = np.argsort(keys, kind="stable")
     keys, plan = keys[by_key], plan[by_key]
+    columns = items.columns
 
     def place(batches):
         for b in batches:
@@ -140,7 +141,7 @@ def best_fit_pack(items: DataFrame, order: list[str], capacity: int = CAPACITY)
             p = plan[np.searchsorted(keys, length * (1 << 42) + rank, side="right") - 1]
             k = rank - p[:, 1]
             sequence, offset = p[:, 2] + k // np.maximum(p[:, 4], 1), p[:, 3] + k % np.maximum(p[:, 4], 1) * length
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in items.columns), pa.array(sequence), pa.array(offset)], names=[*items.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
     return ranked.select(*items.columns, F.col("rank").cast("long")).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
