@@ -56,12 +56,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(h: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(sequence, start in it, windows, key, hash of the covered symbols) of all runs of sequences that lie in ``h`` one after another."""
-    empty = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """(sequence, start in it, windows, key, hash of the covered symbols, key found twice) of all runs of sequences that lie in ``h`` one after another.
+
+    A run can only match itself if the gram of its key is there twice.
+    """
+    empty = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.bool_))
     if len(h) < width:
         return empty
     r = Rolling(h)
-    key = sliding_min(r.grams(gram), width - gram + 1)
+    all_ = r.grams(gram)
+    key = sliding_min(all_, width - gram + 1)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     inside = owner[: len(key)] == owner[width - 1 :]
     new = np.ones(len(key), dtype=bool)
@@ -74,7 +78,9 @@ def runs(h: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> tuple[np.nd
     stop = np.append(edge, len(key))[np.searchsorted(edge, start, side="right")]
     begin = np.cumsum(sizes) - sizes
     own = owner[start]
-    return own, start - begin[own], stop - start, key[start], r.stretches(start, stop + width - 1)
+    ends = (stop + width - gram).tolist()
+    twice = np.fromiter((np.count_nonzero(all_[i:j] == k) > 1 for i, j, k in zip(start.tolist(), ends, key[start], strict=True)), dtype=np.bool_, count=len(start))
+    return own, start - begin[own], stop - start, key[start], r.stretches(start, stop + width - 1), twice
 
 
 def covered(hit: np.ndarray, width: int) -> np.ndarray:

@@ -99,7 +99,7 @@ def _run_rows(batches):
     for b in chunks(batches):
         split = [t.split() for t in text_bytes(b.column("text"))]
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        own, start, n, key, g = runs(hashes.of(list(chain.from_iterable(split))), sizes, WINDOW, GRAM)
+        own, start, n, key, g, _ = runs(hashes.of(list(chain.from_iterable(split))), sizes, WINDOW, GRAM)
         at = pa.array(own)
         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(key.view(np.int64)), pa.array(g.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "th", "key", "g", "start", "n"])
 
