@@ -39,11 +39,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` long, ``text`` string, ``th`` long: the only columns the operators pass on."""
+def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``doc_id`` long, ``text`` string, ``th`` long, and the columns to keep as _k0, _k1 and so on."""
     ship(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *(F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep or [])))
+
+
+def kept_schema(d: DataFrame) -> str:
+    """The kept columns of ``rows`` as the end of a schema."""
+    return "".join(f", {c} {t}" for c, t in d.dtypes if c.startswith("_k"))
+
+
+def with_kept(batch: pa.RecordBatch, arrays: list, names: list[str]) -> pa.RecordBatch:
+    """A batch of new columns followed by the kept ones of the batch they were made from."""
+    kept = [c for c in batch.schema.names if c.startswith("_k")]
+    return pa.RecordBatch.from_arrays([*arrays, *(batch.column(c) for c in kept)], names=[*names, *kept])
 
 
 def shared_folder(spark: SparkSession) -> str:

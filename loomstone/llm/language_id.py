@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, ship
+from .common import chunks, documents, kept_schema, rows, ship, with_kept
 
 PER_LANG = 1000
 LONGEST = 20_000
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(list(found), list(found.values()))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (its share of the letters) and, if asked for, spans (lang, first_word, n_words)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -210,10 +210,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [len(label)]]).tolist()
                     parts.append([{"lang": m.langs[label[i]], "first_word": i, "n_words": j - i} for i, j in zip(cut, cut[1:], strict=False)])
             columns = [b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + [pa.array(parts, kind)] * spans
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "spans"][: len(columns)])
+            yield with_kept(b, columns, ["doc_id", "lang_pred", "score", "spans"][: len(columns)])
 
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return d.mapInArrow(run, schema)
+    d = rows(docs, id_col, text_col, keep).drop("th")
+    return d.mapInArrow(run, schema + kept_schema(d))
 
 
 def held_out(column="doc_id"):

@@ -12,14 +12,12 @@ row counts as a document, repeated ids too.
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, rows, staged, text_bytes
+from .common import SPACES, chunks, kept_schema, rows, staged, text_bytes, with_kept
 
 MIN_DOCS = 10
 
@@ -51,21 +49,22 @@ def _reassemble(batches):
             else:
                 kept = lines
             out.append((len(lines), len(lines) - len(kept), b"\n".join(kept)))
-        yield pa.RecordBatch.from_arrays(
+        yield with_kept(
+            b,
             [b.column("doc_id"), b.column("th"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())],
-            names=["doc_id", "th", "n_lines", "n_dropped", "kept"],
+            ["doc_id", "th", "n_lines", "n_dropped", "kept"],
         )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, th, n_lines, n_dropped, kept (the text without its frequent lines)."""
-    d = rows(docs, id_col, text_col)
-    lines = staged(d.mapInArrow(_line_rows, "doc_id long, th long, key binary"), "lines")
+    d = rows(docs, id_col, text_col, keep)
+    lines = staged(d.select("doc_id", "th", "text").mapInArrow(_line_rows, "doc_id long, th long, key binary"), "lines")
     frequent = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
     # A copy of a row repeats its keys; collect_set keeps a document's list within its own distinct lines.
     drop = lines.join(frequent, "key", "left_semi").groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_set("key").alias("drop"))
-    both = d.join(drop, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").select("doc_id", "th", "text", "drop")
-    return both.mapInArrow(_reassemble, "doc_id long, th long, n_lines long, n_dropped long, kept string")
+    both = d.join(drop, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").drop("d2", "th2")
+    return both.mapInArrow(_reassemble, "doc_id long, th long, n_lines long, n_dropped long, kept string" + kept_schema(d))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets_for, chunks, documents, rows, staged, text_bytes
+from .common import WordHashes, buckets_for, chunks, documents, kept_schema, rows, staged, text_bytes, with_kept
 from .runs import covered, runs, spans
 
 WINDOW = 50
@@ -151,14 +151,14 @@ def _remove(batches):
         for t, parts in zip(text_bytes(b.column("text")), b.column("gone").to_pylist(), strict=True):
             words = t.split()
             out.append((len(words), *removal(words, parts)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], names=["doc_id", "th", "n_words", "n_removed", "kept"])
+        yield with_kept(b, [b.column("doc_id"), b.column("th"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], ["doc_id", "th", "n_words", "n_removed", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, th, n_words, n_removed, kept (the words left, joined by one space)."""
     spark = docs.sparkSession
-    d = rows(docs, id_col, text_col)
-    found = staged(d.mapInArrow(_run_rows, "doc_id long, th long, key long, g long, start int, n int"), "runs")
+    d = rows(docs, id_col, text_col, keep)
+    found = staged(d.select("doc_id", "th", "text").mapInArrow(_run_rows, "doc_id long, th long, key long, g long, start int, n int"), "runs")
     order = F.coalesce("doc_id", F.lit(LAST))
     # Equal stretches once each: the first document that has them, and whether others do.
     each = found.groupBy("key", "g").agg(F.min(F.struct(order.alias("o"), "th", "start", "n")).alias("first"), (F.min(order) != F.max(order)).alias("again"))
@@ -177,8 +177,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.array(F.lit(0), F.col("n") + F.lit(WINDOW - 1))
     hits = found.join(verdict, ["key", "g"]).withColumn("spans", F.when(order > F.col("first"), whole).otherwise(F.col("spans"))).where("spans is not null")
     gone = hits.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("start", "spans")).alias("gone"))
-    out = d.join(gone, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").select("doc_id", "th", "text", "gone")
-    return out.mapInArrow(_remove, "doc_id long, th long, n_words long, n_removed long, kept string")
+    out = d.join(gone, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").drop("d2", "th2")
+    return out.mapInArrow(_remove, "doc_id long, th long, n_words long, n_removed long, kept string" + kept_schema(d))
 
 
 def remove_reference_spans(docs: DataFrame, reference: list[str], width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
