@@ -7,8 +7,8 @@ ascending and one descending pass.  In a pass a priority queue by first characte
 holds tuples of suffixes whose order is known; what is popped for a character
 induces the tuples of its left neighbours, whole arrays at a time.  Queue contents
 beyond ``QUEUE_BYTES`` lie in an unlinked file of the task's own temporary folder.
-Common prefixes of neighbours in the order are carried as capped lengths, read off
-rolling hashes by halving.
+Common prefixes of neighbours in the order are read off rolling hashes, as capped
+lengths or, where only that matters, as whether they reach the window.
 
 Stretches that can match are brought together first by the keys of their windows
 (see ``runs``), equal ones once each with their number; a shard is a set of keys.
@@ -33,8 +33,10 @@ from .runs import Rolling, covered, runs, spans
 
 WINDOW = 400
 GRAM = 32
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 QUEUE_BYTES = 256 << 20
+#: Bytes of texts that are searched for runs at once: some twenty arrays of eight bytes each.
+RUN_BYTES = 1 << 20
 #: Reduced strings up to this length are sorted in memory.
 BASE = 1 << 24
 
@@ -189,6 +191,16 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
         high[go] = np.where(same, high[go], m - 1)
 
 
+def reaches(t: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """Where common_prefixes(t, order, width) is ``width``, by one comparison each."""
+    a, b = order[1:].astype(np.int64), order[:-1].astype(np.int64)
+    at = np.flatnonzero(np.maximum(a, b) + width <= len(t))
+    grams = Rolling(mixed(t.astype(np.uint64), 13)).grams(width)
+    out = np.zeros(len(order), dtype=bool)
+    out[at + 1] = grams[a[at]] == grams[b[at]]
+    return out
+
+
 def repeated(parts: list[bytes], width: int = WINDOW) -> list[np.ndarray]:
     """For each part, which of its windows of ``width`` bytes start anywhere else in the parts too."""
     t = np.frombuffer(b"\0".join(parts) + b"\0\0", dtype=np.uint8).astype(np.int16)
@@ -199,7 +211,9 @@ def repeated(parts: list[bytes], width: int = WINDOW) -> list[np.ndarray]:
     t = np.where(inside, t + 2, 1)  # byte b is symbol b + 2, a part's end is 1
     t[-1] = 0
     order = suffix_order(t, 258)
-    long_ = common_prefixes(t, order, width) >= width
+    if len(t) <= width:
+        return [np.zeros(max(0, n - width + 1), dtype=bool) for n in size.tolist()]
+    long_ = reaches(t, order, width)
     hit = np.zeros(len(t), dtype=bool)
     hit[order[long_]] = True
     hit[order[np.append(long_[1:], False)]] = True
@@ -212,7 +226,7 @@ def _symbols() -> np.ndarray:
 
 
 def _run_rows(batches):
-    for b in chunks(batches):
+    for b in chunks(batches, most=RUN_BYTES):
         texts = text_bytes(b.column("text"))
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         own, start, n, key, g, twice = runs(_symbols()[np.frombuffer(b"".join(texts), dtype=np.uint8)], sizes, WINDOW, GRAM)
