@@ -152,9 +152,24 @@ def _common(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return token[keep], sig[keep]
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    sig, count = np.unique(_common(table)[1], return_counts=True)
-    return pa.table({"s1": pa.array(sig, pa.int64()), "shared": pa.array(count, pa.int64())})
+def _shared_counts(parts: int):
+    """How many shared tokens of a bucket each set has, dealt out by set: one row for each part, not for each set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, count = np.unique(_common(table)[1], return_counts=True)
+        part = (mixed(sig.view(np.uint64), 10) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        sig, count, part = sig[by], count[by].astype(np.int64), part[by]
+        edge = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]]).tolist()
+        return pa.table({"part": pa.array(part[edge[:-1]], pa.int32()), "sigs": pa.array([sig[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary()), "counts": pa.array([count[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary())})
+
+    return run
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    sig, count = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int64) for c in ("sigs", "counts"))
+    sig, at = np.unique(sig, return_inverse=True)
+    return pa.table({"s1": pa.array(sig), "shared": pa.array(np.bincount(at, weights=count, minlength=len(sig)).astype(np.int64))})
 
 
 def _stars(table: pa.Table) -> pa.Table:
@@ -173,6 +188,12 @@ def _by_bucket(sets: DataFrame, order: int, n_buckets: int, what, schema: str) -
     return dealt.groupBy("bucket").applyInArrow(what, schema)
 
 
+def _shared(sets: DataFrame, n_buckets: int) -> DataFrame:
+    """s1 and the number of its tokens that other sets have."""
+    parts = _by_bucket(sets, 0, n_buckets, _shared_counts(n_buckets), "part int, sigs binary, counts binary")
+    return parts.groupBy("part").applyInArrow(_add_counts, "s1 long, shared long")
+
+
 class Postings:
     """Posting lists of the sets not reached yet; lists shrink as the sets are reached."""
 
@@ -280,7 +301,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     total = sets.agg(F.sum(F.length("tokens"))).first()[0] or 0
     # First order: of a linked set's prefix at least a tenth of the set is shared with others.
-    count = _by_bucket(sets.where("tokens is not null"), 0, buckets_for(spark, total / 8, TOKENS_A_BUCKET), _shared_counts, "s1 long, shared long").groupBy("s1").agg(F.sum("shared").alias("shared"))
+    count = _shared(sets.where("tokens is not null"), buckets_for(spark, total / 8, TOKENS_A_BUCKET))
     left = classes.join(count, "s1").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
     left = left.select("s1", "s2", "n", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
     found = d.join(left, d.doc_id.eqNullSafe(F.col("rid")) & (d.th == F.col("rth"))).select("s1", "s2", "n", "text")
@@ -288,7 +309,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = whole.agg(F.sum("n")).first()[0] or 0
     # All tokens: a linked set shares at least its least overlap with others.
     n_buckets = buckets_for(spark, total, TOKENS_A_BUCKET)
-    count = _by_bucket(whole, 0, n_buckets, _shared_counts, "s1 long, shared long").groupBy("s1").agg(F.sum("shared").alias("shared"))
+    count = _shared(whole, n_buckets)
     near = staged(whole.join(count, "s1").where(F.col("shared") >= F.ceil(F.col("n") * LIKE / 100)).select("s1", "n", "tokens"), "near")
     # Second order: families.
     family = components(_by_bucket(near, 2, n_buckets, _stars, "a long, b long"))
