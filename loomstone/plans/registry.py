@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+
+from .base import QUERIES
+
+FAMILIES = ("access", "text", "delta")
+for _name in FAMILIES:
+    importlib.import_module(f"{__package__}.{_name}")
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["retrieve"][0](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
