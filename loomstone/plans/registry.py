@@ -6,7 +6,7 @@ import importlib
 
 from .base import QUERIES
 
-FAMILIES = ("access", "text", "delta", "search", "guard")
+FAMILIES = ("access", "text", "delta", "search", "guard", "memory", "evaluation")
 for _name in FAMILIES:
     importlib.import_module(f"{__package__}.{_name}")
 
