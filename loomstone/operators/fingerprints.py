@@ -50,8 +50,9 @@ def greedy(rows: DataFrame, group: str, order: str, text_col: str, most: int = 3
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         exact, kept, reasons = set(), [], []
-        for digest, simhash in zip(pdf["digest"], pdf["simhash"], strict=True):
-            near = next((d for k in kept if (d := (k ^ simhash).bit_count()) <= most), None) if pd.notna(simhash) else None
+        for digest, hexed in zip(pdf["digest"], pdf["simhash"], strict=True):
+            bits = int(hexed, 16) if hexed else None  # as hex, for a column of longs with nulls becomes floats
+            near = next((d for k in kept if (d := (k ^ bits).bit_count()) <= most), None) if bits is not None else None
             if digest in exact:
                 reasons.append("exact_duplicate")
             elif near is not None:
@@ -59,12 +60,12 @@ def greedy(rows: DataFrame, group: str, order: str, text_col: str, most: int = 3
             else:
                 reasons.append(None)
                 exact.add(digest)
-                if pd.notna(simhash):
-                    kept.append(int(simhash))
+                if bits is not None:
+                    kept.append(bits)
         return pdf.assign(reason=reasons)[["grp", "pos", "id", "reason"]]
 
     base = rows.select(F.col(group).cast("string").alias("grp"), F.col(order).cast("long").alias("pos"), F.col("id"), F.col(text_col).alias("text"))
-    known = base.join(simhash(base.dropDuplicates(["id"]), "id", "text"), "id", "left").select("grp", "pos", "id", T.exact_hash("text").alias("digest"), "simhash")
+    known = base.join(simhash(base.dropDuplicates(["id"]), "id", "text"), "id", "left").select("grp", "pos", "id", T.exact_hash("text").alias("digest"), T.hex16(F.col("simhash")).alias("simhash"))
     return known.groupBy("grp").applyInPandas(fold, "grp string, pos long, id long, reason string")
 
 

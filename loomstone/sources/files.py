@@ -18,4 +18,4 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*", since: str | N
 
 def texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """uri and text of whole files."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
