@@ -110,7 +110,7 @@ def query_normal(c: str | Column) -> Column:
 def is_abstract(c: str | Column) -> Column:
     """A short question, or one without digits, acronyms, quotes and dotted names."""
     t = F.trim(text_of(c))
-    exact = t.rlike(r"[0-9]") | t.rlike(r"\b[A-Z]{2,}\b") | t.rlike("[\"'`]") | t.rlike(r"[A-Za-z]\.[A-Za-z]")
+    exact = t.rlike(r"[0-9]") | t.rlike(r"(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])") | t.rlike("[\"'`]") | t.rlike(r"[A-Za-z]\.[A-Za-z]")
     return (F.size(F.split(t, r"\s+")) <= 12) | ~exact
 
 

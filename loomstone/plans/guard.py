@@ -77,12 +77,12 @@ def wrap_untrusted(t):
     return turns(t).select("conv_id", "turn", F.md5(F.concat_ws("\n", F.lit("<<<BEGIN>>>"), G.neutral("text"), F.lit("<<<END>>>"))).alias("digest"))
 
 
-_OOD_SQL = """WITH r AS (SELECT o_custkey AS query, o_totalprice / 500000 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+_OOD_SQL = """WITH r AS (SELECT o_custkey AS query, o_totalprice / 499979 AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
 s AS (SELECT query, count(*) AS n, max(score) AS top, avg(score) AS mean, max(score) - min(score) AS spread FROM r WHERE rank <= 5 GROUP BY query)"""
 
 
 def _signals(t):
-    r = t.orders.select(F.col("o_custkey").alias("query"), (F.col("o_totalprice") / 500000).alias("score"), "o_orderkey")
+    r = t.orders.select(F.col("o_custkey").alias("query"), (F.col("o_totalprice") / 499979).alias("score"), "o_orderkey")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "o_orderkey")
     five = r.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     return five.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean"), (F.max("score") - F.min("score")).alias("spread"))

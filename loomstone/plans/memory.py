@@ -13,7 +13,7 @@ from ..functions.text import estimate_tokens
 from ..operators import memory as M
 from .base import NOW, query
 
-TURNS_SQL = r"turns AS (SELECT conv_id, turn, role, text, turn = 0 AS pinned, turn % 4 = 1 AS suppressed, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(greatest(length(text) / 3.6, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) * 1.15)))::BIGINT END AS tokens FROM conversations)"
+TURNS_SQL = r"turns AS (SELECT conv_id, turn, role, text, turn = 0 AS pinned, turn % 4 = 1 AS suppressed, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(greatest(length(text) / 3.6::DOUBLE, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) * 1.15::DOUBLE)))::BIGINT END AS tokens FROM conversations)"
 MEM_SQL = f"""mem AS (SELECT vec_id AS id, vec_id % 40 AS usr, ['fact', 'preference', 'task'][1 + (vec_id % 3)::INT] AS kind, embedding AS vector, (vec_id % 11) / 10.0 AS salience, vec_id % 7 AS hits, {NOW} - 86400 * (vec_id % 60) AS last_used, CASE WHEN vec_id % 5 = 0 THEN {NOW} + 86400 * ((vec_id % 9) - 4) END AS expires FROM embeddings)"""
 
 

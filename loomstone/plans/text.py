@@ -13,7 +13,7 @@ NORM_SQL = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', '
 WORDS_SQL = f"list_filter(string_split({NORM_SQL}, ' '), lambda x: x <> '')"
 
 
-@query("est_tokens", r"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(greatest(length(text) / 3.6, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) * 1.15)))::BIGINT END AS tokens FROM documents")
+@query("est_tokens", r"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(greatest(length(text) / 3.6::DOUBLE, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) * 1.15::DOUBLE)))::BIGINT END AS tokens FROM documents")
 def est_tokens(t):
     return t.documents.select("doc_id", T.estimate_tokens("text").alias("tokens"))
 
@@ -131,7 +131,7 @@ def query_norm(t):
     return t.conversations.select("conv_id", "turn", F.md5(T.query_normal("text")).alias("digest"))
 
 
-_ABSTRACT_SQL = r"""SELECT conv_id, turn, len(regexp_split_to_array(trim(text, ' '), '\s+')) <= 12 OR NOT (regexp_matches(text, '[0-9]') OR regexp_matches(text, '\b[A-Z]{2,}\b')
+_ABSTRACT_SQL = r"""SELECT conv_id, turn, len(regexp_split_to_array(trim(text, ' '), '\s+')) <= 12 OR NOT (regexp_matches(text, '[0-9]') OR regexp_matches(text, '(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])')
   OR regexp_matches(text, '["''`]') OR regexp_matches(text, '[A-Za-z]\.[A-Za-z]')) AS abstract FROM conversations"""
 
 
