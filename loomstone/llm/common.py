@@ -8,6 +8,7 @@ any name do no harm.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -68,9 +69,33 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Tables staged while a scope is open, by scope.
+_SCOPES: dict[tuple, list[str]] = {}
+_OPEN: list[tuple] = []
+
+
+@contextlib.contextmanager
+def scope(key: tuple):
+    """Keeps note of the tables that are staged meanwhile, for ``release``."""
+    _OPEN.append(key)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+
+
+def release(spark: SparkSession, key: tuple) -> None:
+    """Removes the tables staged in a scope whose results have been written elsewhere."""
+    for path in _SCOPES.pop(key, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _SCOPES.setdefault(_OPEN[-1], []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
