@@ -7,11 +7,13 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import jaccard_join, language_id, line_dedup, packing, substring_dedup
-from loomstone.llm.common import documents, staged
+from loomstone.llm.common import documents, release, scope, staged
 
 #: A document is rejected where no language has this share of its letters.
 LEAST_SHARE = 0.5
@@ -19,6 +21,22 @@ LEAST_SHARE = 0.5
 ORACLE_SQL = None
 
 
+def _stage(place: int):
+    """A stage's docs are read from where its predecessor's result was written, so what earlier stages staged can go."""
+
+    def wrap(fn):
+        @functools.wraps(fn)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for k in range(place):
+                release(spark, ("pipeline", sf_dir, k))
+            with scope(("pipeline", sf_dir, place)):
+                return fn(spark, docs, sf_dir)
+
+        return run_stage
+
+    return wrap
+
+
 def _back(out: DataFrame, docs: DataFrame, kept: list[str], new: dict) -> DataFrame:
     """The columns of ``docs`` again: ``new`` ones by name, the others from the kept columns."""
     return out.select(*((new[c] if c in new else F.col(f"_k{kept.index(c)}")).alias(c) for c in docs.columns))
@@ -28,6 +46,7 @@ def _others(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("doc_id",)]
 
 
+@_stage(0)
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those of which no language has half the letters, go; missing labels are filled in."""
     kept = _others(docs)
@@ -36,6 +55,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(out, docs, kept, {"doc_id": F.col("doc_id"), "lang": F.coalesce(F.col(f"_k{kept.index('lang')}"), "lang_pred")})
 
 
+@_stage(1)
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that many documents have."""
     kept = [c for c in _others(docs) if c not in ("text", "n_chars")]
@@ -43,6 +63,7 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(out, docs, kept, {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
 
 
+@_stage(2)
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least id stays."""
     stay = jaccard_join.jaccard_join(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
@@ -51,6 +72,7 @@ def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return left.dropDuplicates(["doc_id", "_h"]).drop("_h")
 
 
+@_stage(3)
 def by_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the stretches of words that an earlier document has; texts that lose nothing stay as they are."""
     kept = [c for c in _others(docs) if c != "n_chars"]
@@ -59,6 +81,7 @@ def by_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _back(out, docs, kept, {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")})
 
 
+@_stage(4)
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
     return packing.pack_documents(docs).drop("th")
