@@ -1,10 +1,12 @@
 """Scores of texts under a hashed maximum-entropy model of words.
 
-Method: the probability of a word is that of its class times that of the word in
-its class, both softmaxes over weights of hashed features: the word before, the two
-words before together, and the word before the last (a skip).  Frequent words form
-classes of ``MEMBERS`` by rank; all others are one class whose words have their
-smoothed unigram shares.  Training is one pass of distributed gradient updates:
+Method: words are the leaves of a tree of least mean depth for their counts, with
+``FAN`` branches at a node; the probability of a word is the product of those of the
+branches down to it, each a softmax over weights of hashed features: the word before,
+the two words before together, and the word before the last (a skip).  All known
+words are leaves; those past them share a leaf, in which they have their smoothed
+unigram shares, and are told apart as features.  Tables of weights grow with the
+root of the number of words.  Training is one pass of distributed gradient updates:
 each shard of the corpus starts from the unigram model and takes mini-batch steps
 scaled by how often a row of weights was used; shards are merged row by row, by use.
 Scoring takes sparse batches of numpy arrays.
@@ -18,6 +20,7 @@ every word is unseen; ids of null train.
 
 from __future__ import annotations
 
+import heapq
 from itertools import chain
 
 import numpy as np
@@ -26,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, rows, staged, text_bytes
+from .common import chunks, documents, mixed, rows, staged, text_bytes
 
-#: Words that go to all workers, words with features of their own, words in a class.
-KNOWN, WORDS, MEMBERS = 1 << 18, 2048, 64
-#: Rows of weights for classes and for members; the most shards that train apart.
-CLASS_ROWS, MEMBER_ROWS, SHARDS = 1 << 13, 1 << 14, 64
-RATE, BATCH, BLOCK = 0.4, 8192, 2048
+#: Words that go to all workers, branches of a node.
+KNOWN, FAN = 1 << 18, 32
+#: The least rows of weights for the root and for other nodes; the most shards that train apart.
+ROOT_ROWS, NODE_ROWS, SHARDS = 1 << 14, 1 << 16, 64
+RATE, BATCH, BLOCK, FEW = 0.4, 8192, 2048, 4
 TOP = 1 << 63
 END = xxhash.xxh3_64_intdigest(b"\n") | TOP
 LOG10 = float(np.log(10))
@@ -92,102 +95,161 @@ def _counted(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
 
+def _tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parent and branch of every leaf and node, and the weight of each; leaves come first, the root last."""
+    heap = [(w, k) for k, w in enumerate(weights.tolist())]
+    heapq.heapify(heap)
+    parent, branch, total = [0] * len(heap), [0] * len(heap), weights.tolist()
+    take = (len(heap) - 2) % (FAN - 1) + 2 if len(heap) > 1 else 1
+    while True:
+        own = [heapq.heappop(heap) for _ in range(take)]
+        node = len(total)
+        for k, (_, child) in enumerate(own):
+            parent[child], branch[child] = node, k
+        parent.append(0)
+        branch.append(0)
+        total.append(sum(w for w, _ in own))
+        if not heap:
+            return np.array(parent), np.array(branch), np.array(total)
+        heapq.heappush(heap, (total[-1], node))
+        take = FAN
+
+
 class Vocabulary:
-    """The known words by falling count, and totals of all training tokens."""
+    """The known words by falling count, the tree over them, and totals of all training tokens."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, kinds: int):
         self.hashes, self.counts, self.tokens, self.kinds = hashes, counts, tokens, kinds
-        k = self.words = min(WORDS, len(counts))
-        self.classes = -(-k // MEMBERS) + 1
-        own = np.zeros((self.classes - 1) * MEMBERS)
-        own[:k] = counts[:k]
-        table = own.reshape(-1, MEMBERS)
-        self.rare_tokens = tokens - int(counts[:k].sum())
-        self.class_bias = np.log(np.append(table.sum(axis=1), self.rare_tokens) + 0.5).astype(np.float32)
-        self.member_bias = np.where(table > 0, np.log(np.maximum(table, 1)), -1e9).astype(np.float32)
-        self.rare_total = self.rare_tokens + 0.5 * (kinds - k + 1)
+        k = self.words = len(counts)
+        self.rare_total = tokens - int(counts.sum()) + 0.5 * (kinds - k + 1)
+        parent, branch, total = _tree(np.append(counts + 0.5, self.rare_total))
+        root = len(total) - 1
+        bias = np.full((root - k, FAN), -1e9, dtype=np.float32)
+        bias[parent[:-1] - k - 1, branch[:-1]] = np.log(total[:-1])
+        self.root_bias, self.node_bias = bias[-1], bias
+        # Each leaf's branch at the root, and its nodes below that with the branch at each.
+        leaf = at = np.arange(k + 1)
+        self.top, steps = np.zeros(k + 1, dtype=np.int64), []
+        while len(leaf):
+            up = parent[at]
+            high = up == root
+            self.top[leaf[high]] = branch[at[high]]
+            leaf, at, up = leaf[~high], at[~high], up[~high]
+            steps.append((leaf, up - k - 1, branch[at]))
+            at = up
+        leaf, node, own = (np.concatenate([x[c] for x in steps]) for c in range(3))
+        by = np.argsort(leaf, kind="stable")
+        self.path_node, self.path_branch = node[by].astype(np.int32), own[by].astype(np.int8)
+        self.depth = np.bincount(leaf, minlength=k + 1)
+        self.path_start = np.cumsum(self.depth) - self.depth
+        # Powers of two.
+        grown = 1 << max(0, int(kinds**0.5) - 1).bit_length()
+        self.root_rows, self.node_rows = max(ROOT_ROWS, 16 * grown), max(NODE_ROWS, 64 * grown)
 
     def codes(self) -> Codes:
         return Codes({int(h): k for k, h in enumerate(self.hashes.view(np.uint64).tolist())})
 
     def features(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word number of every token (``words`` for all rare ones) and its three feature hashes."""
-        word = np.where(codes < self.words, codes, self.words).astype(np.int64)
+        """Leaf of every token (``words`` for all that are not known) and its three feature hashes, of the words themselves."""
+        leaf = np.where(codes < self.words, codes, self.words).astype(np.int64)
         start = np.cumsum(n) - n
-        back = np.full(len(word) + 2, self.words + 1, dtype=np.int64)
-        back[2:] = word
+        before = np.uint64((1 << 64) - 1)
+        back = np.full(len(codes) + 2, before, dtype=np.uint64)
+        back[2:] = codes
         one, two = back[1:-1].copy(), back[:-2].copy()
-        one[start] = self.words + 1
-        two[start] = self.words + 1
-        two[np.minimum(start + 1, len(word) - 1)] = self.words + 1
-        u = one.astype(np.uint64), two.astype(np.uint64)
+        one[start] = before
+        two[start] = before
+        two[np.minimum(start + 1, len(codes) - 1)] = before
+        one, skip = mixed(one, 1), mixed(two, 2)
         with np.errstate(over="ignore"):
-            f = np.stack([u[0], (u[0] << np.uint64(20)) + u[1] + np.uint64(1 << 50), u[1] + np.uint64(1 << 51)], axis=1) * np.uint64(0x9E3779B97F4A7C15)
-            f ^= f >> np.uint64(29)
-            f *= np.uint64(0xBF58476D1CE4E5B9)
-        return word, f ^ (f >> np.uint64(32))
+            return leaf, np.stack([one, mixed(one + skip * np.uint64(0xD6E8FEB86659FD93), 3), skip], axis=1)
+
+    def below(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The steps of all tokens under the root: number of the token, node, branch."""
+        n = self.depth[leaf]
+        token = np.repeat(np.arange(len(leaf)), n)
+        at = np.arange(len(token)) + np.repeat(self.path_start[leaf] - (np.cumsum(n) - n), n)
+        return token, self.path_node[at], self.path_branch[at]
 
 
 class Weights:
+    """``c`` for the root, ``m`` for all other nodes."""
+
     def __init__(self, v: Vocabulary, parts: dict[str, np.ndarray] | None = None):
         self.v = v
-        self.c = parts["c"] if parts else np.zeros((CLASS_ROWS, v.classes), dtype=np.float32)
-        self.m = parts["m"] if parts else np.zeros((MEMBER_ROWS, MEMBERS), dtype=np.float32)
+        self.c = parts["c"] if parts else np.zeros((v.root_rows, FAN), dtype=np.float32)
+        self.m = parts["m"] if parts else np.zeros((v.node_rows, FAN), dtype=np.float32)
+
+    def _root_rows(self, f: np.ndarray) -> np.ndarray:
+        return (f & np.uint64(self.v.root_rows - 1)).astype(np.int64)
 
-    def _member_rows(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    def _node_rows(self, f: np.ndarray, node: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = (f + (cls[:, None].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x94D049BB133111EB)
-        return (x >> np.uint64(50)).astype(np.int64) % MEMBER_ROWS
+            x = (f + (node[:, None].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x94D049BB133111EB)
+        return (x >> np.uint64(65 - self.v.node_rows.bit_length())).astype(np.int64)
 
     @staticmethod
-    def _softmax(w: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Log-probabilities: the sum of the rows that each token has, and the bias."""
-        z = w[at[:, 0]]
-        z += w[at[:, 1]]
-        z += w[at[:, 2]]
+    def _logits(w: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """The sum of the rows that each token has, and the bias; the largest is 0."""
+        z = w.take(at[:, 0], axis=0)
+        z += w.take(at[:, 1], axis=0)
+        z += w.take(at[:, 2], axis=0)
         z += bias
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def log_probs(self, word: np.ndarray, f: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each token's class and, for words with features, of the word in it."""
-        out = np.empty(len(word), dtype=np.float64)
-        for i in range(0, len(word), BATCH):
-            w, g = word[i : i + BATCH], f[i : i + BATCH]
-            cls = w // MEMBERS
-            cls[w == self.v.words] = self.v.classes - 1
-            lp = self._softmax(self.c, (g % np.uint64(CLASS_ROWS)).astype(np.int64), self.v.class_bias)[np.arange(len(w)), cls].astype(np.float64)
-            at = np.flatnonzero(w < self.v.words)
-            if len(at):
-                z = self._softmax(self.m, self._member_rows(g[at], cls[at]), self.v.member_bias[cls[at]])
-                lp[at] += z[np.arange(len(at)), w[at] % MEMBERS]
+        return z
+
+    def _log_probs(self, w: np.ndarray, at: np.ndarray, bias: np.ndarray, branch: np.ndarray) -> np.ndarray:
+        z = self._logits(w, at, bias)
+        own = z[np.arange(len(z)), branch].astype(np.float64)
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+    def log_probs(self, leaf: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each token's leaf."""
+        out = np.empty(len(leaf), dtype=np.float64)
+        for i in range(0, len(leaf), BATCH):
+            w, g = leaf[i : i + BATCH], f[i : i + BATCH]
+            lp = self._log_probs(self.c, self._root_rows(g), self.v.root_bias, self.v.top[w])
+            token, node, branch = self.v.below(w)
+            if len(token):
+                own = self._log_probs(self.m, self._node_rows(g[token], node), self.v.node_bias.take(node, axis=0), branch)
+                lp += np.bincount(token, weights=own, minlength=len(w))
             out[i : i + BATCH] = lp
         return out
 
     def train(self, stream) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient steps over (word, features) arrays; returns how often each row was used."""
-        used = np.zeros(CLASS_ROWS, dtype=np.int64), np.zeros(MEMBER_ROWS, dtype=np.int64)
-        for word, f in stream:
-            for i in range(0, len(word), BATCH):
-                w, g = word[i : i + BATCH], f[i : i + BATCH]
-                cls = w // MEMBERS
-                cls[w == self.v.words] = self.v.classes - 1
-                self._step(self.c, (g % np.uint64(CLASS_ROWS)).astype(np.int64), self.v.class_bias, cls, used[0])
-                at = np.flatnonzero(w < self.v.words)
-                if len(at):
-                    self._step(self.m, self._member_rows(g[at], cls[at]), self.v.member_bias[cls[at]], w[at] % MEMBERS, used[1])
+        """Gradient steps over (leaf, features) arrays; returns how often each row was used."""
+        used = np.zeros(len(self.c), dtype=np.int64), np.zeros(len(self.m), dtype=np.int64)
+        for leaf, f in stream:
+            for i in range(0, len(leaf), BATCH):
+                w, g = leaf[i : i + BATCH], f[i : i + BATCH]
+                self._step(self.c, self._root_rows(g), self.v.root_bias, self.v.top[w], used[0])
+                token, node, branch = self.v.below(w)
+                if len(token):
+                    self._step(self.m, self._node_rows(g[token], node), self.v.node_bias.take(node, axis=0), branch, used[1])
         return used
 
     def _step(self, w: np.ndarray, at: np.ndarray, bias: np.ndarray, target: np.ndarray, used: np.ndarray) -> None:
-        g = np.exp(self._softmax(w, at, bias))
+        g = self._logits(w, at, bias)
+        np.exp(g, out=g)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(g)), target] -= 1
         flat = at.ravel()
+        # By 16 bits at a time, for that sorts without comparing.
         by = np.argsort(flat.astype(np.uint16), kind="stable")
+        if len(w) > 1 << 16:
+            by = by[np.argsort((flat[by] >> 16).astype(np.uint16), kind="stable")]
         own = flat[by]
         first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-        total = np.add.reduceat(g[by // 3], first, axis=0)
-        row = own[first]
-        used[row] += np.diff(np.append(first, len(own)))
+        n = np.diff(np.append(first, len(own)))
+        row, by = own[first], by // 3
+        # Rows with few uses are summed use by use, the others as segments, which cost by their number.
+        total = g.take(by[first], axis=0)
+        for k in range(1, FEW):
+            at = np.flatnonzero((n > k) & (n <= FEW))
+            total[at] += g.take(by[first[at] + k], axis=0)
+        if len(at := np.flatnonzero(n > FEW)):
+            total[at] = np.add.reduceat(g.take(by[np.repeat(n > FEW, n)], axis=0), np.cumsum(n[at]) - n[at], axis=0)
+        used[row] += n
         w[row] -= (RATE / np.sqrt(used[row]))[:, None].astype(np.float32) * total
 
 
@@ -219,7 +281,7 @@ def fit(training: DataFrame) -> tuple[DataFrame, Weights]:
     hashes, number = np.asarray(top.column("h"), dtype=np.int64), np.asarray(top.column("n"), dtype=np.int64)
     by = np.lexsort((hashes, -number))
     v = Vocabulary(hashes[by], number[by], int(tokens), int(kinds))
-    parts = {"c": np.zeros((CLASS_ROWS, v.classes), dtype=np.float32), "m": np.zeros((MEMBER_ROWS, MEMBERS), dtype=np.float32)}
+    parts = {"c": np.zeros((v.root_rows, FAN), dtype=np.float32), "m": np.zeros((v.node_rows, FAN), dtype=np.float32)}
     shards = training.select("text").coalesce(SHARDS).mapInArrow(_training(spark.sparkContext.broadcast(v)), "part string, block int, w binary, n binary")
     for r in shards.groupBy("part", "block").applyInArrow(_merge, "part string, block int, w binary").collect():
         w = np.frombuffer(r.w, dtype=np.float32)
@@ -237,19 +299,18 @@ def _scoring(shared):
         for b in chunks(batches):
             own, n = codes.of(text_bytes(b.column("text")))
             doc = np.repeat(np.arange(len(n)), n)
-            word, f = v.features(own, n)
-            lp = model.log_probs(word, f) / LOG10
+            leaf, f = v.features(own, n)
+            lp = model.log_probs(leaf, f) / LOG10
             known = own < len(log)
             smooth = np.zeros(len(own))
             smooth[known] = log[own[known].astype(np.int64)]
-            outside = word == v.words
             total = lambda x: np.bincount(doc, weights=x, minlength=len(n))
             rest = np.flatnonzero(~known)
             edge = np.searchsorted(doc[rest], np.arange(len(n) + 1))
             unseen = own[rest].view(np.int64)
             lists = [unseen[i:j].tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(n), pa.array(total(known).astype(np.int64)), pa.array(total(smooth)), pa.array(total(lp + np.where(outside, smooth - np.log10(v.rare_total), 0))), pa.array(lists, pa.binary())],
+                [b.column("doc_id"), b.column("th"), pa.array(n), pa.array(total(known).astype(np.int64)), pa.array(total(smooth)), pa.array(total(lp - np.where(known, 0, np.log10(v.rare_total)))), pa.array(lists, pa.binary())],
                 names=["doc_id", "th", "n_tokens", "known", "smooth", "score", "rest"],
             )
 
