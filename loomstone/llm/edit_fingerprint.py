@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, mixed, rows
+from .common import buckets_for, documents, mixed, rows, ship, staged
+from .components import components
 
 SAMPLES = 128
 PERIOD = 4096
@@ -216,21 +217,65 @@ def _bucket(cuts: list[float]):
     return between(0, len(cuts))
 
 
+def _links(like: float):
+    """Rows (band, fingerprint) sorted by both: links that join what is alike in a band's bucket, directly or by others of it."""
+
+    def flush(held):
+        d = np.frombuffer("".join(held).encode(), dtype=np.uint8).reshape(len(held), SAMPLES)
+        left, front, out = np.arange(1, len(held)), [0], []
+        while front:
+            # Each member once asks those that none has reached; where it ends, the least of them leads.
+            k = front.pop()
+            value = np.maximum(0.0, ((d[left] == d[k]).mean(axis=1) - 1 / 16) * 16 / 15)
+            near = value >= like
+            out += [(held[j], held[k], x) for j, x in zip(left[near].tolist(), value[near].tolist(), strict=True)]
+            front += left[near].tolist()
+            left = left[~near]
+            if not front and len(left):
+                front, left = [int(left[0])], left[1:]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["fingerprint", "leader", "likeness"])
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            for band, f in zip(b.column("band").to_pylist(), b.column("fingerprint").to_pylist(), strict=True):
+                if band != key:
+                    if len(held) > 1:
+                        yield flush(held)
+                    key, held = band, []
+                held.append(f)
+        if len(held) > 1:
+            yield flush(held)
+
+    return run
+
+
 def similar_documents(prints: DataFrame, like: float = LIKE) -> DataFrame:
-    """Pairs (fingerprint, leader, likeness) of unlike fingerprints that agree in a band and pass verification.
+    """Links (fingerprint, leader, likeness) of unlike fingerprints that agree in a band and pass verification.
 
     Fingerprints are taken once each, whatever their number of documents.  A band is
-    a fixed sample of digits; all fingerprints of a bucket are paired with its leader,
-    the least one, so a bucket gives a row for each member and never all its pairs.
+    a fixed sample of digits.  In a bucket links are followed outwards, from the least
+    fingerprint and then from the least that is not reached: a bucket gives at most a
+    row for each member, and what is alike in it is joined by these rows.
     """
+    ship(prints.sparkSession)
     rng = np.random.default_rng(77)
     picks = [sorted(rng.choice(SAMPLES, BAND_DIGITS, replace=False).tolist()) for _ in range(BANDS)]
     keys = F.array(*(F.concat(F.lit(f"{k}:"), *(F.substring("fingerprint", p + 1, 1) for p in own)) for k, own in enumerate(picks)))
-    one = prints.select("fingerprint").distinct().select("fingerprint", F.explode(keys).alias("band"))
-    leaders = one.groupBy("band").agg(F.min("fingerprint").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = one.join(leaders, "band").where("fingerprint <> leader").select("fingerprint", "leader").distinct()
-    same = sum((F.substring("fingerprint", k, 1) == F.substring("leader", k, 1)).cast("int") for k in range(1, SAMPLES + 1))
-    return pairs.withColumn("likeness", F.greatest(F.lit(0.0), (same / SAMPLES - 1 / 16) * 16 / 15)).where(F.col("likeness") >= like)
+    banded = prints.select("fingerprint").distinct().select("fingerprint", F.explode(keys).alias("band"))
+    dealt = banded.repartition(buckets_for(prints.sparkSession, 1, 1), "band").sortWithinPartitions("band", "fingerprint")
+    return dealt.mapInArrow(_links(like), "fingerprint string, leader string, likeness double").distinct()
+
+
+def similar_classes(prints: DataFrame, like: float = LIKE) -> DataFrame:
+    """Every row of ``prints`` with its ``class``: the least fingerprint that links lead to, its own where there are none."""
+    links = staged(similar_documents(prints, like), "links")
+    node = F.xxhash64
+    found = components(links.select(node("fingerprint").alias("a"), node("leader").alias("b")))
+    named = prints.select("fingerprint").distinct().join(found, node("fingerprint") == F.col("node"))
+    least = named.groupBy("component").agg(F.min("fingerprint").alias("class"))
+    named = named.join(least, "component").select("fingerprint", "class")
+    return prints.join(named, "fingerprint", "left").withColumn("class", F.coalesce("class", "fingerprint"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
