@@ -41,6 +41,12 @@ def near_pairs(prints: DataFrame, most: int = 3) -> DataFrame:
     return pairs.select("a", "b", "distance").distinct()
 
 
+def members(prints: DataFrame) -> DataFrame:
+    """(id, representative) of every fingerprint: the least id that has an equal one, which stands for it in ``near_pairs``."""
+    least = prints.groupBy("simhash").agg(F.min("id").alias("representative"))
+    return prints.join(least, "simhash").select("id", "representative")
+
+
 def greedy(rows: DataFrame, group: str, order: str, text_col: str, most: int = 3) -> DataFrame:
     """First wins: a row goes if an earlier kept row of its group is equal, or close to it; kept rows have no reason.
 

@@ -56,6 +56,12 @@ def dedupe_bands(t):
     return P.near_pairs(P.simhash(t.documents, "doc_id", "text"))
 
 
+@query("dedupe_members", f"WITH {_SIM_SQL} SELECT id, min(id) OVER (PARTITION BY simhash) AS representative FROM f")
+def dedupe_members(t):
+    """Beside ``dedupe_bands``: which document stands for each there."""
+    return P.members(P.simhash(t.documents, "doc_id", "text"))
+
+
 @query("hamming", "SELECT event_id, bit_count(xor(event_id * 2654435761, user_id * 40503))::BIGINT AS distance FROM events")
 def hamming(t):
     return t.events.select("event_id", T.hamming(F.col("event_id") * 2654435761, F.col("user_id") * 40503).cast("long").alias("distance"))
