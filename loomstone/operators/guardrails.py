@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import invisible_count, text_of
+from ..functions.text import invisible_count, normal, text_of
 
 #: Detectors by name, with weight and pattern (case-insensitive, multi-line).
 DETECTORS = {
@@ -88,3 +88,11 @@ def leaked(answer: Column, chunk: Column, span: int = 60, step: int = 30) -> Col
 
     starts = lambda c: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - span + 1), F.lit(step))
     return let(normal(answer), lambda a: let(normal(chunk), lambda c: (F.length(c) >= span) & F.exists(starts(c), lambda k: F.contains(a, c.substr(k, F.lit(span))))))
+
+
+def leaked(docs: DataFrame, passages: DataFrame, chars: int = 60) -> DataFrame:
+    """(doc_id, item_id) of documents that hold a stretch of a (bounded) passage: of ``chars`` characters at half steps, or all of a shorter one."""
+    c = passages.select("item_id", normal("text").alias("c")).where("c <> ''")
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("c") - chars + 1), F.lit(chars // 2))
+    spans = c.select("item_id", "c", F.explode(at).alias("k")).select("item_id", F.col("c").substr(F.col("k"), F.lit(chars)).alias("span"))
+    return docs.select("doc_id", normal("text").alias("a")).join(F.broadcast(spans), F.contains(F.col("a"), F.col("span"))).select("doc_id", "item_id").distinct()

@@ -210,6 +210,12 @@ def leak_span(t):
     return t.documents.select("doc_id", normal("text").alias("a")).join(F.broadcast(spans), F.contains(F.col("a"), F.col("span"))).select("doc_id", "item_id").distinct()
 
 
+@query("leak_span_all", r"WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS c FROM benchmark), a AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS a FROM documents) SELECT doc_id, item_id FROM a JOIN n ON length(c) > 0 AND (CASE WHEN length(c) <= 60 THEN contains(a, c) ELSE len(list_filter(range(1, length(c) - 58, 30), lambda k: contains(a, substr(c, k, 60)))) > 0 END)")
+def leak_span_all(t):
+    """As ``leak_span``, with passages up to 60 characters looked for as a whole."""
+    return G.leaked(t.documents, t.benchmark)
+
+
 @query("refusal_assess", "SELECT conv_id, turn, regexp_matches(lower(text), 'sorry|cannot|not able|no information') AS refusal, length(text) >= 40 AND regexp_matches(lower(text), 'try|contact|instead|document') AS acceptable FROM conversations WHERE role = 'assistant'")
 def refusal_assess(t):
     x = F.lower("text")
