@@ -11,7 +11,8 @@ text alone.
 
 Defined results: a null text or one without letters is ``und`` with score 0; words
 without letters take the label of their neighbours; with no labelled row at all
-every document is ``und``; rows with a null id count as not held out.
+every document is ``und``; rows with a null id count as not held out; of languages
+with equally many letters the first by name wins, and equal texts are labelled alike.
 """
 
 from __future__ import annotations
@@ -73,7 +74,8 @@ class Model:
     def __init__(self, langs: list[str], texts: list[list[str]]):
         self.langs = langs
         n = max(1, len(langs))
-        counts, scripts = np.zeros((1 << TABLE_BITS, n)), np.zeros((len(_NAMES), n))
+        # 2**TABLE_BITS floats a language, here as in the model.
+        counts, scripts = np.zeros((1 << TABLE_BITS, n), dtype=np.float32), np.zeros((len(_NAMES), n))
         for k, own in enumerate(texts):
             for at in range(0, len(own), 200):
                 words = [w for t in own[at : at + 200] for x in t.lower().split() if (w := letters_of(x))]
@@ -81,9 +83,11 @@ class Model:
                     tri, size, script = _trigrams(words)
                     counts[:, k] += np.bincount(tri, minlength=1 << TABLE_BITS)
                     scripts[:, k] += np.bincount(script, weights=size, minlength=len(_NAMES))
-        total = counts.sum(axis=0)
-        seen = max(1, int((counts.sum(axis=1) > 0).sum()))
-        self.table = np.log((counts + 0.5) / (total + 0.5 * (seen + 1))).astype(np.float32)
+        total = counts.sum(axis=0, dtype=np.float64)
+        seen = max(1, int(counts.any(axis=1).sum()))
+        counts += 0.5
+        self.table = np.log(counts, out=counts)
+        self.table -= np.log(total + 0.5 * (seen + 1)).astype(np.float32)
         self.table -= self.table.mean(axis=1, keepdims=True)  # what all languages share does not tell them apart
         self.uses = scripts >= np.maximum(USES * scripts.sum(axis=0), 1)
 
@@ -141,7 +145,7 @@ class Labeller(dict):
 
 def viterbi(known: np.ndarray, slots: np.ndarray, n: np.ndarray, switch: float) -> np.ndarray:
     """The best labels of many sequences at once: ``slots`` are the rows of ``known`` of all of them in turn, ``n`` their lengths."""
-    out = np.zeros(len(slots), dtype=np.int8)
+    out = np.zeros(len(slots), dtype=np.int32)
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
     if not len(order):
@@ -157,7 +161,7 @@ def viterbi(known: np.ndarray, slots: np.ndarray, n: np.ndarray, switch: float)
         top = u.argmax(axis=1)
         floor = u[np.arange(b), top] - switch
         s = u >= floor[:, None]
-        best.append(top.astype(np.int8))
+        best.append(top.astype(np.int32))
         stay.append(s)
         v[:b] = np.maximum(u, floor[:, None]) + known[slots[begin[:b] + t]]
     now = v.argmax(axis=1)
