@@ -5,9 +5,14 @@ byte order), decodes strips or tiles that are plain, PackBits, LZW or deflate,
 undoes horizontal and floating-point predictors, and gives the samples of each
 page row by row.  The writer stores 8-bit samples in strips.
 
-Defined results: a null file has no pages; a broken or unknown one gives a single
-row with page -1 and the reason in ``error``; a chain that comes back to a
-directory it has seen ends there.
+Sizes in a file are not trusted: nothing is allocated that its strips cannot fill,
+and no strip is decoded beyond the rows it stands for.
+
+Defined results: a null file has no pages; a broken or unknown one gives the pages
+before the fault and a row with page -1 and the reason in ``error``; faults are also
+strips that end early, pages over ``MOST_PAGE_BYTES`` and predictors of samples that
+are not whole bytes; a chain that comes back to a directory it has seen ends there.
+Files that are repeated give their rows again.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, rows, ship, text_bytes
+from .common import CHUNK_BYTES, chunks, documents, rows, ship, text_bytes
 
 WIDTH = 64
 #: Rows in a strip and in a page.
@@ -34,11 +39,16 @@ IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259,
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+FILL_ORDER = 266
+#: The most that a byte of each compression can stand for, rounded up.
+EXPANDS = {PLAIN: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+MOST_PAGE_BYTES = 1 << 29
+REVERSED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < most:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + n + 2]
@@ -73,12 +83,14 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int) -> bytes:
     """Codes from 9 to 12 bits, high bits first, a code wider one entry early."""
     start = [bytes((k,)) for k in range(256)] + [b"", b""]
     table, out, last, width = list(start), [], b"", 9
-    held = bits = 0
+    held = bits = size = 0
     for byte in data:
+        if size >= most:
+            break
         held, bits = (held << 8) | byte, bits + 8
         if bits < width:
             continue
@@ -100,6 +112,7 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("a code beyond the table")
         out.append(now)
+        size += len(now)
         last = now
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
     return b"".join(out)
@@ -141,11 +154,11 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def inflate(data: bytes) -> bytes:
-    return zlib.decompress(data)
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
 
 
-DECODERS = {PLAIN: bytes, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
+DECODERS = {PLAIN: lambda data, most: data, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
 ENCODERS = {PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: packbits_encode}
 
 
@@ -153,8 +166,10 @@ def undo_predictor(raw: bytes, predictor: int, high: int, wide: int, samples: in
     """Samples of a strip or tile as rows of bytes, as native values where a predictor had to be undone."""
     row = -(-wide * samples * bits // 8)
     a = np.frombuffer(raw[: high * row].ljust(high * row, b"\0"), dtype=np.uint8).reshape(high, row)
-    if predictor == 1 or bits < 8:
+    if predictor == 1:
         return a
+    if bits not in (8, 16, 32, 64) and (predictor, bits) != (3, 24):
+        raise ValueError(f"predictor {predictor} of samples of {bits} bits")
     if predictor == 2:
         kind = np.dtype(f"{order}u{bits // 8}")
         v = np.ascontiguousarray(a).view(kind).reshape(high, wide, samples)
@@ -223,13 +238,24 @@ def _page(data: bytes, f: dict[int, list], order: str) -> dict:
         raise ValueError("strips or tiles are missing")
     if tiled and across > 1 and wide * each * bits % 8:
         raise ValueError("tiles that end within a byte")
-    row = -(-width * each * bits // 8)
+    if planes > 1 and bits % 8:
+        raise ValueError("separate planes of samples that are not whole bytes")
+    row, used = -(-width * each * bits // 8), across * down * planes
+    if any(i + n > len(data) for i, n in zip(offsets[:used], counts[:used], strict=True)):
+        raise ValueError("a strip or tile lies beyond the file")
+    if planes * height * row > min(MOST_PAGE_BYTES, EXPANDS[compression] * sum(counts[:used])):
+        raise ValueError(f"{width} x {height} pixels do not come of so few bytes, or are too many")
     out = np.zeros((planes, height, row), dtype=np.uint8)
-    for k in range(across * down * planes):
+    for k in range(used):
         plane, cell = divmod(k, across * down)
         y, x = divmod(cell, across)
         rows_ = high if tiled else min(high, height - y * high)
-        raw = decode(data[offsets[k] : offsets[k] + counts[k]])
+        raw, need = data[offsets[k] : offsets[k] + counts[k]], rows_ * -(-wide * each * bits // 8)
+        if need > EXPANDS[compression] * len(raw):
+            raise ValueError("a strip or tile ends early")
+        raw = decode(raw.translate(REVERSED) if one(FILL_ORDER, 1) == 2 else raw, need)
+        if len(raw) < need:
+            raise ValueError("a strip or tile ends early")
         a = undo_predictor(raw, predictor, rows_, wide, each, bits, order)
         top, left = y * high, x * (wide * each * bits // 8)
         a = a[: height - top, : row - left]
@@ -289,17 +315,26 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     def run(batches):
         kinds = {"file_id": pa.int64(), "page": pa.int32(), "width": pa.int64(), "height": pa.int64(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "sha256": pa.string(), "pixels": pa.binary(), "error": pa.string()}
+
+        def flush(out):
+            return pa.RecordBatch.from_arrays([pa.array([p.get(c) for p in out], kind) for c, kind in kinds.items()], names=list(kinds))
+
         for b in chunks(batches, "media"):
-            out = []
+            out, held = [], 0
             for i, media in zip(b.column("file_id").to_pylist(), b.column("media").to_pylist(), strict=True):
                 if media is None:
                     continue
                 try:
-                    own = [p | {"sha256": hashlib.sha256(p["pixels"]).hexdigest()} for p in pages(media)]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    own = [{"page": -1, "error": str(e)[:200]}]
-                out += [p | {"file_id": i} for p in own]
-            yield pa.RecordBatch.from_arrays([pa.array([p.get(c) for p in out], kind) for c, kind in kinds.items()], names=list(kinds))
+                    for p in pages(media):
+                        out.append(p | {"sha256": hashlib.sha256(p["pixels"]).hexdigest(), "file_id": i})
+                        held += len(p["pixels"])
+                        if held > CHUNK_BYTES:
+                            yield flush(out)
+                            out, held = [], 0
+                except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+                    out.append({"page": -1, "error": str(e)[:200], "file_id": i})
+            if out:
+                yield flush(out)
 
     return files.select(F.col(f"`{id_col}`").cast("long").alias("file_id"), F.col(f"`{media_col}`").cast("binary").alias("media")).mapInArrow(run, PAGE_SCHEMA)
 
