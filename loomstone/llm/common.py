@@ -9,6 +9,7 @@ any name do no harm.
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -84,6 +85,12 @@ def scope(key: tuple):
         _OPEN.pop()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that nothing refers to any more; else they stay until the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, key: tuple) -> None:
     """Removes the tables staged in a scope whose results have been written elsewhere."""
     for path in _SCOPES.pop(key, []):
@@ -91,6 +98,27 @@ def release(spark: SparkSession, key: tuple) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """What is staged meanwhile goes at the end, but for what ``lasting`` keeps."""
+    key = ("temporary", uuid.uuid4().hex)
+    with scope(key):
+        try:
+            yield
+        finally:
+            release(spark, key)
+            sweep(spark)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """``staged``, for the scope around the innermost one."""
+    inner = _OPEN.pop()
+    try:
+        return staged(df, name)
+    finally:
+        _OPEN.append(inner)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
@@ -127,6 +155,54 @@ def chunks(batches, text: str = "text", most: int = CHUNK_BYTES):
             at = to
 
 
+#: Blocks of a sieve and the bytes of each; keys beyond MOST_SIEVED make it useless.
+SIEVE_BLOCKS, SIEVE_BYTES, MOST_SIEVED = 128, 1 << 16, 1 << 24
+
+
+def _sieve_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in its block, which its high bits name."""
+    mask = np.uint64(SIEVE_BYTES * 8 - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(24)) & mask).astype(np.int64)
+
+
+def _sieve_block(table: pa.Table) -> pa.Table:
+    bits = np.zeros(SIEVE_BYTES * 8, dtype=bool)
+    h = np.asarray(table.column("h").combine_chunks(), dtype=np.int64).view(np.uint64)
+    for at in _sieve_bits(h):
+        bits[at] = True
+    return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "n": pa.array([len(h)], pa.int64())})
+
+
+def sieve(keys: DataFrame) -> np.ndarray | None:
+    """Bits of a column ``h`` of hashed keys, for ``sieved``: 8 MB whatever their number, None where they are too many to tell anything."""
+    by_block = keys.select(F.shiftrightunsigned("h", 57).cast("int").alias("block"), "h").groupBy("block").applyInArrow(_sieve_block, "block int, bits binary, n long")
+    out, n = np.zeros((SIEVE_BLOCKS, SIEVE_BYTES), dtype=np.uint8), 0
+    for r in by_block.toLocalIterator():  # a row for each block
+        out[r.block] = np.frombuffer(r.bits, dtype=np.uint8)
+        n += r.n
+    return None if n > MOST_SIEVED else out
+
+
+def sieved(df: DataFrame, bits: np.ndarray | None) -> DataFrame:
+    """Rows of ``df`` whose hashed key ``h`` may be among the keys of the sieve; none that is gets lost."""
+    if bits is None:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        table = shared.value
+        for b in batches:
+            h = np.asarray(b.column("h"), dtype=np.int64).view(np.uint64)
+            block = (h >> np.uint64(57)).astype(np.int64)
+            keep = np.ones(len(h), dtype=bool)
+            for at in _sieve_bits(h):
+                keep &= (table[block, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class WordHashes(dict):
     """64-bit hashes of words; keeps the words seen of late, at most ``most`` of them."""
 

@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lasting, staged, temporary
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the least node of its component) of every node of ``edges`` (columns a, b: long)."""
+    with temporary(edges.sparkSession):
+        now = lasting(_stars(edges), "stars")
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
@@ -27,8 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         before, mark = mark, _mark(now)
         if mark == before:
             break
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
+    return now
 
 
 def _mark(edges: DataFrame) -> tuple:
