@@ -6,10 +6,12 @@ branches down to it, each a softmax over weights of hashed features: the word be
 the two words before together, and the word before the last (a skip).  All known
 words are leaves; those past them share a leaf, in which they have their smoothed
 unigram shares, and are told apart as features.  Tables of weights grow with the
-root of the number of words.  Training is one pass of distributed gradient updates:
-each shard of the corpus starts from the unigram model and takes mini-batch steps
-scaled by how often a row of weights was used; shards are merged row by row, by use.
-Scoring takes sparse batches of numpy arrays.
+root of the number of words.  Training is ``ROUNDS`` rounds of distributed gradient
+updates, each over its own part of the texts: the shards of a round start from the
+merged weights of the one before, take mini-batch steps scaled by how often a row of
+weights was used, and are merged row by row, by use.  Shards and the order in them
+follow from hashes of the texts, so a model does not depend on files or tasks; their
+number grows with the text.  Scoring takes sparse batches of numpy arrays.
 
 Words are known by 64-bit hashes.  Counts cover all training documents and stay in
 a table; the ``KNOWN`` most frequent go to all workers, the rest are joined.
@@ -21,51 +23,76 @@ every word is unseen; ids of null train.
 from __future__ import annotations
 
 import heapq
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, mixed, rows, staged, text_bytes
+from .common import SPACES, buckets_for, chunks, documents, lasting, mixed, rows, staged, temporary, text_bytes
+from .runs import Rolling
 
 #: Words that go to all workers, branches of a node.
-KNOWN, FAN = 1 << 18, 32
-#: The least rows of weights for the root and for other nodes; the most shards that train apart.
-ROOT_ROWS, NODE_ROWS, SHARDS = 1 << 14, 1 << 16, 64
-RATE, BATCH, BLOCK, FEW = 0.4, 8192, 2048, 4
+KNOWN, FAN = 1 << 18, 16
+#: The least rows of weights for the root and for other nodes.
+ROOT_ROWS, NODE_ROWS = 1 << 15, 1 << 17
+#: Rounds of updates; the least shards of a round, and the text of a shard in sizes of the model beyond that.
+ROUNDS, SHARDS, SHARD_MODELS = 2, 24, 16
+RATE, BATCH, BLOCK, FEW = 0.4, 8192, 4096, 4
+#: Bytes of text that are taken at once.
+TEXT_BYTES = 1 << 20
 TOP = 1 << 63
-END = xxhash.xxh3_64_intdigest(b"\n") | TOP
+#: The end of a text as a word; bytes as numbers; which bytes separate words.
+END = int(mixed(np.array([10], dtype=np.uint64), 50)[0]) | TOP
+SLOT_BITS = 20
+_VALUES = mixed(np.arange(256, dtype=np.uint64), 51)
+_GAP = np.isin(np.arange(256), list(SPACES))
 LOG10 = float(np.log(10))
 
 
-class Codes(dict):
-    """A word's number among the known ones, or its hash, which has the high bit set."""
+class Codes:
+    """Numbers of the known words; other words have their hash, which has the high bit set.
 
-    def __init__(self, known: dict[int, int] | None = None, most: int = 300_000):
-        super().__init__()
-        self.known, self.most = known or {}, most
+    Words are found and hashed a buffer at a time; a word's number is looked up in a
+    table of slots by the high bits of its hash.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word) | TOP
-        code = self[word] = self.known.get(h, h)
-        return code
+    def __init__(self, known: np.ndarray | None = None):
+        known = np.zeros(0, dtype=np.uint64) if known is None else known
+        slot = self._slot(known)
+        by = np.argsort(slot, kind="stable")
+        self.hashes, self.numbers = known[by], by.astype(np.uint64)
+        self.start = np.searchsorted(slot[by], np.arange((1 << SLOT_BITS) + 1))
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h << np.uint64(1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def numbered(self, h: np.ndarray) -> np.ndarray:
+        out, slot = h.copy(), self._slot(h)
+        at, stop = self.start[slot], self.start[slot + 1]
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            here = at[left]
+            same = self.hashes[here] == h[left]
+            out[left[same]] = self.numbers[here[same]]
+            left = left[~same & (here + 1 < stop[left])]
+            at[left] += 1
+        return out
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts' tokens in turn, an end after each text, and how many each has."""
-        split = [t.lower().split() for t in texts]
-        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        out = np.empty(int(n.sum()) + len(n), dtype=np.uint64)
-        ends = np.cumsum(n + 1) - 1
+        text = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), dtype=np.uint8)
+        gap = _GAP[text]
+        begin, end = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        h = Rolling(_VALUES[text]).stretches(begin, end) | np.uint64(TOP)
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        n = np.diff(np.searchsorted(begin, np.append(0, np.cumsum(size))))
+        out = np.empty(len(h) + len(texts), dtype=np.uint64)
         inner = np.ones(len(out), dtype=bool)
-        inner[ends] = False
-        out[inner] = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(n.sum()))
-        out[ends] = self.known.get(END, END)
-        return out, n + 1
+        inner[np.cumsum(n + 1) - 1] = False
+        out[inner], out[~inner] = h, END
+        return self.numbered(out), n + 1
 
 
 def _count(batches):
@@ -76,7 +103,7 @@ def _count(batches):
         h, n = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
         return h, np.bincount(n, weights=np.concatenate([y for _, y in held])).astype(np.int64)
 
-    for b in chunks(batches):
+    for b in chunks(batches, most=TEXT_BYTES):
         own, _ = codes.of(text_bytes(b.column("text")))
         h, n = np.unique(own, return_counts=True)
         held.append((h, n))
@@ -126,6 +153,7 @@ class Vocabulary:
         root = len(total) - 1
         bias = np.full((root - k, FAN), -1e9, dtype=np.float32)
         bias[parent[:-1] - k - 1, branch[:-1]] = np.log(total[:-1])
+        bias -= bias.max(axis=1, keepdims=True)
         self.root_bias, self.node_bias = bias[-1], bias
         # Each leaf's branch at the root, and its nodes below that with the branch at each.
         leaf = at = np.arange(k + 1)
@@ -144,10 +172,10 @@ class Vocabulary:
         self.path_start = np.cumsum(self.depth) - self.depth
         # Powers of two.
         grown = 1 << max(0, int(kinds**0.5) - 1).bit_length()
-        self.root_rows, self.node_rows = max(ROOT_ROWS, 16 * grown), max(NODE_ROWS, 64 * grown)
+        self.root_rows, self.node_rows = max(ROOT_ROWS, 32 * grown), max(NODE_ROWS, 128 * grown)
 
     def codes(self) -> Codes:
-        return Codes({int(h): k for k, h in enumerate(self.hashes.view(np.uint64).tolist())})
+        return Codes(self.hashes.view(np.uint64))
 
     def features(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf of every token (``words`` for all that are not known) and its three feature hashes, of the words themselves."""
@@ -190,18 +218,17 @@ class Weights:
 
     @staticmethod
     def _logits(w: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """The sum of the rows that each token has, and the bias; the largest is 0."""
+        """The sum of the rows that each token has, and the bias, within what an exponential can hold."""
         z = w.take(at[:, 0], axis=0)
         z += w.take(at[:, 1], axis=0)
         z += w.take(at[:, 2], axis=0)
         z += bias
-        z -= z.max(axis=1, keepdims=True)
-        return z
+        return np.clip(z, -80, 80, out=z)
 
     def _log_probs(self, w: np.ndarray, at: np.ndarray, bias: np.ndarray, branch: np.ndarray) -> np.ndarray:
         z = self._logits(w, at, bias)
         own = z[np.arange(len(z)), branch].astype(np.float64)
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=np.float32))
 
     def log_probs(self, leaf: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Natural log-probability of each token's leaf."""
@@ -216,9 +243,9 @@ class Weights:
             out[i : i + BATCH] = lp
         return out
 
-    def train(self, stream) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient steps over (leaf, features) arrays; returns how often each row was used."""
-        used = np.zeros(len(self.c), dtype=np.int64), np.zeros(len(self.m), dtype=np.int64)
+    def train(self, stream, used: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient steps over (leaf, features) arrays; adds to and returns how often each row was used."""
+        used = used or (np.zeros(len(self.c), dtype=np.int64), np.zeros(len(self.m), dtype=np.int64))
         for leaf, f in stream:
             for i in range(0, len(leaf), BATCH):
                 w, g = leaf[i : i + BATCH], f[i : i + BATCH]
@@ -231,7 +258,7 @@ class Weights:
     def _step(self, w: np.ndarray, at: np.ndarray, bias: np.ndarray, target: np.ndarray, used: np.ndarray) -> None:
         g = self._logits(w, at, bias)
         np.exp(g, out=g)
-        g /= g.sum(axis=1, keepdims=True)
+        g *= (1 / (g @ np.ones(g.shape[1], dtype=np.float32)))[:, None]
         g[np.arange(len(g)), target] -= 1
         flat = at.ravel()
         # By 16 bits at a time, for that sorts without comparing.
@@ -253,27 +280,52 @@ class Weights:
         w[row] -= (RATE / np.sqrt(used[row]))[:, None].astype(np.float32) * total
 
 
+UPDATES = "part string, block int, shard int, w binary, n binary"
+
+
 def _training(shared):
+    """A shard's weights after its steps, block by block, each row times its uses, and the uses."""
+
     def run(batches):
-        v = shared.value
-        codes, w = v.codes(), Weights(v)
-        used = w.train(v.features(*codes.of(text_bytes(b.column("text")))) for b in chunks(batches))
-        for name, table, count in (("c", w.c, used[0]), ("m", w.m, used[1])):
-            for k in range(0, len(table), BLOCK):
-                if (n := count[k : k + BLOCK].astype(np.float32)).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([(table[k : k + BLOCK] * n[:, None]).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["part", "block", "w", "n"])
+        v, parts, before = shared.value
+        codes, now, w, used = v.codes(), None, None, ()
+
+        def updates():
+            for name, table, count in (("c", w.c, used[0]), ("m", w.m, used[1])):
+                own = count - before[name]
+                for k in range(0, len(table), BLOCK):
+                    if (n := own[k : k + BLOCK].astype(np.float32)).any():
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([now], pa.int32()), pa.array([(table[k : k + BLOCK] * n[:, None]).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=[x.split()[0] for x in UPDATES.split(", ")])
+
+        for b in chunks(batches, most=TEXT_BYTES):
+            shard = np.asarray(b.column("shard"))
+            edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for i, j in zip(edge, edge[1:], strict=False):
+                if shard[i] != now:
+                    if now is not None:
+                        yield from updates()
+                    now, w = int(shard[i]), Weights(v, {k: x.copy() for k, x in parts.items()})
+                    used = tuple(before[k].astype(np.int64) for k in ("c", "m"))
+                w.train([v.features(*codes.of(text_bytes(b.column("text").slice(i, j - i))))], used)
+        if now is not None:
+            yield from updates()
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
+    """The mean of the shards' rows of a block, by use; in the order of shards, for sums depend on it."""
+    table = table.sort_by("shard")
     w, n = (sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in table.column(c).to_pylist()) for c in ("w", "n"))
     w = w.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
-    return pa.table({"part": table.column("part")[:1], "block": table.column("block")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"part": table.column("part")[:1], "block": table.column("block")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n.astype(np.float32).tobytes()], pa.binary())})
 
 
 def fit(training: DataFrame) -> tuple[DataFrame, Weights]:
-    """The table of counts (h, n) of all training tokens and the model; ``training`` has a column text."""
+    """The table of counts (h, n) of all training tokens and the model; ``training`` has a column text.
+
+    Shards and their order follow from the texts, not from how the table is stored.
+    """
     spark = training.sparkSession
     counts = staged(training.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     kinds, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -282,11 +334,20 @@ def fit(training: DataFrame) -> tuple[DataFrame, Weights]:
     by = np.lexsort((hashes, -number))
     v = Vocabulary(hashes[by], number[by], int(tokens), int(kinds))
     parts = {"c": np.zeros((v.root_rows, FAN), dtype=np.float32), "m": np.zeros((v.node_rows, FAN), dtype=np.float32)}
-    shards = training.select("text").coalesce(SHARDS).mapInArrow(_training(spark.sparkContext.broadcast(v)), "part string, block int, w binary, n binary")
-    for r in shards.groupBy("part", "block").applyInArrow(_merge, "part string, block int, w binary").collect():
-        w = np.frombuffer(r.w, dtype=np.float32)
-        own = parts[r.part]
-        own[r.block : r.block + BLOCK] = w.reshape(-1, own.shape[1])
+    used = {k: np.zeros(len(x), dtype=np.int32) for k, x in parts.items()}
+    own = training.select("text", F.xxhash64("text", F.lit(6)).alias("h"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, int(size / ROUNDS / (SHARD_MODELS * sum(x.nbytes for x in parts.values()))))
+    shard = F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int")
+    for k in range(ROUNDS):
+        dealt = own.where(F.pmod("h", F.lit(ROUNDS)) == k).select(shard.alias("shard"), "h", "text").repartition(shards, F.col("shard")).sortWithinPartitions("shard", "h")
+        each = dealt.mapInArrow(_training(spark.sparkContext.broadcast((v, parts, used))), UPDATES)
+        parts, used = {k: x.copy() for k, x in parts.items()}, {k: x.copy() for k, x in used.items()}
+        for r in each.groupBy("part", "block").applyInArrow(_merge, "part string, block int, w binary, n binary").toLocalIterator():
+            w, n = np.frombuffer(r.w, dtype=np.float32), np.frombuffer(r.n, dtype=np.float32)
+            rows_ = np.flatnonzero(n)
+            parts[r.part][r.block + rows_] = w.reshape(len(n), -1)[rows_]
+            used[r.part][r.block + rows_] += np.ceil(n[rows_] / shards).astype(np.int32)
     return counts, Weights(v, parts)
 
 
@@ -296,7 +357,7 @@ def _scoring(shared):
         v = model.v
         codes = v.codes()
         log = np.log10(v.counts + 0.5)
-        for b in chunks(batches):
+        for b in chunks(batches, most=TEXT_BYTES):
             own, n = codes.of(text_bytes(b.column("text")))
             doc = np.repeat(np.arange(len(n)), n)
             leaf, f = v.features(own, n)
