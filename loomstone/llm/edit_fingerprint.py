@@ -7,8 +7,9 @@ character at every step.  Texts that part at an edit meet again after a few step
 so few edits leave most steps alike.  A fingerprint samples ``SAMPLES`` steps, each
 uniform over the walk: sample k moves from step to step only as a walk grows longer
 (the records of a running minimum), so texts of unlike lengths share most steps.
-Four bits of a hash of the sampled character make one hex digit.  Bands of digits
-propose pairs and the share of equal digits verifies them.
+Four bits of a hash of the sampled character make one hex digit.  Bands of sampled
+digits propose pairs and the share of equal digits verifies them; documents joined by
+such links are a class, named by its least id.
 
 Defined results: null is the empty text, whose fingerprint is all zeros; equal texts
 have equal fingerprints; after the last document comes the first, and a document
@@ -22,12 +23,13 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, mixed, rows, ship, staged
-from .components import components
+from .common import buckets_for, documents, lasting, mixed, rows, ship, staged, sweep, temporary
+from .families import linked_families
 
 SAMPLES = 128
 PERIOD = 4096
@@ -196,87 +198,80 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = d.withColumn("own", bucket)
     # At most one row for each bucket comes to the driver.
     first = sorted(((r.own, r.f.doc_id, r.f.th) for r in d.groupBy("own").agg(F.min(F.struct("doc_id", "th")).alias("f")).collect()), key=lambda x: x[0])
-    extra = F.array().cast("array<int>")
-    for k, (_, doc_id, th) in enumerate(first):
-        extra = F.when((F.col("own") == first[k][0]) & F.col("doc_id").eqNullSafe(F.lit(doc_id).cast("long")) & (F.col("th") == F.lit(th)), F.array(F.lit(first[k - 1][0]))).otherwise(extra)
-    to = F.concat(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("extra"))), F.transform(extra, lambda x: F.struct(x.alias("bucket"), F.lit(True).alias("extra"))))
-    dealt = d.select("doc_id", "th", "text", F.explode(to).alias("to")).select("to.bucket", "to.extra", "doc_id", "th", "text")
+    # The first document of a bucket also ends the one before, that of the first the last.
+    ends = spark.createDataFrame([(*x[1:], first[k - 1][0]) for k, x in enumerate(first)], "e_id long, e_th long, bucket int")
+    also = d.join(F.broadcast(ends), d.doc_id.eqNullSafe(F.col("e_id")) & (d.th == F.col("e_th"))).select("bucket", F.lit(True).alias("extra"), "doc_id", "th", "text")
+    dealt = d.select(F.col("own").alias("bucket"), F.lit(False).alias("extra"), "doc_id", "th", "text").union(also)
     dealt = dealt.repartition(buckets_for(spark, 1, 1), "bucket").sortWithinPartitions("bucket", "extra", "doc_id", "th")
     return dealt.mapInArrow(_neighbours, SCHEMA)
 
 
 def _bucket(cuts: list[float]):
-    """The number of cuts at or below the id, by halving."""
+    """The number of cuts at or below the id."""
+    edges = np.array([int(x) for x in cuts], dtype=np.int64)
 
-    def between(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") >= F.lit(int(cuts[mid])), between(mid + 1, high)).otherwise(between(low, mid))
+    @F.pandas_udf("int")
+    def below(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype(np.int32))
 
-    return between(0, len(cuts))
+    return below(F.coalesce("doc_id", F.lit(0)))
 
 
-def _links(like: float):
-    """Rows (band, fingerprint) sorted by both: links that join what is alike in a band's bucket, directly or by others of it."""
+def _link(like: float):
+    """Pairs that join the fingerprints of a band's bucket that are alike, directly or by others of it."""
 
-    def flush(held):
-        d = np.frombuffer("".join(held).encode(), dtype=np.uint8).reshape(len(held), SAMPLES)
-        left, front, out = np.arange(1, len(held)), [0], []
+    def run(nodes: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
+        d = np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(nodes), SAMPLES)
+        left, front, out = np.arange(1, len(nodes)), [0], []
         while front:
-            # Each member once asks those that none has reached; where it ends, the least of them leads.
+            # Each member once asks those that none has reached; where it ends, the next of them leads.
             k = front.pop()
-            value = np.maximum(0.0, ((d[left] == d[k]).mean(axis=1) - 1 / 16) * 16 / 15)
-            near = value >= like
-            out += [(held[j], held[k], x) for j, x in zip(left[near].tolist(), value[near].tolist(), strict=True)]
+            near = np.maximum(0.0, ((d[left] == d[k]).mean(axis=1) - 1 / 16) * 16 / 15) >= like
+            out += [(nodes[j], nodes[k]) for j in left[near].tolist()]
             front += left[near].tolist()
             left = left[~near]
             if not front and len(left):
                 front, left = [int(left[0])], left[1:]
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["fingerprint", "leader", "likeness"])
-
-    def run(batches):
-        key, held = None, []
-        for b in batches:
-            for band, f in zip(b.column("band").to_pylist(), b.column("fingerprint").to_pylist(), strict=True):
-                if band != key:
-                    if len(held) > 1:
-                        yield flush(held)
-                    key, held = band, []
-                held.append(f)
-        if len(held) > 1:
-            yield flush(held)
+        return out
 
     return run
 
 
-def similar_documents(prints: DataFrame, like: float = LIKE) -> DataFrame:
-    """Links (fingerprint, leader, likeness) of unlike fingerprints that agree in a band and pass verification.
+def bands() -> list[list[int]]:
+    """The places of the digits of each band: fixed samples."""
+    rng = np.random.default_rng(77)
+    return [sorted(rng.choice(SAMPLES, BAND_DIGITS, replace=False).tolist()) for _ in range(BANDS)]
+
 
-    Fingerprints are taken once each, whatever their number of documents.  A band is
-    a fixed sample of digits.  In a bucket links are followed outwards, from the least
-    fingerprint and then from the least that is not reached: a bucket gives at most a
-    row for each member, and what is alike in it is joined by these rows.
+def similar_prints(prints: DataFrame, like: float = LIKE) -> DataFrame:
+    """``node`` (hash of a fingerprint) and ``component`` of the fingerprints linked to others.
+
+    Two are linked if they agree in all digits of a band and pass verification.
+    Fingerprints are taken once each, whatever their number of documents; the buckets
+    of a band are families, whose links are followed outwards in blocks of bounded size.
     """
-    ship(prints.sparkSession)
-    rng = np.random.default_rng(77)
-    picks = [sorted(rng.choice(SAMPLES, BAND_DIGITS, replace=False).tolist()) for _ in range(BANDS)]
-    keys = F.array(*(F.concat(F.lit(f"{k}:"), *(F.substring("fingerprint", p + 1, 1) for p in own)) for k, own in enumerate(picks)))
-    banded = prints.select("fingerprint").distinct().select("fingerprint", F.explode(keys).alias("band"))
-    dealt = banded.repartition(buckets_for(prints.sparkSession, 1, 1), "band").sortWithinPartitions("band", "fingerprint")
-    return dealt.mapInArrow(_links(like), "fingerprint string, leader string, likeness double").distinct()
+    spark = prints.sparkSession
+    ship(spark)
+    with temporary(spark):
+        each = staged(prints.select("fingerprint").where("fingerprint is not null").distinct().select(F.xxhash64("fingerprint").alias("node"), "fingerprint"), "prints")
+        keys = F.array(*(F.xxhash64(F.lit(k), F.concat(*(F.substring("fingerprint", p + 1, 1) for p in own))) for k, own in enumerate(bands())))
+        banded = each.select("node", F.explode(keys).alias("family"))
+        shared = banded.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        members = staged(banded.join(shared, "family"), "members")
+        return lasting(linked_families(members, each.select("node", F.col("fingerprint").cast("binary").alias("body")), _link(like)), "linked")
 
 
 def similar_classes(prints: DataFrame, like: float = LIKE) -> DataFrame:
-    """Every row of ``prints`` with its ``class``: the least fingerprint that links lead to, its own where there are none."""
-    links = staged(similar_documents(prints, like), "links")
-    node = F.xxhash64
-    found = components(links.select(node("fingerprint").alias("a"), node("leader").alias("b")))
-    named = prints.select("fingerprint").distinct().join(found, node("fingerprint") == F.col("node"))
-    least = named.groupBy("component").agg(F.min("fingerprint").alias("class"))
-    named = named.join(least, "component").select("fingerprint", "class")
-    return prints.join(named, "fingerprint", "left").withColumn("class", F.coalesce("class", "fingerprint"))
+    """Every row of ``prints`` with ``class_id``: the least doc_id of the documents that links lead to, its own where there are none."""
+    linked = similar_prints(prints, like)
+    node = F.xxhash64("fingerprint").alias("node")
+    least = prints.groupBy(node).agg(F.min("doc_id").alias("least")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_class = least.groupBy("component").agg(F.min("least").alias("class_id"))
+    named = least.join(of_class, "component").select(F.col("node").alias("_node"), F.col("class_id").alias("_class"))
+    return prints.join(named, F.xxhash64("fingerprint") == F.col("_node"), "left").withColumn("class_id", F.col("_class")).drop("_node", "_class")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return edit_fingerprints(documents(spark, sf_dir)).drop("th")
+    prints = staged(edit_fingerprints(documents(spark, sf_dir)).drop("th"), "fingerprints")
+    sweep(spark)
+    return similar_classes(prints)
