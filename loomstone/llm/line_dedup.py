@@ -2,8 +2,9 @@
 
 Lines are exploded with their normalised keys hashed to 128 bits, distinct
 documents are counted per hash (partial counts before the shuffle), frequent
-hashes are joined back to the documents that hold them, and texts are put
-together again by position.
+hashes are joined back to the documents that hold them (broadcast up to
+``MOST_BROADCAST`` hashes, beyond that salted, for one line may be in most
+documents), and texts are put together again by position.
 
 Defined results: a null or empty text is one empty line; an empty key (a blank
 line) is never dropped; a document without lines left is an empty text; every
@@ -17,9 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, kept_schema, rows, staged, text_bytes, with_kept
+from .common import SPACES, chunks, kept_schema, lasting, rows, staged, temporary, text_bytes, with_kept
 
 MIN_DOCS = 10
+#: Frequent hashes of 16 bytes that are broadcast at most, and the parts of each beyond that.
+MOST_BROADCAST, SALTS = 500_000, 32
 
 
 def key_of(line: bytes) -> bytes:
@@ -56,13 +59,23 @@ def _reassemble(batches):
         )
 
 
+def _held(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The lines whose key is frequent."""
+    if frequent.count() <= MOST_BROADCAST:
+        return lines.join(F.broadcast(frequent), "key", "left_semi")
+    salt = F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int")
+    salted = frequent.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return lines.withColumn("salt", salt).join(salted, ["key", "salt"], "left_semi").drop("salt")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, th, n_lines, n_dropped, kept (the text without its frequent lines)."""
     d = rows(docs, id_col, text_col, keep)
-    lines = staged(d.select("doc_id", "th", "text").mapInArrow(_line_rows, "doc_id long, th long, key binary"), "lines")
-    frequent = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
-    # A copy of a row repeats its keys; collect_set keeps a document's list within its own distinct lines.
-    drop = lines.join(frequent, "key", "left_semi").groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_set("key").alias("drop"))
+    with temporary(docs.sparkSession):
+        lines = staged(d.select("doc_id", "th", "text").mapInArrow(_line_rows, "doc_id long, th long, key binary"), "lines")
+        frequent = staged(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"), "frequent")
+        # A copy of a row repeats its keys; collect_set keeps a document's list within its own distinct lines.
+        drop = lasting(_held(lines, frequent).groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_set("key").alias("drop")), "drop")
     both = d.join(drop, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").drop("d2", "th2")
     return both.mapInArrow(_reassemble, "doc_id long, th long, n_lines long, n_dropped long, kept string" + kept_schema(d))
 
