@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets_for, chunks, documents, kept_schema, rows, staged, text_bytes, with_kept
+from .common import WordHashes, buckets_for, chunks, documents, kept_schema, lasting, rows, sieve, sieved, staged, temporary, text_bytes, with_kept
 from .runs import covered, runs, spans
 
 WINDOW = 50
@@ -158,25 +158,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, th, n_words, n_removed, kept (the words left, joined by one space)."""
     spark = docs.sparkSession
     d = rows(docs, id_col, text_col, keep)
-    found = staged(d.select("doc_id", "th", "text").mapInArrow(_run_rows, "doc_id long, th long, key long, g long, start int, n int"), "runs")
-    order = F.coalesce("doc_id", F.lit(LAST))
-    # Equal stretches once each: the first document that has them, and whether others do.
-    each = found.groupBy("key", "g").agg(F.min(F.struct(order.alias("o"), "th", "start", "n")).alias("first"), (F.min(order) != F.max(order)).alias("again"))
-    of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("again")).where("kinds > 1 or again").select("key", "kinds")
-    kept = staged(each.drop("again").join(of_key, "key").select("key", "g", "first.*", "kinds"), "stretches")
-    # Only a key with unlike stretches needs the words compared.
-    unlike = kept.where("kinds > 1")
-    lists = unlike.groupBy("o", F.col("th").alias("th2")).agg(F.collect_list(F.struct("key", "g", "o", "start", "n")).alias("parts"))
-    cut = d.join(lists, (F.coalesce(d.doc_id, F.lit(LAST)) == lists.o) & (d.th == lists.th2)).select("text", "parts").mapInArrow(_cut, "key long, g long, o long, words binary")
-    total = unlike.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
-    shards = buckets_for(spark, total, SHARD_WORDS)
-    shard = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(shards)).cast("int").alias("shard")
-    judged = cut.select(shard, "key", "g", "o", "words").groupBy("shard").applyInArrow(_stream_shard, "key long, g long, spans array<int>")
-    # A stretch goes whole where an earlier document has it, else as its first document's was judged.
-    verdict = kept.join(judged, ["key", "g"], "left").select("key", "g", F.col("o").alias("first"), "spans")
-    whole = F.array(F.lit(0), F.col("n") + F.lit(WINDOW - 1))
-    hits = found.join(verdict, ["key", "g"]).withColumn("spans", F.when(order > F.col("first"), whole).otherwise(F.col("spans"))).where("spans is not null")
-    gone = hits.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("start", "spans")).alias("gone"))
+    with temporary(spark):
+        found = staged(d.select("doc_id", "th", "text").mapInArrow(_run_rows, "doc_id long, th long, key long, g long, start int, n int"), "runs")
+        order = F.coalesce("doc_id", F.lit(LAST))
+        # Equal stretches once each: the first document that has them, and whether others do.
+        each = found.groupBy("key", "g").agg(F.min(F.struct(order.alias("o"), "th", "start", "n")).alias("first"), (F.min(order) != F.max(order)).alias("again"))
+        of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("again")).where("kinds > 1 or again").select("key", "kinds")
+        kept = staged(each.drop("again").join(of_key, "key").select("key", "g", "first.*", "kinds"), "stretches")
+        # Only a key with unlike stretches needs the words compared.
+        unlike = kept.where("kinds > 1")
+        lists = unlike.groupBy("o", F.col("th").alias("th2")).agg(F.collect_list(F.struct("key", "g", "o", "start", "n")).alias("parts"))
+        # Only texts that may be wanted are dealt out.
+        some = sieved(d.select(F.xxhash64(order, "th").alias("h"), order.alias("o2"), "th", "text"), sieve(unlike.select(F.xxhash64("o", "th").alias("h")).distinct()))
+        cut = some.join(lists, (some.o2 == lists.o) & (some.th == lists.th2)).select("text", "parts").mapInArrow(_cut, "key long, g long, o long, words binary")
+        total = unlike.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
+        shards = buckets_for(spark, total, SHARD_WORDS)
+        shard = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(shards)).cast("int").alias("shard")
+        judged = cut.select(shard, "key", "g", "o", "words").groupBy("shard").applyInArrow(_stream_shard, "key long, g long, spans array<int>")
+        # A stretch goes whole where an earlier document has it, else as its first document's was judged.
+        verdict = kept.join(judged, ["key", "g"], "left").select("key", "g", F.col("o").alias("first"), "spans")
+        whole = F.array(F.lit(0), F.col("n") + F.lit(WINDOW - 1))
+        hits = found.join(verdict, ["key", "g"]).withColumn("spans", F.when(order > F.col("first"), whole).otherwise(F.col("spans"))).where("spans is not null")
+        gone = lasting(hits.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("start", "spans")).alias("gone")), "gone")
     out = d.join(gone, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").drop("d2", "th2")
     return out.mapInArrow(_remove, "doc_id long, th long, n_words long, n_removed long, kept string" + kept_schema(d))
 
