@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, chunks, documents, mixed, rows, staged, text_bytes
+from .common import buckets_for, chunks, documents, lasting, mixed, rows, sieve, sieved, staged, temporary, text_bytes
 from .runs import Rolling, covered, runs, spans
 
 WINDOW = 400
@@ -268,21 +268,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, th, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     spark = docs.sparkSession
     d = rows(docs, id_col, text_col)
-    found = staged(d.mapInArrow(_run_rows, "doc_id long, th long, key long, g long, start int, n int, twice boolean"), "runs")
-    each = found.groupBy("key", "g").agg(F.min(F.struct("doc_id", "th", "start", "n", "twice")).alias("first"), F.count(F.lit(1)).alias("times"))
-    of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("times").alias("most"), F.max("first.twice").alias("self")).where("kinds > 1 or most > 1 or self")
-    kept = staged(each.join(of_key.select("key", (F.col("kinds") > 1).alias("unlike"), "self"), "key").select("key", "g", "first.*", "times", (F.col("unlike") | F.col("self")).alias("look")), "stretches")
-    look = kept.where("look")
-    lists = look.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("key", "g", "start", "n")).alias("parts"))
-    cut = d.join(lists, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2"))).select("text", "parts").mapInArrow(_cut, "key long, g long, bytes binary")
-    total = look.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
-    shards = buckets_for(spark, total, SHARD_BYTES)
-    shard = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(shards)).cast("int").alias("shard")
-    judged = cut.select(shard, "key", "g", "bytes").groupBy("shard").applyInArrow(_sort_shard, "key long, g long, spans array<int>")
-    verdict = kept.join(judged, ["key", "g"], "left").select("key", "g", "times", "spans")
-    whole = F.array(F.lit(0), F.col("n") + F.lit(WINDOW - 1))
-    hits = found.join(verdict, ["key", "g"]).withColumn("spans", F.when(F.col("times") > 1, whole).otherwise(F.col("spans"))).where("spans is not null")
-    gone = hits.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("start", "spans")).alias("gone"))
+    with temporary(spark):
+        found = staged(d.mapInArrow(_run_rows, "doc_id long, th long, key long, g long, start int, n int, twice boolean"), "runs")
+        each = found.groupBy("key", "g").agg(F.min(F.struct("doc_id", "th", "start", "n", "twice")).alias("first"), F.count(F.lit(1)).alias("times"))
+        of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("times").alias("most"), F.max("first.twice").alias("self")).where("kinds > 1 or most > 1 or self")
+        kept = staged(each.join(of_key.select("key", (F.col("kinds") > 1).alias("unlike"), "self"), "key").select("key", "g", "first.*", "times", (F.col("unlike") | F.col("self")).alias("look")), "stretches")
+        look = kept.where("look")
+        lists = look.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("key", "g", "start", "n")).alias("parts"))
+        # Only texts that may be wanted are dealt out.
+        key = F.xxhash64("doc_id", "th").alias("h")
+        some = sieved(d.select(key, "doc_id", "th", "text"), sieve(look.select(key).distinct()))
+        cut = some.join(lists, some.doc_id.eqNullSafe(F.col("d2")) & (some.th == F.col("th2"))).select("text", "parts").mapInArrow(_cut, "key long, g long, bytes binary")
+        total = look.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
+        shards = buckets_for(spark, total, SHARD_BYTES)
+        shard = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(shards)).cast("int").alias("shard")
+        judged = cut.select(shard, "key", "g", "bytes").groupBy("shard").applyInArrow(_sort_shard, "key long, g long, spans array<int>")
+        verdict = kept.join(judged, ["key", "g"], "left").select("key", "g", "times", "spans")
+        whole = F.array(F.lit(0), F.col("n") + F.lit(WINDOW - 1))
+        hits = found.join(verdict, ["key", "g"]).withColumn("spans", F.when(F.col("times") > 1, whole).otherwise(F.col("spans"))).where("spans is not null")
+        gone = lasting(hits.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("start", "spans")).alias("gone")), "gone")
     out = d.join(gone, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").select("doc_id", "th", "text", "gone")
     return out.mapInArrow(_remove, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary")
 
