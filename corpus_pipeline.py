@@ -2,12 +2,20 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame that is written as Parquet and read again as the next one's docs.  All but
-the last return the columns of documents.
+the last return the columns of documents, whatever their names.
+
+Defined results, by stage: (language) a document whose text is null, empty or without
+letters goes, one of several languages goes if none has half the letters; (lines) a
+text that loses all lines is empty, and stays; (similarity) of rows of one id and text
+one stays, documents without words all stay, and of a group all with null ids one of
+the null ids' texts stays; (substrings) a null text stays null; (packing) a null text
+is an empty one.  Empty tables give empty tables.  Repeated rows are judged one by one
+but for similarity.
 """
 
 from __future__ import annotations
 
-import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,36 +25,19 @@ from loomstone.llm.common import documents, release, scope, staged
 
 #: A document is rejected where no language has this share of its letters.
 LEAST_SHARE = 0.5
-#: SQL cannot express these stages; tests hold them against brute force.
+#: SQL cannot express these stages; tests/llm holds each against brute force.
 ORACLE_SQL = None
 
 
-def _stage(place: int):
-    """A stage's docs are read from where its predecessor's result was written, so what earlier stages staged can go."""
-
-    def wrap(fn):
-        @functools.wraps(fn)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            for k in range(place):
-                release(spark, ("pipeline", sf_dir, k))
-            with scope(("pipeline", sf_dir, place)):
-                return fn(spark, docs, sf_dir)
-
-        return run_stage
-
-    return wrap
-
-
 def _back(out: DataFrame, docs: DataFrame, kept: list[str], new: dict) -> DataFrame:
     """The columns of ``docs`` again: ``new`` ones by name, the others from the kept columns."""
     return out.select(*((new[c] if c in new else F.col(f"_k{kept.index(c)}")).alias(c) for c in docs.columns))
 
 
-def _others(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c not in ("doc_id",)]
+def _others(docs: DataFrame, *own: str) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", *own)]
 
 
-@_stage(0)
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those of which no language has half the letters, go; missing labels are filled in."""
     kept = _others(docs)
@@ -55,33 +46,31 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(out, docs, kept, {"doc_id": F.col("doc_id"), "lang": F.coalesce(F.col(f"_k{kept.index('lang')}"), "lang_pred")})
 
 
-@_stage(1)
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that many documents have."""
-    kept = [c for c in _others(docs) if c not in ("text", "n_chars")]
+    kept = _others(docs, "text", "n_chars")
     out = line_dedup.line_dedup(docs, keep=kept)
     return _back(out, docs, kept, {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
 
 
-@_stage(2)
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least id stays."""
-    stay = jaccard_join.jaccard_join(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
-    own = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    left = own.join(stay, own.doc_id.eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return left.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    least = jaccard_join.jaccard_join(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    stay = least.select(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).distinct()
+    # The columns go through as one, so that no name of theirs can clash.
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = own.join(stay, own.d.eqNullSafe(F.col("d2")) & (own.th == F.col("th2")), "left_semi")
+    return left.dropDuplicates(["d", "th"]).select("row.*")
 
 
-@_stage(3)
 def by_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the stretches of words that an earlier document has; texts that lose nothing stay as they are."""
-    kept = [c for c in _others(docs) if c != "n_chars"]
+    kept = _others(docs, "n_chars")
     out = substring_dedup.substring_dedup(docs, keep=kept)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"_k{kept.index('text')}"))
     return _back(out, docs, kept, {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")})
 
 
-@_stage(4)
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
     return packing.pack_documents(docs).drop("th")
@@ -97,7 +86,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, own, before = documents(spark, sf_dir), uuid.uuid4().hex, None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scope(key := (own, name)):
+            docs = staged(stage(spark, docs, sf_dir), name)
+        if before:
+            release(spark, before)  # the stage before has been read and written anew
+        before = key
     return STAGES[-1][1](spark, docs, sf_dir)
