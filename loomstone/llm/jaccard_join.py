@@ -3,17 +3,16 @@
 Method: multiple-global-order filtering.  Under any order of the tokens, two sets
 that overlap in ``o`` tokens share their first k common tokens within prefixes of
 n - o + k tokens.  The first order is applied to all documents, with longer
-prefixes of which a certain number must be shared with others; then all tokens of
-what is left; then a second order groups what is left into families that share
-prefix tokens, and a third splits the families.  A document pair has to pass under
-every order before its sets are compared.  Sets equal to each other are one class
-throughout, so copies cost one member.
-
-Within a family, links are followed outwards from one document at a time; each
-document is compared once, with the documents not reached so far, by counting its
-tokens in their posting lists.  Families over ``BLOCK`` documents are dealt out as
-pairs of blocks.  Links never leave the tasks one by one: a task gives each of its
-documents the least one it is connected to.
+prefixes of which a certain number must be shared with others.  A second order has rare
+tokens first, so that what has only a common passage in common shares no prefix token;
+it groups what is left into families.  Within a family a pair is a candidate if it shares a prefix token under each of
+``ORDERS``: their lists are intersected, and only what is left has its sets compared.
+Sets equal to each other are one class throughout, so copies cost one member.
+
+Within a family, links are followed outwards from one set at a time; each set is
+compared once, with the sets not reached so far.  Large families are dealt out (see
+``families``).  Links never leave the tasks one by one: a task gives each of its sets
+the least one it is connected to.
 
 Defined results: a document without words (null, empty or blank) has no shingles,
 no links and itself as component; fewer than five words are one shingle; rows of
@@ -22,6 +21,7 @@ equal sets are linked; a null id is never a component's least id unless all are
 
 from __future__ import annotations
 
+import functools
 from itertools import chain
 
 import numpy as np
@@ -29,14 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets_for, chunks, documents, grams, mixed, rows, staged, text_bytes
+from .common import WordHashes, buckets_for, chunks, documents, grams, lasting, mixed, rows, sieve, sieved, staged, temporary, text_bytes
 from .components import components
+from .families import linked_families
 
 WORDS = 5
 #: Percent of the union that the intersection must have.
 LIKE = 80
-BLOCK = 6000
 TOKENS_A_BUCKET = 1_000_000
+#: Tokens of candidates that are counted at once.
+COUNTED = 4_000_000
+#: The global orders under which a pair must share prefix tokens before its sets are compared.
+RARE = -1
+ORDERS = (RARE, 0, 2)
+#: Cells in which tokens are counted for the order that has rare ones first.
+CELL_BITS = 22
 
 
 def least_overlap(n):
@@ -68,23 +75,12 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batches):
-    """Each document's signature and its first-order prefix; a set that the task has just seen brings no prefix again."""
-    hashes, seen = WordHashes(), set()
+    """Each document's number of shingles and signature."""
+    hashes = WordHashes()
     for b in chunks(batches):
-        n, s1, s2, prefix = [], [], [], []
-        for s in shingle_sets(text_bytes(b.column("text")), hashes):
-            x, y = signature(s)
-            n.append(len(s))
-            s1.append(x)
-            s2.append(y)
-            if not len(s) or (x, y) in seen:
-                prefix.append(None)
-                continue
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.add((x, y))
-            prefix.append(s[: len(s) - least_overlap(len(s)) + -(-len(s) // 8)].tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.binary())], names=["doc_id", "th", "n", "s1", "s2", "tokens"])
+        own = shingle_sets(text_bytes(b.column("text")), hashes)
+        sig = [signature(s) for s in own]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(map(len, own), pa.int64()), *(pa.array([x[k] for x in sig], pa.int64()) for k in (0, 1))], names=["doc_id", "th", "n", "s1", "s2"])
 
 
 def _whole_sets(batches):
@@ -95,43 +91,125 @@ def _whole_sets(batches):
 
 
 def ordered(tokens: np.ndarray, order: int) -> np.ndarray:
-    """A set under another global order: its tokens renamed by a bijection, ascending."""
-    return np.sort(mixed(tokens, 20 + order))
+    """A set under another global order: its tokens renamed by a bijection, ascending; order 0 is their own."""
+    return np.sort(mixed(tokens, 20 + order)) if order else tokens
+
+
+def prefix(s: np.ndarray, order: int, more: int = 0) -> np.ndarray:
+    """The tokens among which a set has one, and up to ``more`` others, in common with any set that it is linked to."""
+    return ordered(s, order)[: len(s) - least_overlap(len(s)) + 1 + more]
+
+
+def _blobs(sigs: list[int], own: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    """Sets as blobs of (token, signature) by bucket of tokens."""
+    token, doc = np.concatenate(own), np.repeat(np.arange(len(own)), np.fromiter(map(len, own), dtype=np.int64))
+    bucket = (mixed(token, 9) % np.uint64(n_buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    token, doc, bucket = token[by], doc[by], bucket[by]
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    sig = np.array(sigs, dtype=np.int64)
+    out = []
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        d = doc[i:j]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
+        count = np.diff(np.append(first, len(d)))
+        out.append((int(bucket[i]), token[i:j].tobytes(), sig[d[first]].tobytes(), count.astype(np.uint32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "sigs", "counts"])
 
 
-def _deal(order: int, n_buckets: int):
-    """Rows (s1, n, tokens) to blobs of (token, s1) by bucket of tokens; under a later order only the prefix goes."""
+BLOBS = "bucket int, tokens binary, sigs binary, counts binary"
+
+
+def _first_prefixes(n_buckets: int):
+    """Long prefixes under the first order, from the texts; a set that the task has just seen is not sent again."""
 
     def run(batches):
-        for b in batches:
-            own, sigs = [], []
-            for s1, t in zip(b.column("s1").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                if not t:
+        hashes, seen = WordHashes(), set()
+        for b in chunks(batches):
+            sigs, own = [], []
+            for s in shingle_sets(text_bytes(b.column("text")), hashes):
+                if not len(s) or (x := signature(s)) in seen:
                     continue
-                s = np.frombuffer(t, dtype=np.uint64)
-                if order:
-                    s = ordered(s, order)[: len(s) - least_overlap(len(s)) + 1]
-                own.append(s)
-                sigs.append(s1)
-            if not own:
-                continue
-            token, doc = np.concatenate(own), np.repeat(np.arange(len(own)), np.fromiter(map(len, own), dtype=np.int64))
-            bucket = (mixed(token, 9) % np.uint64(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            token, doc, bucket = token[by], doc[by], bucket[by]
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            sig = np.array(sigs, dtype=np.int64)
-            out = []
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                d = doc[i:j]
-                first = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-                count = np.diff(np.append(first, len(d)))
-                out.append((int(bucket[i]), token[i:j].tobytes(), sig[d[first]].tobytes(), count.astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "sigs", "counts"])
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(x)
+                sigs.append(x[0])
+                own.append(prefix(s, 0, len(s) // 8))
+            if own:
+                yield _blobs(sigs, own, n_buckets)
 
     return run
 
 
+def _prefixes(orders: Orders, n_buckets: int):
+    def run(batches):
+        for b in batches:
+            sets = [np.frombuffer(t, dtype=np.uint64) for t in b.column("tokens").to_pylist()]
+            if sets:
+                yield _blobs(b.column("s1").to_pylist(), [orders.prefix(s, RARE) for s in sets], n_buckets)
+
+    return run
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens, 40) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cells(batches):
+    """How many sets of the task have a token in each cell, by block of cells; 255 stands for more."""
+    for b in batches:
+        own = [np.frombuffer(t, dtype=np.uint64) for t in b.column("tokens").to_pylist()]
+        if not own:
+            continue
+        cell, n = np.unique(_cell(np.concatenate(own)), return_counts=True)
+        edge = np.concatenate([np.flatnonzero(np.diff(cell >> 16, prepend=-1)), [len(cell)]]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([int(cell[i]) >> 16 for i in edge[:-1]], pa.int32()), pa.array([cell[i:j].astype(np.uint16).tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary()), pa.array([np.minimum(n[i:j], 255).astype(np.uint8).tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary())], names=["block", "cells", "counts"])
+
+
+def _cell_levels(table: pa.Table) -> pa.Table:
+    """The number of sets in each cell of a block, in quarters of a power of two."""
+    total = np.zeros(1 << 16)
+    for at, n in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        np.add.at(total, np.frombuffer(at, dtype=np.uint16), np.frombuffer(n, dtype=np.uint8))
+    return pa.table({"block": table.column("block")[:1], "levels": pa.array([np.minimum(4 * np.log2(1 + total), 255).astype(np.uint8).tobytes()], pa.binary())})
+
+
+class Orders:
+    """Global orders of the tokens: that of their hashes, others by bijections of these, and rare ones first.
+
+    Frequencies are those of cells of hashed tokens, a table of fixed size: any order
+    is right, and one that has frequent tokens last keeps what has only a common
+    passage in common apart.
+    """
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
+
+    def prefix(self, s: np.ndarray, order: int) -> np.ndarray:
+        """The tokens among which a set has one in common with any set that it is linked to."""
+        n = len(s) - least_overlap(len(s)) + 1
+        if order != RARE:
+            return prefix(s, order)
+        return s[np.lexsort((mixed(s, 41), self.levels[_cell(s)]))[:n]]
+
+
+def _orders(whole: DataFrame) -> Orders:
+    levels = np.zeros((1 << CELL_BITS) >> 16 << 16, dtype=np.uint8).reshape(-1, 1 << 16)
+    found = whole.select("tokens").mapInArrow(_cells, "block int, cells binary, counts binary").groupBy("block").applyInArrow(_cell_levels, "block int, levels binary")
+    for r in found.toLocalIterator():  # a row for each block
+        levels[r.block] = np.frombuffer(r.levels, dtype=np.uint8)
+    return Orders(levels.ravel())
+
+
+def _found_again(token: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose token has a neighbour with the same token."""
+    same = token[1:] == token[:-1]
+    keep = np.zeros(len(token), dtype=bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    return token[keep], sig[keep]
+
+
 def _common(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The (token, s1) pairs of a bucket whose token has at least two sets, sorted."""
     token = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()])
@@ -139,17 +217,13 @@ def _common(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(token, kind="stable")
     token, sig = token[by], sig[by]
     for _ in range(2):  # first tokens found once go, then pairs found again, then tokens of one set
-        same = token[1:] == token[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        token, sig = token[keep], sig[keep]
+        token, sig = _found_again(token, sig)
         by = np.lexsort((sig, token))
         token, sig = token[by], sig[by]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
         token, sig = token[new], sig[new]
-    same = token[1:] == token[:-1]
-    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(token) else np.zeros(0, dtype=bool)
-    return token[keep], sig[keep]
+    return _found_again(token, sig)
 
 
 def _shared_counts(parts: int):
@@ -183,142 +257,109 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
 
-def _by_bucket(sets: DataFrame, order: int, n_buckets: int, what, schema: str) -> DataFrame:
-    dealt = sets.select("s1", "tokens").mapInArrow(_deal(order, n_buckets), "bucket int, tokens binary, sigs binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(what, schema)
-
-
-def _shared(sets: DataFrame, n_buckets: int) -> DataFrame:
-    """s1 and the number of its tokens that other sets have."""
-    parts = _by_bucket(sets, 0, n_buckets, _shared_counts(n_buckets), "part int, sigs binary, counts binary")
-    return parts.groupBy("part").applyInArrow(_add_counts, "s1 long, shared long")
-
+class Family:
+    """Sets that may be linked: the lists of an order have the sets of each prefix token."""
 
-class Postings:
-    """Posting lists of the sets not reached yet; lists shrink as the sets are reached."""
-
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], orders: Orders):
         self.size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-        doc = np.repeat(np.arange(len(sets)), self.size)
-        token = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.uint64)
-        _, number, count = np.unique(token, return_inverse=True, return_counts=True)
-        used = count[number] > 1  # a token of one set tells nothing
-        self.doc, self.token = doc[used], number[used]
+        self.start = np.append(0, np.cumsum(self.size))
+        _, self.token = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(int(self.token.max()) + 1, dtype=bool)
         self.open = np.ones(len(sets), dtype=bool)
-        self.n_tokens = len(count)
-        self.own_start = np.searchsorted(self.doc, np.arange(len(sets) + 1))
-        self.own = self.token.copy()
-        self._build()
-
-    def _build(self) -> None:
-        live = self.open[self.doc]
-        self.doc, self.token = self.doc[live], self.token[live]
-        by = np.argsort(self.token, kind="stable")
-        self.list = self.doc[by]
-        self.start = np.searchsorted(self.token[by], np.arange(self.n_tokens + 1))
-        self.built = int(self.open.sum())
-
-    def reach(self, k: int) -> None:
-        self.open[k] = False
+        self.lists = [self._lists([orders.prefix(s, order) for s in sets]) for order in ORDERS]
+
+    @staticmethod
+    def _lists(own: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        doc = np.repeat(np.arange(len(own)), size)
+        _, number, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        used = count[number] > 1  # a token of one set tells nothing
+        doc, number = doc[used], number[used]
+        by = np.argsort(number, kind="stable")
+        return number, np.searchsorted(doc, np.arange(len(own) + 1)), doc[by], np.searchsorted(number[by], np.arange(len(count) + 1))
+
+    def candidates(self, k: int) -> np.ndarray:
+        """Open sets that share a prefix token with set k under every order."""
+        left = self.open
+        for number, own, docs, start in self.lists:
+            t = number[own[k] : own[k + 1]]
+            begin, n = start[t], start[t + 1] - start[t]
+            met = np.zeros(len(self.size), dtype=bool)
+            met[docs[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] = True
+            left = left & met
+            if not left.any():
+                break
+        return np.flatnonzero(left)
 
     def linked(self, k: int) -> np.ndarray:
-        """The sets not reached yet that are linked with set k."""
-        if self.built > 64 and int(self.open.sum()) * 2 < self.built:
-            self._build()
-        t = self.own[self.own_start[k] : self.own_start[k + 1]]
-        begin, n = self.start[t], self.start[t + 1] - self.start[t]
-        hits = self.list[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        both = np.bincount(hits, minlength=len(self.size))
-        found = np.flatnonzero(self.open & (both > 0))
-        return found[100 * both[found] >= LIKE * (self.size[k] + self.size[found] - both[found])]
-
-
-def link(sigs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """The open sets that are linked with set k."""
+        found = self.candidates(k)
+        if not len(found):
+            return found
+        own = self.token[self.start[k] : self.start[k + 1]]
+        self.mark[own] = True
+        both, at = np.empty(len(found), dtype=np.int64), 0
+        ends = np.cumsum(self.size[found])
+        while at < len(found):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, side="right")))
+            n = self.size[found[at:to]]
+            first = np.cumsum(n) - n
+            both[at:to] = np.add.reduceat(self.mark[self.token[np.repeat(self.start[found[at:to]] - first, n) + np.arange(int(n.sum()))]], first, dtype=np.int64)
+            at = to
+        self.mark[own] = False
+        return found[100 * both >= LIKE * (self.size[k] + self.size[found] - both)]
+
+
+def link(sigs: list[int], blobs: list[bytes], orders: Orders) -> list[tuple[int, int]]:
     """(signature, the least signature it is connected to) within a family of distinct sets."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in blobs]
     order = sorted(range(len(sigs)), key=lambda k: sigs[k])
-    out: list[tuple[int, int]] = []
-    # Under a third order, only sets that share a prefix token can be linked: split the family so.
-    parent = list(range(len(sigs)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    if len(sigs) > 2:
-        seen: dict[int, int] = {}
-        for k in order:
-            s = sets[k]
-            for t in ordered(s, 3)[: len(s) - least_overlap(len(s)) + 1].tolist():
-                j = seen.setdefault(t, k)
-                if j != k and (a := root(j)) != (b := root(k)):
-                    parent[b] = a
-    groups: dict[int, list[int]] = {}
-    for k in order:
-        groups.setdefault(root(k) if len(sigs) > 2 else 0, []).append(k)
-    for group in groups.values():
-        if len(group) < 2:
+    family, out = Family([sets[k] for k in order], orders), []
+    for first in range(len(order)):
+        if not family.open[first]:
             continue
-        p = Postings([sets[k] for k in group])
-        for first in range(len(group)):
-            if not p.open[first]:
-                continue
-            p.reach(first)
-            front = [first]
-            while front:
-                for k in p.linked(front.pop()).tolist():
-                    p.reach(k)
-                    front.append(k)
-                    out.append((sigs[group[k]], sigs[group[first]]))
+        family.open[first] = False
+        front = [first]
+        while front:
+            near = family.linked(front.pop())
+            family.open[near] = False
+            front += near.tolist()
+            out += [(sigs[order[k]], sigs[order[first]]) for k in near.tolist()]
     return out
 
 
-def _link_families(batches):
-    """Rows (family, part, s1, n, tokens) sorted by family and part."""
-    key, held = None, {}
-
-    def flush():
-        pairs = link(list(held), [np.frombuffer(x, dtype=np.uint64) for x in held.values()]) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    for b in batches:
-        for *now, s1, t in zip(*(b.column(c).to_pylist() for c in ("family", "part", "s1", "tokens")), strict=True):
-            if now != key:
-                if len(held) > 1:
-                    yield flush()
-                key, held = now, {}
-            held[s1] = t
-    if len(held) > 1:
-        yield flush()
+def _links(spark, d: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node`` and ``component``, as signatures, of all sets that are linked."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    # First order: of a linked set's prefix at least a tenth of the set is shared with others.
+    n_buckets = buckets_for(spark, total / 3, TOKENS_A_BUCKET)
+    parts = d.select("text").mapInArrow(_first_prefixes(n_buckets), BLOBS).groupBy("bucket").applyInArrow(_shared_counts(n_buckets), "part int, sigs binary, counts binary")
+    count = parts.groupBy("part").applyInArrow(_add_counts, "s1 long, shared long")
+    left = classes.join(count, "s1").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
+    key = F.xxhash64("doc_id", "th").alias("h")
+    left = staged(left.select("s1", "s2", "n", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth")), "left")
+    # Only texts that may be wanted are dealt out.
+    some = sieved(d.select(key, "doc_id", "th", "text"), sieve(left.select(F.xxhash64("rid", "rth").alias("h"))))
+    found = some.join(left, some.doc_id.eqNullSafe(F.col("rid")) & (some.th == F.col("rth"))).select("s1", "s2", "n", "text")
+    whole = staged(found.mapInArrow(_whole_sets, "s1 long, s2 long, n long, tokens binary"), "whole")
+    # Second order, rare tokens first: families.
+    orders = _orders(whole)
+    n_buckets = buckets_for(spark, (whole.agg(F.sum("n")).first()[0] or 0) / 5, TOKENS_A_BUCKET)
+    stars = whole.select("s1", "tokens").mapInArrow(_prefixes(orders, n_buckets), BLOBS).groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    family = components(stars).select("node", F.col("component").alias("family"))
+    members = staged(family.join(family.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family").select("node", "family", "members"), "members")
+    return linked_families(members, whole.select(F.col("s1").alias("node"), F.col("tokens").alias("body")), functools.partial(link, orders=orders))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, th, n_shingles, component_id."""
     spark = docs.sparkSession
     d = rows(docs, id_col, text_col)
-    sets = staged(d.mapInArrow(_sets, "doc_id long, th long, n long, s1 long, s2 long, tokens binary"), "sets")
+    sets = staged(d.mapInArrow(_sets, "doc_id long, th long, n long, s1 long, s2 long"), "sets")
     classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    total = sets.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    # First order: of a linked set's prefix at least a tenth of the set is shared with others.
-    count = _shared(sets.where("tokens is not null"), buckets_for(spark, total / 8, TOKENS_A_BUCKET))
-    left = classes.join(count, "s1").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
-    left = left.select("s1", "s2", "n", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
-    found = d.join(left, d.doc_id.eqNullSafe(F.col("rid")) & (d.th == F.col("rth"))).select("s1", "s2", "n", "text")
-    whole = staged(found.mapInArrow(_whole_sets, "s1 long, s2 long, n long, tokens binary"), "whole")
-    total = whole.agg(F.sum("n")).first()[0] or 0
-    # All tokens: a linked set shares at least its least overlap with others.
-    n_buckets = buckets_for(spark, total, TOKENS_A_BUCKET)
-    count = _shared(whole, n_buckets)
-    near = staged(whole.join(count, "s1").where(F.col("shared") >= F.ceil(F.col("n") * LIKE / 100)).select("s1", "n", "tokens"), "near")
-    # Second order: families.
-    family = components(_by_bucket(near, 2, n_buckets, _stars, "a long, b long"))
-    sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    in_family = near.join(family.join(sizes, "component").select(F.col("node").alias("s1"), F.col("component").alias("family"), "blocks"), "s1")
-    block = F.pmod(F.xxhash64("s1", F.lit(3)), F.col("blocks")).cast("int")
-    part = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, block) * 65536 + F.greatest(k, block))
-    dealt = in_family.select("family", F.explode(part).alias("part"), "s1", "tokens").repartition(buckets_for(spark, 1, 1), "family", "part").sortWithinPartitions("family", "part", "s1")
-    linked = components(dealt.mapInArrow(_link_families, "a long, b long"))
+    with temporary(spark):
+        linked = _links(spark, d, sets, classes)
+        linked = lasting(linked, "linked")
     # Names of components: the least id of all their classes.
     named = classes.select("s1", "s2", "least").join(linked.withColumnRenamed("node", "s1"), "s1", "left")
     of_linked = named.where("component is not null").groupBy("component").agg(F.min("least").alias("least_all"))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomstone.llm import bpe, edit_fingerprint, jaccard_join, language_id, line_dedup, lm_scoring, packing, substring_dedup, suffix_dedup, tiff
+from loomstone.llm import bpe, edit_fingerprint, families, jaccard_join, language_id, line_dedup, lm_scoring, packing, substring_dedup, suffix_dedup, tiff
 from loomstone.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, piece string, key long"
@@ -81,22 +81,60 @@ def test_jaccard_join(docs):
     assert len(got) == len(rows)
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
 
+@pytest.mark.parametrize("texts", [["one two three four"], [None, "a b c d e f"], [f"{k} w{k}a w{k}b w{k}c w{k}d w{k}e w{k}f" for k in range(300)], ["a b c d e f g", "h i j k l m n", "a b c d e f g"]])
+def test_jaccard_without_links(spark, texts):
+    """Tables in which no bucket, or only some, have a shared token; a null id beside others."""
+    df = spark.createDataFrame([(None if k == 0 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = jaccard_join.jaccard_join(df).collect()
+    same = {t: [k or None for k, x in enumerate(texts) if x == t] for t in texts}
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0) for r in got) == sorted((k == 0, k, min(x for x in same[t] if x) if t and any(same[t]) else 0) for k, t in enumerate(texts))
 
-def test_jaccard_link_blocks(monkeypatch, spark):
-    """Families dealt out as pairs of blocks give the same components."""
-    base = [f"w{k}" for k in range(120)]
-    rnd = random.Random(2)
-    rows = []
-    for k in range(40):
+
+def near_copies(n, seed=2, size=120):
+    base, rnd, rows = [f"w{k}" for k in range(size)], random.Random(seed), []
+    for k in range(n):
         w = list(base)
         for _ in range(rnd.randint(0, 3)):
             w[rnd.randrange(len(w))] = f"x{k}{rnd.random()}"
-        rows.append((k, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df).collect()}
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
-    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df).collect()} == whole
-    assert len(set(whole.values())) < 40
+        rows.append(" ".join(w))
+    return rows
+
+
+def classes_of(texts):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_jaccard_large_families(monkeypatch, spark):
+    """Families dealt out in blocks, with what lies outside the largest class in a second round, against brute force."""
+    chain = [f"c{k}" for k in range(60)]
+    texts = near_copies(70)
+    for k in range(25):  # a chain whose ends are unlike, hanging on the copies by prefix tokens only
+        chain = chain[1:] + [f"d{k}"]
+        texts.append(" ".join([f"w{k}" for k in range(12)] + chain))
+    random.Random(3).shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(families, "BLOCK", 6)
+    monkeypatch.setattr(families, "PIVOTS", 2)
+    want = classes_of(texts)
+    assert [r.component_id for r in sorted(jaccard_join.jaccard_join(df).collect())] == want
+    assert len(set(want)) > 3
+
+
+def test_jaccard_candidates_pass_every_order():
+    sets = [np.unique(x) for x in jaccard_join.shingle_sets([t.encode() for t in near_copies(40)], jaccard_join.WordHashes())]
+    orders = jaccard_join.Orders(np.random.default_rng(1).integers(0, 99, 1 << jaccard_join.CELL_BITS, dtype=np.uint8))
+    family = jaccard_join.Family(sets, orders)
+    for k, s in enumerate(sets):
+        want = [j for j, t in enumerate(sets) if all(np.intersect1d(orders.prefix(s, o), orders.prefix(t, o)).size for o in jaccard_join.ORDERS)]
+        assert family.candidates(k).tolist() == want
+        both = [len(np.intersect1d(s, t)) for t in sets]
+        assert family.linked(k).tolist() == [j for j in range(40) if 100 * both[j] >= 80 * (len(s) + len(sets[j]) - both[j])]
 
 
 def test_components(spark):
@@ -314,16 +352,6 @@ def test_edit_fingerprints(docs):
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
 
 
-def test_similar_documents(spark):
-    rnd = random.Random(1)
-    base = "".join(rnd.choice("abcdefghij ") for _ in range(2000))
-    other = "".join(rnd.choice("abcdefghij ") for _ in range(2000))
-    close = base[:700] + "x" + base[701:1500] + base[1503:]
-    prints = [edit_fingerprint.text_of(p) for p in edit_fingerprint.fingerprints([base, close, other])]
-    pairs = {frozenset((r.fingerprint, r.leader)) for r in edit_fingerprint.similar_documents(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()}
-    assert pairs == {frozenset(prints[:2])}
-
-
 def test_language_id(spark):
     rnd = random.Random(6)
     own = {"aa": ["tion", "ing", "the", "and", "er"], "bb": ["ung", "lich", "ein", "sch", "der"], "cc": ["при", "вет", "мир", "на", "дом"]}
@@ -403,3 +431,82 @@ def test_null_ids(name, spark):
     df = spark.createDataFrame([(None, "a b c d e f", None), (None, None, None), (1, "a b c d e f", "en")], "doc_id long, text string, lang string")
     got = OPERATORS[name](df).collect()
     assert len(got) == 3 and sum(r.doc_id is None for r in got) == 2
+
+
+def test_tiff_hostile_and_half_broken(spark):
+    import struct
+
+    def one_page(width, height, raw, compression=1, bits=8, predictor=1, extra=()):
+        fields = sorted([(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, bits), (259, 3, 1, compression), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, height), (279, 4, 1, len(raw)), (317, 3, 1, predictor), *extra])
+        return b"II*\0" + struct.pack("<I", 8 + len(raw)) + raw + struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + b"\0\0\0\0"
+
+    payload = bytes(range(256)) * 64
+    whole = bytearray(tiff.write_gray(payload, page_rows=64))
+    n_pages = len(list(tiff.pages(bytes(whole))))
+    at = struct.unpack_from("<I", whole, 4)[0]
+    for _ in range(2):  # the third directory gets a compression that does not exist
+        at = struct.unpack_from("<I", whole, at + 2 + 12 * struct.unpack_from("<H", whole, at)[0])[0]
+    struct.pack_into("<I", whole, at + 2 + 12 * 3 + 8, 99)
+    files = [one_page(1 << 20, 1 << 20, b"x" * 20, 8), one_page(1 << 31, 4, b"x"), one_page(8, 8, zlib.compress(bytes(10**7)), 8), one_page(8, 8, b"abc"), one_page(8, 8, bytes(range(16)), bits=2, predictor=2), one_page(8, 1, b"\x01\x80" * 4, extra=[(266, 3, 1, 2)]), bytes(whole)]
+    df = spark.createDataFrame([(k, bytearray(m)) for k, m in enumerate(files)] + [(None, bytearray(files[5]))], "i long, m binary").selectExpr("i", "m", "'x' AS file_id", "1 AS media")
+    got = tiff.tiff_pages(df, "i", "m").collect()
+    pages = {k: [(r.page, r.error is not None) for r in got if r.file_id == k] for k in [*range(len(files)), None]}
+    assert [pages[k] for k in (0, 1, 3, 4)] == [[(-1, True)]] * 4 and pages[2] == [(0, False)]
+    assert pages[5] == pages[None] == [(0, False)] and next(r.pixels for r in got if r.file_id == 5) == b"\x80\x01" * 4
+    assert n_pages == 4 and pages[6] == [(0, False), (1, False), (-1, True)]
+
+
+def test_tiff_planes_float_and_big():
+    """Separate planes, the floating-point predictor and 64-bit offsets, each undone by hand."""
+    import struct
+
+    def write(fields, strips, big=False):
+        word, entry = ("Q", 16) if big else ("I", 4)
+        out = bytearray(b"II+\0\x08\0\0\0" + bytes(8) if big else b"II*\0" + bytes(4))
+        offsets = []
+        for x in strips:
+            offsets.append(len(out))
+            out += x
+        kind, far = (16 if big else 4), {}
+        for tag, v in ((273, offsets), (279, [len(x) for x in strips])):
+            far[tag] = v[0] if len(v) == 1 else len(out)
+            if len(v) > 1:
+                out += struct.pack(f"<{len(v)}{word}", *v)
+        struct.pack_into("<" + word, out, 8 if big else 4, len(out))
+        fields = sorted([*fields, (273, kind, len(strips), far[273]), (279, kind, len(strips), far[279])])
+        out += struct.pack("<Q" if big else "<H", len(fields)) + b"".join(struct.pack("<HH" + 2 * word, *f) for f in fields) + bytes(entry)
+        return bytes(out)
+
+    rng = np.random.default_rng(5)
+    rgb = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    base = [(256, 4, 1, 7), (257, 4, 1, 5), (278, 4, 1, 5)]
+    planar = write([*base, (258, 3, 1, 8), (259, 3, 1, 1), (277, 3, 1, 3), (284, 3, 1, 2)], [rgb[:, :, k].tobytes() for k in range(3)])
+    assert next(tiff.pages(planar))["pixels"] == rgb.tobytes()
+    real = rng.normal(size=(5, 7)).astype("<f4")
+    rows = b""
+    for row in real:
+        planes = np.frombuffer(row.astype(">f4").tobytes(), dtype=np.uint8).reshape(7, 4).T.ravel().astype(int)
+        rows += bytes((np.diff(planes, prepend=0) % 256).tolist())
+    for big in (False, True):
+        got = next(tiff.pages(write([*base, (258, 3, 1, 32), (259, 3, 1, 8), (277, 3, 1, 1), (317, 3, 1, 3)], [zlib.compress(rows)], big)))
+        assert got["pixels"] == real.tobytes() and got["bits"] == 32
+
+
+def test_two_hundred_languages(spark):
+    rnd = random.Random(11)
+    own = {f"l{k:03d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(200)}
+    rows = [(k, " ".join(rnd.choice(own[lang]) for _ in range(30)), lang) for k, lang in enumerate([*own] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(language_id.identify(df, language_id.fit(df)))
+    assert all(got[d].lang_pred == lang for d, _, lang in rows)
+
+
+def test_viterbi_matches_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for n, langs in ((1, 3), (4, 2), (6, 3)):
+        known = rng.normal(scale=6, size=(20, langs)).astype(np.float32)
+        slots = rng.integers(0, 20, n)
+        best = max(itertools.product(range(langs), repeat=n), key=lambda p: sum(known[s, k] for s, k in zip(slots, p, strict=True)) - 4.0 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
+        assert tuple(language_id.viterbi(known, slots, np.array([n]), 4.0).tolist()) == best
