@@ -75,11 +75,6 @@ def hex16(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def bands(fingerprint: Column) -> Column:
-    """Four stretches of four hex digits, each with its number: fingerprints at distance 3 share one at least."""
-    return F.array(*(F.concat(F.lit(f"{k}:"), F.substring(fingerprint, 4 * k + 1, 4)) for k in range(4)))
-
-
 def document_id(tenant: Column, uri: Column) -> Column:
     return F.substring(F.sha2(F.concat(tenant, F.lit("\0"), uri), 256), 1, 32)
 
@@ -118,9 +113,12 @@ def invisible_count(c: str | Column) -> Column:
     return (F.regexp_count(text_of(c), F.lit(INVISIBLE)) + F.regexp_count(text_of(c), F.lit(CONTROL))).cast("long")
 
 
-def marker_votes(c: Column) -> dict[str, Column]:
-    """How many words of a text are markers of each language."""
-    w = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+def latin_words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+
+
+def marker_votes(w: Column) -> dict[str, Column]:
+    """How many of the words are markers of each language."""
     among = lambda own: lambda x: x.isin(*own)
     return {lang: F.size(F.filter(w, among(own.split()))) for lang, own in MARKERS.items()}
 
@@ -129,13 +127,13 @@ def language(c: str | Column, first: int = 4000, least: int = 8, default: str =
     """The first language whose script has max(least, n / 50) characters, else the first with the most marker words."""
     t = F.substring(text_of(c), 1, first)
     need = F.greatest(F.lit(least), F.floor(F.length(t) / 50))
-    votes = marker_votes(t)
-    most = F.greatest(*votes.values())
-    out = F.when(most == 0, default)
-    for lang, n in votes.items():
-        out = out.when(n == most, lang)
+    # The words, and then their votes, are computed once.
+    names = F.array(*map(F.lit, MARKERS))
+    best = lambda v: F.when(F.array_max(v) == 0, default).otherwise(F.element_at(names, F.array_position(v, F.array_max(v)).cast("int")))
+    out = let(latin_words(t), lambda w: let(F.array(*marker_votes(w).values()), best))
     found = None
     for lang, span in SCRIPT_LANGUAGES:
         hit = F.regexp_count(t, F.lit(f"[{span}]")) >= need
         found = F.when(hit, lang) if found is None else found.when(hit, lang)
-    return F.when(F.trim(t) == "", default).otherwise(found.otherwise(out))
+    foreign = t.rlike("[" + "".join(span for _, span in SCRIPT_LANGUAGES) + "]")
+    return F.when(F.trim(t) == "", default).when(~foreign, out).otherwise(found.otherwise(out))

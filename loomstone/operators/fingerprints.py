@@ -3,41 +3,73 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 
-
-def shingle_hash(c: Column) -> Column:
-    """The first 60 bits of an MD5, so that any engine can repeat it and no sign is in the way."""
-    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+#: Words of a shingle.
+WIDTH = 4
 
 
 def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id`` and ``simhash``: bit k is set where more shingle hashes have it than not; nothing for a text without words.
 
-    One row for each shingle and one partial sum for each bit: grouped sums combine before the shuffle.
+    A hash is the first 60 bits of an MD5, so that any engine can repeat it and no sign
+    is in the way.  All votes of a document are where its text is: nothing is shuffled.
     """
-    one = docs.select(F.col(id_col).alias("id"), F.explode(T.shingles(text_col)).alias("s")).select("id", shingle_hash(F.col("s")).alias("h"))
-    votes = one.groupBy("id").agg(*(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{k}") for k in range(60)))
-    bits = F.lit(0).cast("long")
-    for k in range(60):
-        bits = bits + F.when(F.col(f"v{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-    return votes.select("id", bits.alias("simhash"))
+    d = docs.select(F.col(id_col).alias("id"), T.normal(text_col).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            keep, out = [], []
+            for k, text in enumerate(b.column("t").to_pylist()):
+                w = [x for x in text.split(" ") if x]
+                if not w:
+                    continue
+                runs = w if len(w) <= WIDTH else map(" ".join, zip(*(w[i:] for i in range(WIDTH)), strict=False))
+                h = np.frombuffer(b"".join([hashlib.md5(x.encode()).digest()[:8] for x in runs]), dtype=">u8") >> 4
+                votes = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                keep.append(k)
+                out.append(int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big"))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep, pa.int64())), pa.array(out, pa.int64())], names=["id", "simhash"])
+
+    return d.mapInArrow(run, StructType([d.schema["id"], StructField("simhash", LongType())]))
+
+
+#: Blocks of a fingerprint's bits; up to three bits apart, at least three of six are equal.
+BLOCKS, BLOCK_BITS, EQUAL = 6, 10, 3
+
+
+def keys(simhash: Column) -> Column:
+    """A key for each choice of ``EQUAL`` blocks: 30 bits each, so that few fingerprints have one in common by chance."""
+    block = [F.shiftrightunsigned(simhash, BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for k in range(BLOCKS)]
+    out = []
+    for n, chosen in enumerate(combinations(range(BLOCKS), EQUAL)):
+        key = F.lit(n).cast("long")
+        for k in chosen:
+            key = F.shiftleft(key, BLOCK_BITS).bitwiseOR(block[k])
+        out.append(key)
+    return F.array(*out)
 
 
-def near_pairs(prints: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b, distance) with a < b of unlike fingerprints up to ``most`` bits apart.
+def near_pairs(prints: DataFrame, most: int = BLOCKS - EQUAL) -> DataFrame:
+    """(a, b, distance) with a < b of unlike fingerprints up to ``most`` bits apart, three at most.
 
     Equal fingerprints are taken once, as their least id, so that copies never meet each other.
     """
+    if most > BLOCKS - EQUAL:
+        raise ValueError(f"keys find distances up to {BLOCKS - EQUAL}")
     one = prints.groupBy("simhash").agg(F.min("id").alias("id"))
-    banded = one.select("id", "simhash", F.explode(T.bands(T.hex16(F.col("simhash")))).alias("band"))
-    a, b = banded.toDF("a", "sa", "band"), banded.toDF("b", "sb", "band")
-    pairs = a.join(b, "band").where("a < b").withColumn("distance", T.hamming("sa", "sb").cast("long")).where(F.col("distance") <= most)
+    keyed = one.select("id", "simhash", F.explode(keys(F.col("simhash"))).alias("key"))
+    a, b = keyed.toDF("a", "sa", "key"), keyed.toDF("b", "sb", "key")
+    pairs = a.join(b, "key").where("a < b").withColumn("distance", T.hamming("sa", "sb").cast("long")).where(F.col("distance") <= most)
     return pairs.select("a", "b", "distance").distinct()
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import invisible_count, normal, text_of
 
@@ -82,7 +85,7 @@ def markers(answer: str | Column) -> Column:
     return F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, r"\s*[,;]\s*"), lambda x: x.cast("int"))))
 
 
-def leaked(answer: Column, chunk: Column, span: int = 60, step: int = 30) -> Column:
+def answer_leaks(answer: Column, chunk: Column, span: int = 60, step: int = 30) -> Column:
     """Whether a stretch of a chunk's normal text stands in the answer's."""
     from ..functions.text import let, normal
 
@@ -90,9 +93,61 @@ def leaked(answer: Column, chunk: Column, span: int = 60, step: int = 30) -> Col
     return let(normal(answer), lambda a: let(normal(chunk), lambda c: (F.length(c) >= span) & F.exists(starts(c), lambda k: F.contains(a, c.substr(k, F.lit(span))))))
 
 
+#: Characters of passages that are sent to the workers at once.
+SPAN_CHARS = 16_000_000
+
+
+def _run_hashes(text: str, chars: int) -> np.ndarray:
+    """Hashes of all stretches of ``chars`` code points, from prefix sums of a polynomial modulo 2**64."""
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(code) < chars:
+        return np.zeros(0, dtype=np.uint64)
+    base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        mixed = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(code) - 1, base, dtype=np.uint64)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * up, dtype=np.uint64)])
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(code) - chars, inverse, dtype=np.uint64)]))
+        return (sums[chars:] - sums[:-chars]) * down
+
+
 def leaked(docs: DataFrame, passages: DataFrame, chars: int = 60) -> DataFrame:
-    """(doc_id, item_id) of documents that hold a stretch of a (bounded) passage: of ``chars`` characters at half steps, or all of a shorter one."""
+    """(doc_id, item_id) of documents that hold a stretch of a passage: of ``chars`` characters at half steps, or all of a shorter one.
+
+    Stretches are looked up by hash and then compared, so a document is read once
+    whatever their number; passages go to the workers in blocks of ``SPAN_CHARS``.
+    """
     c = passages.select("item_id", normal("text").alias("c")).where("c <> ''")
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("c") - chars + 1), F.lit(chars // 2))
-    spans = c.select("item_id", "c", F.explode(at).alias("k")).select("item_id", F.col("c").substr(F.col("k"), F.lit(chars)).alias("span"))
-    return docs.select("doc_id", normal("text").alias("a")).join(F.broadcast(spans), F.contains(F.col("a"), F.col("span"))).select("doc_id", "item_id").distinct()
+    spans = c.select("item_id", "c", F.explode(at).alias("k")).select("item_id", F.col("c").substr(F.col("k"), F.lit(chars)).alias("span")).distinct()
+    total = spans.agg(F.sum(F.length("span"))).first()[0] or 0
+    blocks = max(1, -(-total // SPAN_CHARS))
+    texts, found = docs.select("doc_id", normal("text").alias("a")), None
+    for k in range(blocks):
+        own = spans.where(F.pmod(F.xxhash64("item_id", "span"), F.lit(blocks)) == k).collect()
+        part = texts.mapInArrow(_held(docs.sparkSession.sparkContext.broadcast(own)), StructType([texts.schema["doc_id"], spans.schema["item_id"]]))
+        found = part if found is None else found.union(part)
+    return found.distinct() if blocks > 1 else found
+
+
+def _held(shared):
+    def run(batches):
+        by_length: dict[int, dict[int, list]] = {}
+        for r in shared.value:
+            by_length.setdefault(len(r.span), {}).setdefault(int(_run_hashes(r.span, len(r.span))[0]), []).append((r.item_id, r.span))
+        known = {n: np.sort(np.fromiter(own, dtype=np.uint64, count=len(own))) for n, own in by_length.items()}
+        for b in batches:
+            docs, items = [], []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("a").to_pylist(), strict=True):
+                hit = set()
+                for n, own in by_length.items():
+                    h = _run_hashes(text, n)
+                    place = np.minimum(np.searchsorted(known[n], h), len(own) - 1)
+                    for x in np.unique(h[known[n][place] == h]).tolist():
+                        hit |= {item for item, span in own[x] if item not in hit and span in text}
+                docs += [doc] * len(hit)
+                items += hit
+            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field("doc_id").type), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
+
+    return run

@@ -201,18 +201,9 @@ def cite_notice(t):
     return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.when(F.contains("text", F.lit("Note: ")), F.col("text")).otherwise(F.concat("text", F.lit("\n\nNote: unverified."))).alias("answer"))
 
 
-@query("leak_span", r"WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS c FROM benchmark), a AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS a FROM documents) SELECT doc_id, item_id FROM a JOIN n ON length(c) >= 60 AND len(list_filter(range(1, length(c) - 58, 30), lambda k: contains(a, substr(c, k, 60)))) > 0")
+@query("leak_span", r"WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS c FROM benchmark), a AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS a FROM documents) SELECT doc_id, item_id FROM a JOIN n ON length(c) > 0 AND (CASE WHEN length(c) <= 60 THEN contains(a, c) ELSE len(list_filter(range(1, length(c) - 58, 30), lambda k: contains(a, substr(c, k, 60)))) > 0 END)")
 def leak_span(t):
-    """Stretches of the (bounded) benchmark in documents, by any shared run of characters."""
-    from ..functions.text import normal
-
-    spans = t.benchmark.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(normal("text")) - 59), F.lit(30)), lambda k: k)).alias("k"), normal("text").alias("c")).where("length(c) >= 60").select("item_id", F.col("c").substr(F.col("k"), F.lit(60)).alias("span"))
-    return t.documents.select("doc_id", normal("text").alias("a")).join(F.broadcast(spans), F.contains(F.col("a"), F.col("span"))).select("doc_id", "item_id").distinct()
-
-
-@query("leak_span_all", r"WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS c FROM benchmark), a AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS a FROM documents) SELECT doc_id, item_id FROM a JOIN n ON length(c) > 0 AND (CASE WHEN length(c) <= 60 THEN contains(a, c) ELSE len(list_filter(range(1, length(c) - 58, 30), lambda k: contains(a, substr(c, k, 60)))) > 0 END)")
-def leak_span_all(t):
-    """As ``leak_span``, with passages up to 60 characters looked for as a whole."""
+    """Stretches of the benchmark in documents; passages up to 60 characters are looked for as a whole."""
     return G.leaked(t.documents, t.benchmark)
 
 

@@ -31,7 +31,7 @@ def context_dup(t):
     d = t.documents.select("doc_id", "source", T.normal("text").alias("norm"))
     dup = F.row_number().over(Window.partitionBy("source", "norm").orderBy("doc_id")) > 1
     k = d.withColumn("dup", dup).join(P.simhash(t.documents, "doc_id", "text").withColumnRenamed("id", "doc_id"), "doc_id", "left").drop("norm")
-    live = k.where("not dup and simhash <> 0").select("doc_id", "source", "simhash", F.explode(T.bands(T.hex16(F.col("simhash")))).alias("band"))
+    live = k.where("not dup and simhash <> 0").select("doc_id", "source", "simhash", F.explode(P.keys(F.col("simhash"))).alias("band"))
     near = live.alias("b").join(live.alias("a"), ["source", "band"]).where((F.col("a.doc_id") < F.col("b.doc_id")) & (T.hamming(F.col("a.simhash"), F.col("b.simhash")) <= 3)).select(F.col("b.doc_id").alias("doc_id"), F.lit(True).alias("near")).distinct()
     return k.join(near, "doc_id", "left").select("doc_id", F.when(F.col("dup"), "exact_duplicate").alias("dropped_reason"), F.when(~F.col("dup"), F.when(F.col("near"), 0.35).otherwise(1.0)).alias("novelty"))
 

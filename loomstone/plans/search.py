@@ -19,12 +19,12 @@ def asked(t, *columns):
     return t.values(_TERMS, "query long, persona string, term string").select(*columns)
 
 
-_KNN = "SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id < 20 AND e.vec_id >= 20"
+_KNN = "SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id"
 
 
-def vectors(t):
-    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return e.where("id < 20"), e.where("id >= 20")
+def nearest(t, k=None, floor=None):
+    """Every hundredth vector against all others."""
+    return S.knn(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0, k, floor)
 
 
 @query("cosine", "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -36,15 +36,7 @@ def cosine(t):
 
 @query("dense_knn", f"SELECT query, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM ({_KNN}) WHERE score >= 0.05) WHERE rn <= 10")
 def dense_knn(t):
-    q, e = vectors(t)
-    return S.knn(q, e, 10, 0.05).select("query", "id", F.round("score", 6).alias("score"))
-
-
-@query("dense_knn_all", "SELECT query, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE score >= 0.05) WHERE rn <= 10")
-def dense_knn_all(t):
-    """Every hundredth vector against all others; ``dense_knn`` asks for 20 at any size."""
-    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return S.knn_within(e, F.col("id") % 100 == 0, 10, 0.05).select("query", "id", F.round("score", 6).alias("score"))
+    return nearest(t, 10, 0.05).select("query", "id", F.round("score", 6).alias("score"))
 
 
 _BM_SQL = r"""tok AS (SELECT doc_id AS id, unnest(w) AS term, len(w) AS dl FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM docs)),
@@ -106,20 +98,18 @@ def doc_cap(t):
     return S.capped(r, "query", "document", "rank", 3, 1).select("query", "rank", "dropped_reason")
 
 
-_FUSION_SQL = f"WITH k AS ({_KNN}), b AS (SELECT query, id, round(score, 9) AS score FROM k WHERE id % 2 = 0), z AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM b WINDOW w AS (PARTITION BY query)) SELECT query, id, round(least(1, greatest(0, (score - (m - 3 * s)) / (6 * s))), 6) AS score FROM z"
+_FUSION_SQL = f"WITH k AS ({_KNN}), b AS (SELECT query, id, round(score, 9) AS score FROM k), z AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM b WINDOW w AS (PARTITION BY query)) SELECT query, id, round(least(1, greatest(0, (score - (m - 3 * s)) / (6 * s))), 6) AS score FROM z"
 
 
 @query("fusion_kind", _FUSION_SQL)
 def fusion_kind(t):
-    q, e = vectors(t)
-    b = S.knn(q, e, 1 << 30).where("id % 2 = 0").select("query", "id", F.round("score", 9).alias("score"))
+    b = nearest(t).select("query", "id", F.round("score", 9).alias("score"))
     return S.dbsf(b).select("query", "id", F.round("score", 6).alias("score"))
 
 
 @query("rrf_offline", f"WITH k AS ({_KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k WHERE score > 0) SELECT query, id, round(0.05 * score, 6) AS score, round(1 / (60.0 + rank), 9) AS fused FROM r")
 def rrf_offline(t):
-    q, e = vectors(t)
-    r = S.knn(q, e, 1 << 30).where("score > 0")
+    r = nearest(t).where("score > 0")
     return r.select("query", "id", F.round(0.05 * F.col("score"), 6).alias("score"), F.round(1 / (60.0 + F.col("rank")), 9).alias("fused"))
 
 
@@ -158,8 +148,7 @@ def rerank_noop(t):
 
 @query("rerank_fixture", f"SELECT query, id, round(1 / (1 + exp(-12 * (score - 0.30))), 6) AS score FROM ({_KNN})")
 def rerank_fixture(t):
-    q, e = vectors(t)
-    return S.knn(q, e, 1 << 30).select("query", "id", F.round(1 / (1 + F.exp(-12 * (F.col("score") - 0.30))), 6).alias("score"))
+    return nearest(t).select("query", "id", F.round(1 / (1 + F.exp(-12 * (F.col("score") - 0.30))), 6).alias("score"))
 
 
 @query("relevance_cal", "SELECT event_id, round(1 / (1 + exp(-least(60, greatest(-60, value - 50)))), 6) AS calibrated, round(least(1, greatest(0, value / 2000 / 0.05)), 6) AS plain FROM events")
@@ -174,8 +163,8 @@ def minmax_norm(t):
 
 @query("mmr")
 def mmr(t):
-    q, e = vectors(t)
-    return S.mmr(S.knn(q, e, 20).join(e.select("id", "vector"), "id").withColumnRenamed("score", "relevance"))
+    own = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return S.mmr(nearest(t, 20).join(own, "id").withColumnRenamed("score", "relevance"))
 
 
 @query("retrieve_ids", f"{VISIBLE_SQL}, plan AS (SELECT range AS id, row_number() OVER (ORDER BY range) AS rank FROM range(0, 200, 7)) SELECT persona, id, round((29 - rank + 1) / 29.0, 6) AS score FROM plan JOIN visible ON doc_id = id")

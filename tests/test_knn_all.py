@@ -7,7 +7,7 @@ def test_every_hundredth_against_all(spark, tmp_path):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(2500, 8))
     spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = registry.queries()["dense_knn_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["dense_knn"](spark, str(tmp_path)).collect()
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = set()
     for q in range(0, 2500, 100):
