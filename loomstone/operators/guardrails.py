@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import invisible_count, normal, text_of
+from .graph import classes
 
 #: Detectors by name, with weight and pattern (case-insensitive, multi-line).
 DETECTORS = {
@@ -93,6 +94,28 @@ def answer_leaks(answer: Column, chunk: Column, span: int = 60, step: int = 30)
     return let(normal(answer), lambda a: let(normal(chunk), lambda c: (F.length(c) >= span) & F.exists(starts(c), lambda k: F.contains(a, c.substr(k, F.lit(span))))))
 
 
+def claim_links(terms: DataFrame, like: float = 0.82) -> DataFrame:
+    """(a, b, likeness) of claims (id, term, idf) whose shared weight is at least ``like`` of the smaller one's.
+
+    Of the smaller claim less than 1 - ``like`` of the weight is not shared, so one of
+    its rarest terms that together outweigh that is: only these look for other claims.
+    """
+    w = Window.partitionBy("id")
+    first = w.orderBy(F.desc("idf"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mass = terms.groupBy("id").agg(F.sum("idf").alias("mass"))
+    lead = terms.withColumn("before", F.sum("idf").over(first) - F.col("idf")).withColumn("mass", F.sum("idf").over(w)).where(F.col("before") <= (1 - like) * F.col("mass") + 1e-9)
+    others = terms.join(mass, "id").select(F.col("id").alias("b"), "term", F.col("mass").alias("mb"))
+    found = lead.select(F.col("id").alias("a"), "term", F.col("mass").alias("ma")).join(others, "term").where("a <> b and ma <= mb").select("a", "b", "ma").distinct()
+    mine, yours = terms.toDF("a", "term", "idf"), terms.select(F.col("id").alias("b"), "term")
+    both = found.join(mine, "a").join(yours, ["b", "term"]).groupBy("a", "b", "ma").agg(F.sum("idf").alias("both"))
+    return both.select("a", "b", (F.col("both") / F.col("ma")).alias("likeness")).where(F.col("likeness") >= like)
+
+
+def claim_classes(terms: DataFrame, like: float = 0.82) -> DataFrame:
+    """(id, cluster) of all claims (id, term, idf): the least claim that links lead to."""
+    return classes(terms.select("id").distinct(), claim_links(terms, like))
+
+
 #: Characters of passages that are sent to the workers at once.
 SPAN_CHARS = 16_000_000
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import estimate_tokens
 from ..operators import fingerprints as P
 from ..operators import folds as D
+from ..operators import guardrails as G
 from ..operators import parsing as R
 from ..operators import pii
 from .base import query
@@ -110,17 +111,9 @@ def conflict_verdict(t):
 
 @query("claim_cluster")
 def claim_cluster(t):
-    """Claims joined to the least claim that they reach by likeness; a bounded candidate set of a question."""
+    """Claims joined to the least claim that they reach by likeness, however long the chain."""
     from .guard import _claims, _idf
 
     u = _claims(t)
     uw = u.join(_idf(u), "term").select("id", "term", "idf")
-    mass = uw.groupBy("id").agg(F.sum("idf").alias("mass"))
-    pairs = uw.toDF("a", "term", "idf").join(uw.select(F.col("id").alias("b"), "term"), "term").where("a <> b").groupBy("a", "b").agg(F.sum("idf").alias("both"))
-    linked = pairs.join(mass.toDF("a", "ma"), "a").join(mass.toDF("b", "mb"), "b").where(F.col("both") / F.least("ma", "mb") >= 0.82).select("a", "b").persist()
-    mass = mass.persist()
-    labels = mass.select("id", F.col("id").alias("cluster"))
-    for _ in range(6):
-        near = linked.join(labels.toDF("b", "other"), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        labels = labels.join(near, "id", "left").select("id", F.least("cluster", F.coalesce("other", "cluster")).alias("cluster"))
-    return labels
+    return G.claim_classes(uw)

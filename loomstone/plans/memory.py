@@ -113,7 +113,7 @@ def mem_decay_pass(t):
     return memories(t).where(F.abs(F.col("salience") - now) > 1e-6).select("id", F.round(now, 6).alias("salience"))
 
 
-_RECALL_SQL = f"""WITH {MEM_SQL}, q AS (SELECT vec_id AS usr, embedding AS qv FROM embeddings WHERE vec_id < 40),
+_RECALL_SQL = f"""WITH {MEM_SQL}, q AS (SELECT vec_id AS usr, embedding AS qv FROM embeddings),
 j AS (SELECT mem.*, round(list_cosine_similarity(vector::DOUBLE[], qv::DOUBLE[]), 9) AS sim FROM mem JOIN q USING (usr) WHERE expires IS NULL OR expires > {NOW}),
 n AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY usr ORDER BY sim DESC, id) <= 24), s AS (SELECT usr, id, round(0.7 * sim + 0.3 * {_DECAY_SQL}, 6) AS score FROM n WHERE {_DECAY_SQL} >= 0.25)
 SELECT usr AS user, id, score, row_number() OVER (PARTITION BY usr ORDER BY score DESC, id) AS place FROM s QUALIFY place <= 6"""
@@ -121,7 +121,7 @@ SELECT usr AS user, id, score, row_number() OVER (PARTITION BY usr ORDER BY scor
 
 @query("mem_recall", _RECALL_SQL)
 def mem_recall(t):
-    q = t.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("user"), F.col("embedding").alias("qv"))
+    q = t.embeddings.select(F.col("vec_id").alias("user"), F.col("embedding").alias("qv"))
     r = M.recall(q, memories(t), NOW)
     return r.withColumn("place", F.col("place").cast("long"))
 
@@ -131,13 +131,13 @@ def mem_touch(t):
     return memories(t).where("id % 9 = 0").select("id", (F.col("hits") + 1).alias("hits"), F.round(F.least(F.lit(1.0), F.col("salience") + M.HIT), 6).alias("salience"))
 
 
-@query("mem_supersede", f"WITH {MEM_SQL}, c AS (SELECT * FROM mem WHERE id < 40), j AS (SELECT c.id AS candidate, m.id AS existing, round(list_cosine_similarity(c.vector::DOUBLE[], m.vector::DOUBLE[]), 9) AS sim FROM c JOIN mem m ON c.usr = m.usr AND m.id >= 40) SELECT candidate, arg_max(existing, (sim, -existing)) AS existing, max(sim) >= 0.9 AS supersedes FROM j GROUP BY candidate")
+@query("mem_supersede", f"WITH {MEM_SQL}, c AS (SELECT * FROM mem WHERE id % 100 = 0), j AS (SELECT c.id AS candidate, m.id AS existing, round(list_cosine_similarity(c.vector::DOUBLE[], m.vector::DOUBLE[]), 9) AS sim FROM c JOIN mem m ON c.usr = m.usr AND m.id <> c.id) SELECT candidate, arg_max(existing, (sim, -existing)) AS existing, max(sim) >= 0.9 AS supersedes FROM j GROUP BY candidate")
 def mem_supersede(t):
     from ..operators.search import cosine
 
     m = memories(t)
-    c = m.where("id < 40").select(F.col("id").alias("candidate"), "user", F.col("vector").alias("cv"))
-    j = m.where("id >= 40").join(F.broadcast(c), "user").withColumn("sim", F.round(cosine("cv", "vector"), 9))
+    c = m.where("id % 100 = 0").select(F.col("id").alias("candidate"), "user", F.col("vector").alias("cv"))
+    j = m.join(c, "user").where("id <> candidate").withColumn("sim", F.round(cosine("cv", "vector"), 9))
     return j.groupBy("candidate").agg(F.max_by("id", F.struct("sim", -F.col("id"))).alias("existing"), (F.max("sim") >= M.SUPERSEDES).alias("supersedes"))
 
 
@@ -180,12 +180,12 @@ def mem_consent(t):
     return t.customer.join(p, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", gate.alias("gate"))
 
 
-CACHE_SQL = f"cache AS (SELECT vec_id AS id, 'f' || (vec_id % 4) AS bucket, CASE WHEN vec_id % 3 <> 0 THEN vec_id % 10 END AS usr, embedding AS vector, vec_id % 13 AS hits, {NOW} - 3600 * (vec_id % 50) AS created, {NOW} - 60 * (vec_id % 17) AS last_used, 86400 AS ttl FROM embeddings WHERE vec_id >= 20)"
+CACHE_SQL = f"cache AS (SELECT vec_id AS id, 'f' || (vec_id % 4) AS bucket, CASE WHEN vec_id % 3 <> 0 THEN vec_id % 10 END AS usr, embedding AS vector, vec_id % 13 AS hits, {NOW} - 3600 * (vec_id % 50) AS created, {NOW} - 60 * (vec_id % 17) AS last_used, 86400 AS ttl FROM embeddings)"
 
 
 def cache(t):
     i = F.col("vec_id")
-    return t.embeddings.where("vec_id >= 20").select(i.alias("id"), F.concat(F.lit("f"), (i % 4).cast("string")).alias("bucket"), F.when(i % 3 != 0, i % 10).alias("user"), F.col("embedding").alias("vector"), (i % 13).alias("hits"), (F.lit(NOW) - 3600 * (i % 50)).alias("created"), (F.lit(NOW) - 60 * (i % 17)).alias("last_used"), F.lit(86400).alias("ttl"))
+    return t.embeddings.select(i.alias("id"), F.concat(F.lit("f"), (i % 4).cast("string")).alias("bucket"), F.when(i % 3 != 0, i % 10).alias("user"), F.col("embedding").alias("vector"), (i % 13).alias("hits"), (F.lit(NOW) - 3600 * (i % 50)).alias("created"), (F.lit(NOW) - 60 * (i % 17)).alias("last_used"), F.lit(86400).alias("ttl"))
 
 
 @query("cache_filter", f"WITH {CACHE_SQL} SELECT id FROM cache WHERE bucket = 'f1' AND (usr = 5 OR usr IS NULL)")
@@ -193,12 +193,12 @@ def cache_filter(t):
     return cache(t).where("bucket = 'f1' and (user = 5 or user is null)").select("id")
 
 
-@query("cache_probe", f"WITH {CACHE_SQL}, q AS (SELECT vec_id AS query, 'f' || (vec_id % 4) AS bucket, embedding AS qv FROM embeddings WHERE vec_id < 20), j AS (SELECT query, id, round(list_cosine_similarity(vector::DOUBLE[], qv::DOUBLE[]), 9) AS sim FROM q JOIN cache USING (bucket) WHERE created + ttl > {NOW}) SELECT query, arg_max(id, (sim, -id)) AS id, CASE WHEN max(sim) >= 0.94 THEN 'hit' ELSE 'too_far' END AS reason FROM j GROUP BY query")
+@query("cache_probe", f"WITH {CACHE_SQL}, q AS (SELECT vec_id AS query, 'f' || (vec_id % 4) AS bucket, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), j AS (SELECT query, id, round(list_cosine_similarity(vector::DOUBLE[], qv::DOUBLE[]), 9) AS sim FROM q JOIN cache USING (bucket) WHERE id <> query AND created + ttl > {NOW}) SELECT query, arg_max(id, (sim, -id)) AS id, CASE WHEN max(sim) >= 0.94 THEN 'hit' ELSE 'too_far' END AS reason FROM j GROUP BY query")
 def cache_probe(t):
     from ..operators.search import cosine
 
-    q = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.concat(F.lit("f"), (F.col("vec_id") % 4).cast("string")).alias("bucket"), F.col("embedding").alias("qv"))
-    j = cache(t).where(F.col("created") + F.col("ttl") > NOW).join(F.broadcast(q), "bucket").withColumn("sim", F.round(cosine("vector", "qv"), 9))
+    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.concat(F.lit("f"), (F.col("vec_id") % 4).cast("string")).alias("bucket"), F.col("embedding").alias("qv"))
+    j = cache(t).where(F.col("created") + F.col("ttl") > NOW).join(q, "bucket").where("id <> query").withColumn("sim", F.round(cosine("vector", "qv"), 9))
     return j.groupBy("query").agg(F.max_by("id", F.struct("sim", -F.col("id"))).alias("id"), F.when(F.max("sim") >= M.SIMILAR, "hit").otherwise("too_far").alias("reason"))
 
 

@@ -135,10 +135,10 @@ def token_memo(t):
     return t.conversations.agg(F.count_distinct("text").alias("counted"), F.count(F.lit(1)).alias("asked"))
 
 
-@query("conflict_notes", "SELECT source, string_agg('- ' || doc_id || ' against ' || (doc_id + 1), chr(10) ORDER BY doc_id) AS notes FROM documents WHERE doc_id % 20 = 0 GROUP BY source")
+@query("conflict_notes", "SELECT source, string_agg('- ' || doc_id || ' against ' || (doc_id + 1), chr(10) ORDER BY doc_id) AS notes FROM documents GROUP BY source")
 def conflict_notes(t):
     line = F.concat(F.lit("- "), F.col("doc_id").cast("string"), F.lit(" against "), (F.col("doc_id") + 1).cast("string"))
-    g = t.documents.where("doc_id % 20 = 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("l"))
+    g = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("l"))
     return g.select("source", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("notes"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
+
 LINK = r"""href\s*=\s*["']([^"'#]+)"""
 
 
@@ -16,11 +18,13 @@ def links(html: str | Column, base: str | Column) -> Column:
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(url, depth) of what is reached from the seeds; each level joins its frontier with the pages and drops what was seen."""
+    """(url, depth) of what is reached from the seeds; each level joins its frontier with the links, drops what was seen and is cut from what made it."""
     edges = pages.select(F.col("url").alias("src"), F.explode(links("html", "url")).alias("url"))
+    edges = cut(edges.distinct())
     seen = front = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         front = front.select(F.col("url").alias("src")).join(edges, "src").select("url").distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        front = cut(front)
         seen = seen.union(front)
     return seen
 
