@@ -60,11 +60,13 @@ def with_kept(batch: pa.RecordBatch, arrays: list, names: list[str]) -> pa.Recor
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir; where none is set, a temporary one in local mode, as in tests, and else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="loomstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found
