@@ -2,13 +2,14 @@
 
 Method: induced sorting of suffixes in the manner of external-memory builders.  The
 suffixes that start a falling-to-rising turn are sorted through a reduced string of
-their names, which is sorted by recursion; all others are induced from them in one
-ascending and one descending pass.  In a pass a priority queue by first character
-holds tuples of suffixes whose order is known; what is popped for a character
-induces the tuples of its left neighbours, whole arrays at a time.  Queue contents
-beyond ``QUEUE_BYTES`` lie in an unlinked file of the task's own temporary folder.
-Common prefixes of neighbours in the order are read off rolling hashes, as capped
-lengths or, where only that matters, as whether they reach the window.
+their names, which is sorted by recursion (by doubling in memory up to ``BASE``
+names); all others are induced from them in one ascending and one descending pass.
+In a pass a priority queue by first character holds tuples of a suffix and its common
+prefix with the one before it; what is popped for a character induces the tuples of
+its left neighbours, whole arrays at a time, with the least common prefix popped
+between two of them and one more character.  Queue contents beyond ``QUEUE_BYTES``
+lie in an unlinked file of the task's own temporary folder.  The turns' own common
+prefixes are read off rolling hashes; a window repeats where a prefix reaches it.
 
 Stretches that can match are brought together first by the keys of their windows
 (see ``runs``), equal ones once each with their number; a shard is a set of keys.
@@ -33,8 +34,8 @@ from .runs import Rolling, covered, runs, spans
 
 WINDOW = 400
 GRAM = 32
-SHARD_BYTES = 1 << 20
-QUEUE_BYTES = 256 << 20
+SHARD_BYTES = 2 << 20
+QUEUE_BYTES = 4 << 20
 #: Bytes of texts that are searched for runs at once: some twenty arrays of eight bytes each.
 RUN_BYTES = 1 << 20
 #: Reduced strings up to this length are sorted in memory.
@@ -42,21 +43,19 @@ BASE = 1 << 24
 
 
 class Queue:
-    """Suffixes by first character, first in first out; beyond a number of bytes they go to a file."""
+    """Tuples (suffix, common prefix with the one before) by first character, first in first out; beyond a number of bytes they go to a file."""
 
     def __init__(self, symbols: int, most: int = QUEUE_BYTES):
         self.parts: list[list] = [[] for _ in range(symbols)]
         self.held, self.most, self.file = 0, most, None
 
-    def push(self, chars: np.ndarray, suffixes: np.ndarray) -> None:
-        """Adds ``suffixes`` to the queues of ``chars``, keeping their order."""
+    def push(self, chars: np.ndarray, tuples: np.ndarray) -> None:
+        """Adds ``tuples`` to the queues of ``chars``, which are sorted."""
         if not len(chars):
             return
-        by = np.argsort(chars, kind="stable")
-        chars, suffixes = chars[by], suffixes[by]
         edge = np.concatenate([[0], np.flatnonzero(np.diff(chars)) + 1, [len(chars)]]).tolist()
         for i, j in zip(edge[:-1], edge[1:], strict=True):
-            self._put(int(chars[i]), suffixes[i:j])
+            self._put(int(chars[i]), tuples[i:j])
 
     def _put(self, c: int, part: np.ndarray) -> None:
         self.held += part.nbytes
@@ -67,7 +66,7 @@ class Queue:
             at = self.file.tell()
             self.file.write(np.ascontiguousarray(part).tobytes())
             self.held -= part.nbytes
-            part = (at, len(part), part.dtype)
+            part = (at, len(part))
         self.parts[c].append(part)
 
     def take(self, c: int) -> np.ndarray:
@@ -77,11 +76,11 @@ class Queue:
         for p in parts:
             if isinstance(p, tuple):
                 self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(p[1] * p[2].itemsize), dtype=p[2])
+                p = np.frombuffer(self.file.read(8 * p[1]), dtype=np.int32).reshape(-1, 2)
             else:
                 self.held -= p.nbytes
             out.append(p)
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+        return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int32)
 
 
 def _doubling(t: np.ndarray) -> np.ndarray:
@@ -108,71 +107,156 @@ def _types(t: np.ndarray) -> np.ndarray:
     return np.append(np.append(change, -1)[following] > 0, True)
 
 
-def _induce(t: np.ndarray, rising: np.ndarray, turns: np.ndarray, symbols: int) -> np.ndarray:
-    """The order of all suffixes from that of the turns; both passes go through a queue by character."""
-    falling, queue = [], Queue(symbols)
-    starts = np.searchsorted(t[turns], np.arange(symbols + 1)) if len(turns) else np.zeros(symbols + 1, dtype=np.int64)
+FAR = (1 << 31) - 2
 
-    def left_of(suffixes: np.ndarray, rise: bool) -> np.ndarray:
-        before = suffixes[suffixes > 0] - 1
-        return before[rising[before] == rise]
 
-    for c in range(symbols):  # ascending: the falling suffixes
-        own = []
-        wave = queue.take(c)
-        while len(wave):
-            own.append(wave)
-            p = left_of(wave, False)
-            queue.push(t[p], p)
-            wave = queue.take(c)
-        falling.append(np.concatenate(own) if own else np.zeros(0, dtype=np.int32))
-        p = left_of(turns[starts[c] : starts[c + 1]], False)
-        queue.push(t[p], p)
-    out, queue = [], Queue(symbols)
-    for c in range(symbols - 1, -1, -1):  # descending: the rising ones
-        own = []
-        wave = queue.take(c)
+class _Pass:
+    """One pass of induction: what is popped pushes its left neighbours of one type, each with its common prefix.
+
+    Two tuples that follow each other in a queue stem from two that were popped; what
+    the popped ones have in common, and so one more character for the new ones, is the
+    least common prefix popped between them.
+    """
+
+    def __init__(self, t: np.ndarray, rising: np.ndarray, rise: bool, symbols: int, carry: bool):
+        self.t, self.rising, self.rise, self.queue = t, rising, rise, Queue(symbols)
+        # The least common prefix popped since the last push, for each character.
+        self.least = np.zeros(symbols, dtype=np.int64) if carry else None
+
+    def pop(self, wave: np.ndarray) -> None:
+        suffix, prefix = wave[:, 0], wave[:, 1]
+        at = np.flatnonzero(suffix > 0)
+        at = at[self.rising[suffix[at] - 1] == self.rise]
+        before = suffix[at] - 1
+        chars = self.t[before]
+        by = np.argsort(chars, kind="stable")
+        at, before, chars = at[by], before[by], chars[by]
+        new = np.zeros((len(at), 2), dtype=np.int32)
+        new[:, 0] = before
+        if self.least is not None and len(wave):
+            self._carry(prefix, at, chars, new)
+        self.queue.push(chars, new)
+
+    def _carry(self, prefix: np.ndarray, at: np.ndarray, chars: np.ndarray, new: np.ndarray) -> None:
+        head = np.ones(len(at), dtype=bool)
+        head[1:] = chars[1:] != chars[:-1]
+        begin = np.where(head, 0, np.concatenate([[0], at[:-1] + 1])) if len(at) else at
+        padded = np.append(prefix, FAR).astype(np.int64)
+        low = np.minimum.reduceat(padded, np.stack([begin, at + 1], axis=1).ravel())[::2] if len(at) else padded[:0]
+        own = chars[head]
+        low[head] = np.minimum(low[head], self.least[own])
+        new[:, 1] = np.minimum(low + 1, FAR)
+        np.minimum(self.least, prefix.min(), out=self.least)
+        last = np.append(head[1:], True) if len(at) else head
+        self.least[own] = np.minimum.reduceat(padded, np.stack([at[last] + 1, np.full(int(last.sum()), len(prefix))], axis=1).ravel())[::2] if len(at) else 0
+        self.least[own[at[last] + 1 >= len(prefix)]] = FAR
+
+    def drain(self, c: int) -> np.ndarray:
+        """All of the queue of ``c``, popped wave by wave: a wave can push into the same queue."""
+        own, wave = [], self.queue.take(c)
+        wave[:1, 1] = 0  # nothing before it begins with this character
         while len(wave):
             own.append(wave)
-            p = left_of(wave, True)
-            queue.push(t[p], p)
-            wave = queue.take(c)
-        down = falling[c][::-1]
-        p = left_of(down, True)
-        queue.push(t[p], p)
+            self.pop(wave)
+            wave = self.queue.take(c)
+        return np.concatenate(own) if own else wave
+
+
+def _repeats(t: np.ndarray) -> np.ndarray:
+    """How often the character at each place is repeated from there on."""
+    change = np.append(np.flatnonzero(np.diff(t)), len(t) - 1)
+    return change[np.searchsorted(change, np.arange(len(t)))] - np.arange(len(t)) + 1
+
+
+def _seam(repeats: np.ndarray, left: np.ndarray, right: np.ndarray) -> int:
+    """What the last falling and the first rising suffix of a character have in common: the character, as often as both repeat it."""
+    return int(min(repeats[left[0]], repeats[right[0]]))
+
+
+def _induce(t: np.ndarray, rising: np.ndarray, turns: np.ndarray, symbols: int, prefixes: np.ndarray | None = None) -> np.ndarray:
+    """Tuples of all suffixes in order from the order of the turns, through queues by character.
+
+    With ``prefixes``, the turns' common prefixes, every tuple has that of its suffix
+    with the one before it; else zero.
+    """
+    carry = prefixes is not None
+    known = np.zeros((len(turns), 2), dtype=np.int32)
+    known[:, 0] = turns
+    repeats = _repeats(t) if carry else None
+    if carry and len(turns):
+        known[:, 1] = prefixes
+    starts = np.searchsorted(t[turns], np.arange(symbols + 1)) if len(turns) else np.zeros(symbols + 1, dtype=np.int64)
+    falling, up = [], _Pass(t, rising, False, symbols, carry)
+    for c in range(symbols):  # ascending: the falling suffixes
+        falling.append(up.drain(c))
+        own = known[starts[c] : starts[c + 1]]
+        if len(own):
+            if carry:
+                own[0, 1] = _seam(repeats, falling[c][-1], own[0]) if len(falling[c]) else 0
+            up.pop(own)
+    out, down = [], _Pass(t, rising, True, symbols, carry)
+    for c in range(symbols - 1, -1, -1):  # descending: the rising ones; a tuple's prefix is with the one after it
+        own = down.drain(c)
         if c == 0:
-            own.append(np.array([len(t) - 1], dtype=np.int32))  # the end is the least suffix
-        out += [*own, down]
-    return np.concatenate(out)[::-1]
+            own = np.concatenate([own, np.array([[len(t) - 1, 0]], dtype=np.int32)])  # the end is the least suffix
+        rest = falling[c][::-1].copy()
+        if carry and len(rest):
+            rest[1:, 1] = rest[:-1, 1].copy()
+            rest[0, 1] = _seam(repeats, rest[0], own[-1]) if len(own) else 0
+        down.pop(rest)
+        falling[c] = None
+        out += [own, rest]
+    all_ = np.concatenate(out)[::-1].copy()
+    all_[1:, 1] = all_[:-1, 1].copy()
+    all_[0, 1] = 0
+    return all_
 
 
 def suffix_order(t: np.ndarray, symbols: int) -> np.ndarray:
     """Starts of all suffixes of ``t`` in order; symbol 0 is only its last."""
-    n = len(t)
-    if n < 64:
+    if len(t) < 64:
         return _doubling(t)
     rising = _types(t)
+    return _induce(t, rising, _sorted_turns(t, rising, symbols), symbols)[:, 0]
+
+
+def suffix_prefixes(t: np.ndarray, symbols: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_order`` and the common prefix of each suffix with the one before it, exact below ``cap``.
+
+    The turns' common prefixes are read off rolling hashes; the queues carry them on
+    to all others.
+    """
+    if len(t) < 64:
+        order = _doubling(t)
+        return order, common_prefixes(t, order, cap)
+    rising = _types(t)
+    turns = _sorted_turns(t, rising, symbols)
+    all_ = _induce(t, rising, turns, symbols, common_prefixes(t, turns, cap) if len(turns) else np.zeros(0, dtype=np.int64))
+    return all_[:, 0], all_[:, 1]
+
+
+def _sorted_turns(t: np.ndarray, rising: np.ndarray, symbols: int) -> np.ndarray:
+    """The suffixes that begin where falling turns to rising, in order, through the reduced string of their names."""
+    n = len(t)
     turns = (np.flatnonzero(rising[1:] & ~rising[:-1]) + 1).astype(np.int32)
-    if len(turns) > 1:
-        # Names: a pass from turns in any order sorts the stretches from turn to turn.
-        rough = _induce(t, rising, turns[np.argsort(t[turns], kind="stable")], symbols)
-        is_turn = np.zeros(n, dtype=bool)
-        is_turn[turns] = True
-        by = rough[is_turn[rough]]
-        end = np.append(turns[1:], n - 1)
-        place = np.zeros(n, dtype=np.int64)
-        place[turns] = np.arange(len(turns))
-        h = Rolling(mixed(t.astype(np.uint64), 13)).stretches(turns.astype(np.int64), end.astype(np.int64) + 1)
-        own = h[place[by]]
-        name = np.cumsum(np.concatenate([[True], own[1:] != own[:-1]]))
-        reduced = np.empty(len(turns), dtype=np.int64)
-        reduced[place[by]] = name
-        if name[-1] < len(turns):
-            order = _doubling(reduced) if len(reduced) <= BASE else suffix_order(np.append(reduced, 0), int(name[-1]) + 1)[1:]
-        else:
-            order = np.argsort(reduced)
-        turns = turns[order]
-    return _induce(t, rising, turns, symbols)
+    if len(turns) < 2:
+        return turns
+    # Names: a pass from turns in any order sorts the stretches from turn to turn.
+    rough = _induce(t, rising, turns[np.argsort(t[turns], kind="stable")], symbols)[:, 0]
+    is_turn = np.zeros(n, dtype=bool)
+    is_turn[turns] = True
+    by = rough[is_turn[rough]]
+    end = np.append(turns[1:], n - 1)
+    place = np.zeros(n, dtype=np.int64)
+    place[turns] = np.arange(len(turns))
+    h = Rolling(mixed(t.astype(np.uint64), 13)).stretches(turns.astype(np.int64), end.astype(np.int64) + 1)
+    own = h[place[by]]
+    name = np.cumsum(np.concatenate([[True], own[1:] != own[:-1]]))
+    reduced = np.empty(len(turns), dtype=np.int64)
+    reduced[place[by]] = name
+    if name[-1] == len(turns):
+        return turns[np.argsort(reduced)]
+    return turns[_doubling(reduced) if len(reduced) <= BASE else suffix_order(np.append(reduced, 0), int(name[-1]) + 1)[1:]]
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
@@ -191,16 +275,6 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
         high[go] = np.where(same, high[go], m - 1)
 
 
-def reaches(t: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
-    """Where common_prefixes(t, order, width) is ``width``, by one comparison each."""
-    a, b = order[1:].astype(np.int64), order[:-1].astype(np.int64)
-    at = np.flatnonzero(np.maximum(a, b) + width <= len(t))
-    grams = Rolling(mixed(t.astype(np.uint64), 13)).grams(width)
-    out = np.zeros(len(order), dtype=bool)
-    out[at + 1] = grams[a[at]] == grams[b[at]]
-    return out
-
-
 def repeated(parts: list[bytes], width: int = WINDOW) -> list[np.ndarray]:
     """For each part, which of its windows of ``width`` bytes start anywhere else in the parts too."""
     t = np.frombuffer(b"\0".join(parts) + b"\0\0", dtype=np.uint8).astype(np.int16)
@@ -210,10 +284,8 @@ def repeated(parts: list[bytes], width: int = WINDOW) -> list[np.ndarray]:
     inside[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = True
     t = np.where(inside, t + 2, 1)  # byte b is symbol b + 2, a part's end is 1
     t[-1] = 0
-    order = suffix_order(t, 258)
-    if len(t) <= width:
-        return [np.zeros(max(0, n - width + 1), dtype=bool) for n in size.tolist()]
-    long_ = reaches(t, order, width)
+    order, prefixes = suffix_prefixes(t, 258, width)
+    long_ = prefixes >= width
     hit = np.zeros(len(t), dtype=bool)
     hit[order[long_]] = True
     hit[order[np.append(long_[1:], False)]] = True

@@ -510,3 +510,26 @@ def test_viterbi_matches_brute_force():
         slots = rng.integers(0, 20, n)
         best = max(itertools.product(range(langs), repeat=n), key=lambda p: sum(known[s, k] for s, k in zip(slots, p, strict=True)) - 4.0 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
         assert tuple(language_id.viterbi(known, slots, np.array([n]), 4.0).tolist()) == best
+
+
+def test_suffix_prefixes_carried(monkeypatch):
+    """Common prefixes from the queues are those of the strings, in memory and from the file, over two levels of recursion."""
+    levels = []
+    real = suffix_dedup._sorted_turns
+    monkeypatch.setattr(suffix_dedup, "_sorted_turns", lambda *a: (levels.append(len(a[0])), real(*a))[1])
+    rnd = np.random.default_rng(7)
+    for n, kinds in ((70, 1), (300, 2), (900, 3), (1500, 60)):
+        t = np.append(rnd.integers(1, kinds + 1, n), 0).astype(np.int16)
+        t[n // 2 : n] = t[: n - n // 2]
+        t[n // 4 : n // 4 + 20] = 1
+        text = t.astype(np.uint8).tobytes()
+        want = sorted(range(n + 1), key=lambda i: text[i:])
+        common = [0] + [next((k for k in range(n + 1) if text[a + k : a + k + 1] != text[b + k : b + k + 1]), 0) for a, b in zip(want, want[1:], strict=False)]
+        for most, base, cap in ((1 << 20, 1 << 24, n), (64, 16, n), (64, 16, 5)):
+            monkeypatch.setattr(suffix_dedup.Queue.__init__, "__defaults__", (most,))
+            monkeypatch.setattr(suffix_dedup, "BASE", base)
+            levels.clear()
+            order, prefixes = suffix_dedup.suffix_prefixes(t, kinds + 1, cap)
+            assert order.tolist() == want
+            assert [min(x, cap) for x in prefixes.tolist()] == [min(x, cap) for x in common]
+            assert n < 900 or kinds > 3 or base > 16 or len(levels) >= 3
