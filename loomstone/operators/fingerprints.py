@@ -79,10 +79,11 @@ def members(prints: DataFrame) -> DataFrame:
     return prints.join(least, "simhash").select("id", "representative")
 
 
-def greedy(rows: DataFrame, group: str, order: str, text_col: str, most: int = 3) -> DataFrame:
+def greedy(rows: DataFrame, group: str, order: str, text_col: str, most: int = 3, least_chars: int = 0) -> DataFrame:
     """First wins: a row goes if an earlier kept row of its group is equal, or close to it; kept rows have no reason.
 
     For the candidate list of one query, tens of rows; a row dropped as close is not compared with again.
+    Texts under ``least_chars`` characters are only compared as a whole.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +104,7 @@ def greedy(rows: DataFrame, group: str, order: str, text_col: str, most: int = 3
         return pdf.assign(reason=reasons)[["grp", "pos", "id", "reason"]]
 
     base = rows.select(F.col(group).cast("string").alias("grp"), F.col(order).cast("long").alias("pos"), F.col("id"), F.col(text_col).alias("text"))
-    known = base.join(simhash(base.dropDuplicates(["id"]), "id", "text"), "id", "left").select("grp", "pos", "id", T.exact_hash("text").alias("digest"), T.hex16(F.col("simhash")).alias("simhash"))
+    known = base.join(simhash(base.dropDuplicates(["id"]), "id", "text"), "id", "left").select("grp", "pos", "id", T.exact_hash("text").alias("digest"), F.when(F.length("text") >= least_chars, T.hex16(F.col("simhash"))).alias("simhash"))
     return known.groupBy("grp").applyInPandas(fold, "grp string, pos long, id long, reason string")
 
 

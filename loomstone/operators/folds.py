@@ -114,12 +114,22 @@ def quantities(text: str) -> dict[str, set[str]]:
     return out
 
 
+def numeric(a: str, b: str) -> str | None:
+    """The first quantity of one key on which two texts share no value."""
+    qa, qb = quantities(a), quantities(b)
+    return next((k for k in qa if k in qb and not qa[k] & qb[k]), None)
+
+
+def polarity(a: str, b: str) -> bool:
+    """Whether both texts state a duty and one of them negates it."""
+    return bool(_DUTY.search(a) and _DUTY.search(b)) and bool(_NEGATION.search(a)) != bool(_NEGATION.search(b))
+
+
 def conflict(a: str, b: str) -> tuple[str, float]:
     """How two texts disagree: on a quantity of one key, else on a duty that one of them negates."""
-    qa, qb = quantities(a), quantities(b)
-    if any(not (qa[k] & qb[k]) for k in qa.keys() & qb.keys()):
+    if numeric(a, b) is not None:
         return "numeric", 0.75
-    if _DUTY.search(a) and _DUTY.search(b) and bool(_NEGATION.search(a)) != bool(_NEGATION.search(b)):
+    if polarity(a, b):
         return "polarity", 0.55
     return "none", 0.0
 

@@ -185,7 +185,33 @@ def parse_html(text: str) -> list[dict]:
     return p.b.out
 
 
-PARSERS: dict[str, Callable[[str], list[dict]]] = {"text": parse_text, "markdown": parse_markdown, "html": parse_html, "csv": parse_csv}
+#: Fixed: a numbered heading and an item of a list in text taken from a page; the most characters of a heading.
+_NUMBERED = re.compile(r"^(\d+(?:\.\d+){0,4})[.)]?\s+(\S.{0,110})$")
+_ITEM = re.compile(r"^\s{0,3}(?:[-*+]\s+|\d{1,3}[.)]\s+)(.*)$")
+HEADING_CHARS = 90
+
+
+def parse_page_text(text: str) -> list[dict]:
+    """Text taken from a page: a numbered line alone is a heading of its depth, a short capitalised one of level 2."""
+    b = Blocks()
+    for paragraph in re.split(r"\n\s*\n", text):
+        lines = [x for line in paragraph.split("\n") if (x := line.strip())]
+        if not lines:
+            continue
+        alone = lines[0] if len(lines) == 1 else ""
+        if m := _NUMBERED.match(alone):
+            b.heading(m[2], m[1].count(".") + 1)
+        elif alone and len(alone) <= HEADING_CHARS and alone[-1] not in ".,;:" and alone[0].isupper():
+            b.heading(alone, 2)
+        elif all(items := [_ITEM.match(x) for x in lines]):
+            for m in items:
+                b.add("list_item", m[1])
+        else:
+            b.add("paragraph", " ".join(lines))
+    return b.out
+
+
+PARSERS: dict[str, Callable[[str], list[dict]]] = {"text": parse_text, "markdown": parse_markdown, "html": parse_html, "csv": parse_csv, "page": parse_page_text}
 
 
 def sentences(text: str) -> list[str]:
@@ -214,6 +240,30 @@ def split_block(block: dict) -> list[str]:
     return list(_pack(sentences(block["text"]), TARGET, " "))
 
 
+def table_batches(header: list[str], body: list[list[str]], most: int = MOST) -> list[list[list[str]]]:
+    """The rows of a table in batches that fit a chunk with the header, which each repeats."""
+    room, out, used = max(1, most - tokens(table([header]))), [], 0
+    for row in body:
+        cost = tokens(" ".join(row))
+        if not out or used + cost > room:
+            out.append([])
+            used = 0
+        out[-1].append(row)
+        used += cost
+    return out
+
+
+def merge_runt(chunks_: list[dict], least: int = LEAST, most: int = MOST) -> list[dict]:
+    """A last chunk of few tokens joins the one before, if they have one section and fit together."""
+    if len(chunks_) < 2:
+        return chunks_
+    *rest, before, last = chunks_
+    text = before["text"] + "\n\n" + last["text"]
+    if last["tokens"] >= least or last["section"] != before["section"] or tokens(text) > most:
+        return chunks_
+    return [*rest, {"text": text, "section": before["section"], "tokens": tokens(text)}]
+
+
 def tail(text: str, budget: int = OVERLAP) -> str:
     """The last sentences within a budget, one at least."""
     out, n = [], 0
@@ -256,11 +306,7 @@ def chunk(blocks: list[dict]) -> list[dict]:
             held.append(part)
             fresh += n
     close(False)
-    if len(out) > 1 and out[-1]["tokens"] < LEAST and out[-1]["section"] == out[-2]["section"] and out[-2]["tokens"] + out[-1]["tokens"] <= MOST:
-        last = out.pop()
-        text = out[-1]["text"] + "\n\n" + last["text"]
-        out[-1] = {"text": text, "section": out[-1]["section"], "tokens": tokens(text)}
-    return out
+    return merge_runt(out)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:

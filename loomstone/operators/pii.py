@@ -78,10 +78,10 @@ RECOGNISERS = (
     Recogniser("swift", "SWIFT_CODE", r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.55, context=("swift", "bic", "bank", "iban", "wire", "beneficiary"), needs_context=True),
     Recogniser("jwt", "JWT", r"\beyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*", 0.9, "web_token"),
     Recogniser("key_sk", "API_KEY", r"\bsk-(?:ant-)?[A-Za-z0-9_-]{16,}\b", 0.9),
-    Recogniser("key_cloud", "API_KEY", r"\bAKIA[0-9A-Z]{16}\b", 0.9),
-    Recogniser("key_git", "API_KEY", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", 0.9),
-    Recogniser("key_chat", "API_KEY", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", 0.9),
-    Recogniser("key_maps", "API_KEY", r"\bAIza[0-9A-Za-z_-]{35}\b", 0.9),
+    Recogniser("key_aws", "API_KEY", r"\bAKIA[0-9A-Z]{16}\b", 0.9),
+    Recogniser("key_github", "API_KEY", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", 0.9),
+    Recogniser("key_slack", "API_KEY", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", 0.9),
+    Recogniser("key_google", "API_KEY", r"\bAIza[0-9A-Za-z_-]{35}\b", 0.9),
     Recogniser("key_assigned", "API_KEY", r"(?i)(?:api[_-]?key|secret|token|password|passwd)\s*[:=]\s*[\"']?([A-Za-z0-9_\-.]{16,})", 0.6, group=1),
     Recogniser("email", "EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.9),
     Recogniser("card", "CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.8, "luhn", ("card", "credit", "debit", "visa", "mastercard", "amex", "cvv"), trims=True),
@@ -152,3 +152,20 @@ def scan(docs: DataFrame, id_col: str, text_col: str, mode: str = "mask") -> Dat
 
     schema = "id long, findings array<struct<kind string, start int, end int, score double>>, kinds array<string>, top double, redacted string"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+
+
+def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, kind, start, end, score) of every match that passes its check, overlaps and low scores included."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(i, *m) for i, t in zip(pdf["id"], pdf["text"], strict=True) for m in find(t or "")]
+            yield pd.DataFrame(out, columns=["id", "kind", "start", "end", "score"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, kind string, start int, end int, score double")
+
+
+def verified(findings: DataFrame, rejected: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Findings (id, kind, start, end, score) without those of at least ``floor`` that a second look (id, kind, start, end) rejected."""
+    no = rejected.select("id", "kind", "start", "end").distinct().withColumn("_no", F.lit(True))
+    return findings.join(no, ["id", "kind", "start", "end"], "left").where(F.col("_no").isNull() | (F.col("score") < floor)).drop("_no")
