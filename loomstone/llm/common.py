@@ -12,6 +12,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -26,14 +27,17 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text bytes that one step of an Arrow operator holds at once.
 CHUNK_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and keep Arrow batches of texts small unless a limit is set."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if x)
+    if spark.conf.get(BATCH_LIMIT, "") in ("", "67108864b"):
+        spark.conf.set(BATCH_LIMIT, str(CHUNK_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +93,10 @@ def scope(key: tuple):
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nothing refers to any more; else they stay until the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner sees what a collection has found only at the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def release(spark: SparkSession, key: tuple) -> None:
@@ -179,7 +185,7 @@ def sieve(keys: DataFrame) -> np.ndarray | None:
     """Bits of a column ``h`` of hashed keys, for ``sieved``: 8 MB whatever their number, None where they are too many to tell anything."""
     by_block = keys.select(F.shiftrightunsigned("h", 57).cast("int").alias("block"), "h").groupBy("block").applyInArrow(_sieve_block, "block int, bits binary, n long")
     out, n = np.zeros((SIEVE_BLOCKS, SIEVE_BYTES), dtype=np.uint8), 0
-    for r in by_block.toLocalIterator():  # a row for each block
+    for r in by_block.collect():  # a row for each block
         out[r.block] = np.frombuffer(r.bits, dtype=np.uint8)
         n += r.n
     return None if n > MOST_SIEVED else out
@@ -208,7 +214,7 @@ def sieved(df: DataFrame, bits: np.ndarray | None) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words; keeps the words seen of late, at most ``most`` of them."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -196,7 +196,7 @@ class Orders:
 def _orders(whole: DataFrame) -> Orders:
     levels = np.zeros((1 << CELL_BITS) >> 16 << 16, dtype=np.uint8).reshape(-1, 1 << 16)
     found = whole.select("tokens").mapInArrow(_cells, "block int, cells binary, counts binary").groupBy("block").applyInArrow(_cell_levels, "block int, levels binary")
-    for r in found.toLocalIterator():  # a row for each block
+    for r in found.collect():  # a row for each block
         levels[r.block] = np.frombuffer(r.levels, dtype=np.uint8)
     return Orders(levels.ravel())
 
