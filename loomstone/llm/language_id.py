@@ -102,7 +102,7 @@ class Model:
 class Labeller(dict):
     """Maps a token to the slot of its scores; keeps the tokens seen of late."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 150_000):
         super().__init__()
         self.model, self.most = model, most
         self._reset()
