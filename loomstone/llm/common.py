@@ -107,15 +107,16 @@ def release(spark: SparkSession, key: tuple) -> None:
 
 
 @contextlib.contextmanager
-def temporary(spark: SparkSession):
-    """What is staged meanwhile goes at the end, but for what ``lasting`` keeps."""
+def temporary(spark: SparkSession, large: bool = True):
+    """What is staged meanwhile goes at the end, but for what ``lasting`` keeps, and shuffle files too where they are large."""
     key = ("temporary", uuid.uuid4().hex)
     with scope(key):
         try:
             yield
         finally:
             release(spark, key)
-            sweep(spark)
+            if large:
+                sweep(spark)
 
 
 def lasting(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from .common import lasting, staged, temporary
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the least node of its component) of every node of ``edges`` (columns a, b: long)."""
-    with temporary(edges.sparkSession):
+    with temporary(edges.sparkSession, large=False):
         now = lasting(_stars(edges), "stars")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
