@@ -137,3 +137,40 @@ def language(c: str | Column, first: int = 4000, least: int = 8, default: str =
         found = F.when(hit, lang) if found is None else found.when(hit, lang)
     foreign = t.rlike("[" + "".join(span for _, span in SCRIPT_LANGUAGES) + "]")
     return F.when(F.trim(t) == "", default).when(~foreign, out).otherwise(found.otherwise(out))
+
+
+def _letters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def iban_ok(c: str | Column) -> Column:
+    """15 to 34 letters and digits without spaces whose number, the first four last and letters as 10 to 35, leaves 1 of 97."""
+    v = F.upper(F.regexp_replace(text_of(c), r"\s", ""))
+    moved = F.concat(F.substring(v, 5, 40), F.substring(v, 1, 4))
+    step = lambda s, x: F.when(x.rlike("[0-9]"), s * 10 + x.cast("int")).otherwise(s * 100 + F.ascii(x) - 55) % 97
+    return F.when(~v.rlike("^[A-Z0-9]{15,34}$"), False).otherwise(F.aggregate(_letters(moved), F.lit(0).cast("long"), step) == 1)
+
+
+def verhoeff_ok(c: str | Column) -> Column:
+    """Whether the digits of a text check out in the dihedral group of ten: place k applies the k-th power of a permutation."""
+    turn = F.array(*map(F.lit, (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)))
+    digits = F.reverse(_letters(F.regexp_replace(text_of(c), "[^0-9]", "")))
+    turned = F.transform(digits, lambda x, k: F.aggregate(F.when(k % 8 > 0, F.sequence(F.lit(1), k % 8)).otherwise(F.array().cast("array<int>")), x.cast("int"), lambda d, _: F.element_at(turn, d + 1)))
+    # Elements under 5 turn, the others turn and flip; a flip reverses what comes after it.
+    step = lambda a, b: F.when((a < 5) & (b < 5), (a + b) % 5).when(a < 5, (a + b - 5) % 5 + 5).when(b < 5, (a - 5 - b + 5) % 5 + 5).otherwise((a - b + 5) % 5)
+    return F.aggregate(turned, F.lit(0), step) == 0
+
+
+def pipe_table(rows: Column) -> Column:
+    """A pipe table of an array of rows, the first its head; blank rows go, short rows are filled up."""
+    cell = lambda x: F.replace(F.replace(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    full = F.filter(rows, lambda r: F.exists(r, lambda x: F.trim(x) != ""))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def drawn(own: Column) -> Column:
+        wide = F.array_max(F.transform(own, lambda r: F.size(r)))
+        fill = lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), wide - F.size(r)))
+        lines = F.transform(own, lambda r: line(fill(r)))
+        return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(line(F.array_repeat(F.lit("---"), wide))), F.slice(lines, 2, 1 << 30)), "\n")
+
+    return F.when(F.size(full) == 0, "").otherwise(let(full, drawn))
