@@ -221,7 +221,8 @@ def _link(like: float):
     """Pairs that join the fingerprints of a band's bucket that are alike, directly or by others of it."""
 
     def run(nodes: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
-        d = np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(nodes), SAMPLES)
+        d = np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(nodes), SAMPLES // 2)
+        d = np.concatenate([d >> 4, d & 15], axis=1)
         left, front, out = np.arange(1, len(nodes)), [0], []
         while front:
             # Each member once asks those that none has reached; where it ends, the next of them leads.
@@ -258,7 +259,7 @@ def similar_prints(prints: DataFrame, like: float = LIKE) -> DataFrame:
         banded = each.select("node", F.explode(keys).alias("family"))
         shared = banded.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         members = staged(banded.join(shared, "family"), "members")
-        return lasting(linked_families(members, each.select("node", F.col("fingerprint").cast("binary").alias("body")), _link(like)), "linked")
+        return lasting(linked_families(members, each.select("node", F.unhex("fingerprint").alias("body")), _link(like)), "linked")
 
 
 def similar_classes(prints: DataFrame, like: float = LIKE) -> DataFrame:
