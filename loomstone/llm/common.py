@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if x)
-    if spark.conf.get(BATCH_LIMIT, "") in ("", "67108864b"):
+    if spark.conf.get(BATCH_LIMIT, "64m") in ("64m", "67108864b"):
         spark.conf.set(BATCH_LIMIT, str(CHUNK_BYTES))
 
 
