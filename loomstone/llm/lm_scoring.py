@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, buckets_for, chunks, documents, lasting, mixed, rows, staged, temporary, text_bytes
+from .common import SPACES, chunks, documents, mixed, rows, staged, sweep, text_bytes
 from .runs import Rolling
 
 #: Words that go to all workers, branches of a node.
 KNOWN, FAN = 1 << 18, 16
 #: The least rows of weights for the root and for other nodes.
 ROOT_ROWS, NODE_ROWS = 1 << 15, 1 << 17
-#: Rounds of updates; the least shards of a round, and the text of a shard in sizes of the model beyond that.
-ROUNDS, SHARDS, SHARD_MODELS = 2, 24, 16
+#: Rounds of updates; the least text of a shard, in bytes and in sizes of the model, which each shard sends.
+ROUNDS, SHARD_BYTES, SHARD_MODELS = 2, 16 << 20, 1
 RATE, BATCH, BLOCK, FEW = 0.4, 8192, 4096, 4
 #: Bytes of text that are taken at once.
 TEXT_BYTES = 1 << 20
@@ -284,7 +284,7 @@ UPDATES = "part string, block int, shard int, w binary, n binary"
 
 
 def _training(shared):
-    """A shard's weights after its steps, block by block, each row times its uses, and the uses."""
+    """A shard's weights after its steps, block by block and in half precision, and how often each row was used."""
 
     def run(batches):
         v, parts, before = shared.value
@@ -295,7 +295,7 @@ def _training(shared):
                 own = count - before[name]
                 for k in range(0, len(table), BLOCK):
                     if (n := own[k : k + BLOCK].astype(np.float32)).any():
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([now], pa.int32()), pa.array([(table[k : k + BLOCK] * n[:, None]).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=[x.split()[0] for x in UPDATES.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([now], pa.int32()), pa.array([table[k : k + BLOCK].astype(np.float16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=[x.split()[0] for x in UPDATES.split(", ")])
 
         for b in chunks(batches, most=TEXT_BYTES):
             shard = np.asarray(b.column("shard"))
@@ -316,8 +316,11 @@ def _training(shared):
 def _merge(table: pa.Table) -> pa.Table:
     """The mean of the shards' rows of a block, by use; in the order of shards, for sums depend on it."""
     table = table.sort_by("shard")
-    w, n = (sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in table.column(c).to_pylist()) for c in ("w", "n"))
-    w = w.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
+    w, n = 0.0, 0.0
+    for x, y in zip(table.column("w").to_pylist(), table.column("n").to_pylist(), strict=True):
+        uses = np.frombuffer(y, dtype=np.float32).astype(np.float64)
+        w, n = w + np.frombuffer(x, dtype=np.float16).reshape(len(uses), -1) * uses[:, None], n + uses
+    w /= np.maximum(n, 1)[:, None]
     return pa.table({"part": table.column("part")[:1], "block": table.column("block")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n.astype(np.float32).tobytes()], pa.binary())})
 
 
@@ -337,17 +340,19 @@ def fit(training: DataFrame) -> tuple[DataFrame, Weights]:
     used = {k: np.zeros(len(x), dtype=np.int32) for k, x in parts.items()}
     own = training.select("text", F.xxhash64("text", F.lit(6)).alias("h"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(SHARDS, int(size / ROUNDS / (SHARD_MODELS * sum(x.nbytes for x in parts.values()))))
+    shards = max(1, -int(-size / ROUNDS // max(SHARD_BYTES, SHARD_MODELS * sum(x.nbytes for x in parts.values()))))
     shard = F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int")
     for k in range(ROUNDS):
-        dealt = own.where(F.pmod("h", F.lit(ROUNDS)) == k).select(shard.alias("shard"), "h", "text").repartition(shards, F.col("shard")).sortWithinPartitions("shard", "h")
+        dealt = own.where(F.pmod("h", F.lit(ROUNDS)) == k).select(shard.alias("shard"), "h", "text").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h")
         each = dealt.mapInArrow(_training(spark.sparkContext.broadcast((v, parts, used))), UPDATES)
         parts, used = {k: x.copy() for k, x in parts.items()}, {k: x.copy() for k, x in used.items()}
-        for r in each.groupBy("part", "block").applyInArrow(_merge, "part string, block int, w binary, n binary").toLocalIterator():
+        for r in each.groupBy("part", "block").applyInArrow(_merge, "part string, block int, w binary, n binary").collect():  # as large as the model
             w, n = np.frombuffer(r.w, dtype=np.float32), np.frombuffer(r.n, dtype=np.float32)
             rows_ = np.flatnonzero(n)
             parts[r.part][r.block + rows_] = w.reshape(len(n), -1)[rows_]
             used[r.part][r.block + rows_] += np.ceil(n[rows_] / shards).astype(np.int32)
+        del dealt, each
+        sweep(spark)
     return counts, Weights(v, parts)
 
 
