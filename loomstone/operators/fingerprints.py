@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from .graph import spread
 
 #: Words of a shingle.
 WIDTH = 4
@@ -24,7 +25,7 @@ def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A hash is the first 60 bits of an MD5, so that any engine can repeat it and no sign
     is in the way.  All votes of a document are where its text is: nothing is shuffled.
     """
-    d = docs.select(F.col(id_col).alias("id"), T.normal(text_col).alias("t"))
+    d = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", T.normal("t").alias("t"))
 
     def run(batches):
         for b in batches:

@@ -1,4 +1,4 @@
-"""Cutting lineage in the shared folder, and classes of nodes that edges join."""
+"""Cutting lineage in the shared folder, spreading small inputs, and classes of nodes that edges join."""
 
 from __future__ import annotations
 
@@ -21,6 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its files make fewer tasks than there are; large inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster) of all nodes (id): the least id that edges (a, b), taken both ways, lead to.
 

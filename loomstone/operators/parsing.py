@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import spread
+
 #: Fixed: target, least, most and overlap of a chunk, in estimated tokens.
 TARGET, LEAST, MOST, OVERLAP = 512, 64, 1024, 64
 _WORDISH = re.compile(r"\w+|[^\w\s]")
@@ -327,5 +329,5 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, kind: str = "text") -> D
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "chunks": [chunk(PARSERS[kind](t or "")) for t in pdf["text"]]})
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, chunks array<struct<text:string,section:array<string>,tokens:int>>")
+    d = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, "id long, chunks array<struct<text:string,section:array<string>,tokens:int>>")
     return d.select("id", F.posexplode("chunks").alias("pos", "c")).select("id", "pos", "c.*")

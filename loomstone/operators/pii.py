@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import spread
+
 #: Characters on both sides of a match that are searched for its context words, and what a find adds.
 REACH, BOOST, LEAST = 64, 0.15, 0.5
 
@@ -151,7 +153,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, mode: str = "mask") -> Dat
             yield pd.DataFrame(out, columns=["id", "findings", "kinds", "top", "redacted"])
 
     schema = "id long, findings array<struct<kind string, start int, end int, score double>>, kinds array<string>, top double, redacted string"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, schema)
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fingerprints as P
+from ..operators.graph import spread
 from .base import query
 
 NORM_SQL = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -184,7 +185,7 @@ def _language_sql(least: int) -> str:
 @query("lang_doc", _language_sql(8))
 def lang_doc(t):
     """The rule reads the first 4000 characters: that limit is the operator's own."""
-    return t.documents.select("doc_id", T.language("text").alias("lang"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", T.language("text").alias("lang"))
 
 
 @query("lang_turn", _language_sql(6).replace("doc_id", "conv_id, turn").replace("documents", "conversations"))
