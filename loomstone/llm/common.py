@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Characters that separate words, as bytes: space and 0x09 to 0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text bytes that one step of an Arrow operator holds at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

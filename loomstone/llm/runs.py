@@ -9,8 +9,6 @@ that it covers.  A text has about 2 / (width - gram + 2) runs a symbol.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 from .common import mixed
@@ -18,8 +16,20 @@ from .common import mixed
 _BASE = 0x5851F42D4C957F2D
 
 
-@functools.lru_cache(maxsize=4)
+KEPT = 1 << 21
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, ``n`` of them at least; the longest so far up to ``KEPT`` stay."""
+    if n > KEPT:
+        return _new_powers(n)
+    if not _POWERS or len(_POWERS[0]) <= n:
+        _POWERS[:] = _new_powers(n)
+    return _POWERS[0], _POWERS[1]
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE, dtype=np.uint64))])
         down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64))])
