@@ -16,6 +16,8 @@ MODULES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_suffix_array_dedup": "suffix_dedup",
     "op10_bpe_codec": "bpe",
+    "op11_filter_audit": "filter_audit",
+    "op12_lexical_search": "lexical_search",
 }
 
 
