@@ -18,6 +18,7 @@ MODULES = {
     "op10_bpe_codec": "bpe",
     "op11_filter_audit": "filter_audit",
     "op12_lexical_search": "lexical_search",
+    "op13_secret_scan": "secret_scan",
 }
 
 
