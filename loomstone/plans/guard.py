@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import conflicts as N
 from ..operators import guardrails as G
 from .base import CORPUS_SQL, DOC_TYPES, query
 
@@ -250,3 +251,24 @@ def msg_sequence(t):
 
 
 assert re.compile(G.FORGERY)
+
+
+def disputed(t):
+    """Each conversation's turns as candidates of one question: of three documents, with a limit and a duty that some state otherwise."""
+    turn = F.col("turn")
+    limit = F.concat(F.lit(" The daily travel limit equals "), (50 + turn % 2 * 10).cast("string"), F.lit(" EUR."))
+    duty = F.when(turn % 4 == 3, " Staff must not file this report.").otherwise(" Staff must file this report.")
+    return t.conversations.select(
+        F.col("conv_id").alias("grp"), (F.col("conv_id") * 1000 + turn).alias("id"), (turn % 3).alias("document"), F.round(1 / (1 + F.length("text")), 6).alias("score"), F.concat(F.substring_index("text", " ", 6), limit, duty).alias("text"),
+        F.when(turn % 5 == 0, turn * 86_400 * 100).alias("effective"), (turn % 2 * 86_400).alias("modified"), (turn % 4).cast("int").alias("authority"), turn.alias("seen"),
+    )
+
+
+@query("conflict_pairs")
+def conflict_pairs(t):
+    return N.conflict_pairs(disputed(t)).select("grp", F.col("rank").cast("long").alias("rank"), "a", "b", F.round("total", 6).alias("total"), "kind", "confidence")
+
+
+@query("conflict_check")
+def conflict_check(t):
+    return N.conflict_check(disputed(t)).withColumn("gap_days", F.round("gap_days", 6)).withColumn("rank", F.col("rank").cast("long"))
