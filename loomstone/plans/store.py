@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.delta import upsert
-from ..sources import files, web
+from ..operators.graph import new_folder
+from ..sources import feed, files, web
 from ..streaming import events as SE
+from ..streaming import sessions as SW
 from .base import query
 
 
@@ -132,7 +134,7 @@ def audit(t):
     return t.events.select("event_id", F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("entry"))
 
 
-@query("src_registry", "SELECT * FROM (VALUES ('files'), ('rows'), ('crawl'), ('sitemap'), ('jdbc')) AS v(kind)")
+@query("src_registry", "SELECT * FROM (VALUES ('files'), ('rows'), ('crawl'), ('sitemap'), ('jdbc'), ('feed')) AS v(kind)")
 def src_registry(t):
     from ..sources.registry import READERS
 
@@ -178,3 +180,32 @@ def tool_rate(t):
 @query("tool_breaker")
 def tool_breaker(t):
     return SE.breaker(t.events)
+
+
+@query("src_graph_delta", "SELECT doc_id::VARCHAR AS item_id, CASE WHEN doc_id % 9 <> 0 THEN n_chars END AS size, 'e' || (doc_id % 6) AS etag, doc_id % 9 = 0 AS deleted FROM documents UNION ALL SELECT doc_id::VARCHAR, NULL, 'gone', true FROM documents WHERE doc_id % 8 = 3")
+def src_graph_delta(t):
+    """Documents as a change feed, written page by page and read back over the feed's source; some change again on a later page."""
+    d = t.documents
+    i = F.col("doc_id")
+    item = [i.cast("string").alias("id"), F.concat(F.lit("doc "), i.cast("string")).alias("name")]
+    once = d.select(*item, F.concat(F.lit("e"), (i % 6).cast("string")).alias("etag"), F.col("n_chars").alias("size"), F.lit("2025-01-01").alias("modified"), (i % 9 == 0).alias("deleted"), F.floor(i / 500).alias("page"), i.alias("pos"))
+    again = d.where(i % 8 == 3).select(*item, F.lit("gone"), F.lit(None).cast("long"), F.lit("2025-02-01"), F.lit(True), 1_000_000_000 + F.floor(i / 500), i)
+    folder = new_folder(t.spark, "feed")
+    feed.write_pages(once.union(again), folder)
+    return feed.changes(t.spark, folder).select("item_id", "size", "etag", "deleted")
+
+
+_SESSION_SQL = """WITH g AS (SELECT event_type AS tenant_id, user_id AS session_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY tenant_id, session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT tenant_id, session_id, epoch_us(min(ts))::BIGINT AS opened, epoch_us(max(ts))::BIGINT AS closed, count(*) AS turns, sum(event_id % 7)::BIGINT AS tokens, array_to_string(list(event_id ORDER BY ts, event_id)[-20:], ',') AS kept FROM s GROUP BY tenant_id, session_id, island"""
+
+
+def session_turns(t):
+    return t.events.select(F.col("event_type").alias("tenant_id"), F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("turn"), (F.col("event_id") % 7).alias("tokens"))
+
+
+@query("sess_store", _SESSION_SQL)
+def sess_store(t):
+    """The windows of all sessions, as keyed state gives them one by one on a stream."""
+    w = SW.windows(session_turns(t))
+    return w.select("tenant_id", "session_id", F.unix_micros("opened").alias("opened"), F.unix_micros("closed").alias("closed"), "turns", "tokens", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))

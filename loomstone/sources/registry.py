@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import files, tables, web
+from . import feed, files, tables, web
 
-READERS = {"files": files.listing, "rows": tables.row_documents, "crawl": web.crawl, "sitemap": web.sitemap, "jdbc": tables.read_jdbc}
+READERS = {"files": files.listing, "rows": tables.row_documents, "crawl": web.crawl, "sitemap": web.sitemap, "jdbc": tables.read_jdbc, "feed": feed.changes}
