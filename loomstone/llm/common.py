@@ -40,6 +40,11 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(BATCH_LIMIT, str(CHUNK_BYTES))
 
 
+def lean(spark: SparkSession) -> None:
+    """Let Python workers that live through several operators give memory back when they free it: large blocks are mapped one by one, and Arrow has no pool of its own."""
+    spark.sparkContext.environment.update(ARROW_DEFAULT_MEMORY_POOL="system", MALLOC_ARENA_MAX="1", MALLOC_MMAP_THRESHOLD_="1048576", MALLOC_TRIM_THRESHOLD_="1048576")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
