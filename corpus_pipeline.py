@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import jaccard_join, language_id, line_dedup, packing, substring_dedup
-from loomstone.llm.common import documents, release, scope, staged
+from loomstone.llm.common import documents, lean, release, scope, staged
 
 #: A document is rejected where no language has this share of its letters.
 LEAST_SHARE = 0.5
@@ -40,6 +40,7 @@ def _others(docs: DataFrame, *own: str) -> list[str]:
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those of which no language has half the letters, go; missing labels are filled in."""
+    lean(spark)
     kept = _others(docs)
     model = language_id.fit(docs.where(~language_id.held_out()))
     out = language_id.identify(docs, model, spans=False, keep=kept).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
@@ -48,6 +49,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that many documents have."""
+    lean(spark)
     kept = _others(docs, "text", "n_chars")
     out = line_dedup.line_dedup(docs, keep=kept)
     return _back(out, docs, kept, {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
@@ -55,6 +57,7 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least id stays."""
+    lean(spark)
     least = jaccard_join.jaccard_join(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
     stay = least.select(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).distinct()
     # The columns go through as one, so that no name of theirs can clash.
@@ -65,6 +68,7 @@ def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def by_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the stretches of words that an earlier document has; texts that lose nothing stay as they are."""
+    lean(spark)
     kept = _others(docs, "n_chars")
     out = substring_dedup.substring_dedup(docs, keep=kept)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"_k{kept.index('text')}"))
@@ -73,6 +77,7 @@ def by_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    lean(spark)
     return packing.pack_documents(docs).drop("th")
 
 
