@@ -352,7 +352,7 @@ def _links(spark, d: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, th, n_shingles, component_id."""
+    """One row per document: doc_id, th, n_shingles, component_id, group_key (equal for the documents of one component, of null ids too; null without words)."""
     spark = docs.sparkSession
     d = rows(docs, id_col, text_col)
     sets = staged(d.mapInArrow(_sets, "doc_id long, th long, n long, s1 long, s2 long"), "sets")
@@ -363,10 +363,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Names of components: the least id of all their classes.
     named = classes.select("s1", "s2", "least").join(linked.withColumnRenamed("node", "s1"), "s1", "left")
     of_linked = named.where("component is not null").groupBy("component").agg(F.min("least").alias("least_all"))
-    named = named.join(of_linked, "component", "left").select("s1", "s2", F.coalesce("least_all", "least").alias("component_id"))
-    out = sets.join(named, ["s1", "s2"], "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(of_linked, "component", "left").select("s1", "s2", F.coalesce("least_all", "least").alias("component_id"), F.coalesce("component", "s1").alias("group_key"))
+    out = sets.join(named, ["s1", "s2"], "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("group_key")).alias("group_key"))
     return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(documents(spark, sf_dir)).drop("th")
+    return jaccard_join(documents(spark, sf_dir)).drop("th", "group_key")
