@@ -7,8 +7,8 @@ the last return the columns of documents, whatever their names.
 Defined results, by stage: (language) a document whose text is null, empty or without
 letters goes, one of several languages goes if none has half the letters; (lines) a
 text that loses all lines is empty, and stays; (similarity) of rows of one id and text
-one stays, documents without words all stay, and of a group all with null ids one of
-the null ids' texts stays; (substrings) a null text stays null; (packing) a null text
+one stays, documents without words all stay, and of a group one stays, of null ids only
+if all its ids are null; (substrings) a null text stays null; (packing) a null text
 is an empty one.  Empty tables give empty tables.  Repeated rows are judged one by one
 but for similarity.
 """
@@ -56,14 +56,16 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id stays."""
+    """Of each group of linked documents one stays: the one of least id, and of equal ids that of the least hash of its text."""
     lean(spark)
-    least = jaccard_join.jaccard_join(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    stay = least.select(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).distinct()
-    # The columns go through as one, so that no name of theirs can clash.
-    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    left = own.join(stay, own.d.eqNullSafe(F.col("d2")) & (own.th == F.col("th2")), "left_semi")
-    return left.dropDuplicates(["d", "th"]).select("row.*")
+    found = jaccard_join.jaccard_join(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    one = found.where("n_shingles > 0").groupBy("group_key").agg(F.min(row).alias("r")).select("r.doc_id", "r.th")
+    stay = one.union(found.where("n_shingles = 0").select("doc_id", "th").distinct()).select(F.struct("doc_id", "th").alias("key"))
+    # The columns go through as one, so that no name of theirs can clash; one key for join and copies moves the texts once.
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    own = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return own.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def by_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
