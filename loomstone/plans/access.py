@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import access as A
+from ..operators import conditions as C
 from .base import CORPUS_SQL, PRINCIPALS_SQL, query
 
 _GRANT = "(list_contains(allowed_users, usr) OR len(allowed_groups) + len(allowed_roles) + len(allowed_users) = 0 OR list_has_any(allowed_groups, grps) OR list_has_any(allowed_roles, roles))"
@@ -139,3 +142,38 @@ def fx_canaries(t):
     """Tokens of the documents of a caller's tenant that the caller may not read."""
     own = t.corpus.where("not is_deleted").join(t.principals.select("persona", "tenant"), F.col("tenant_id") == F.col("tenant")).select("persona", "doc_id")
     return own.join(A.visible(t.corpus, t.principals).select("persona", "doc_id"), ["persona", "doc_id"], "left_anti").select("persona", F.concat(F.lit("canary-"), F.col("doc_id").cast("string")).alias("canary"))
+
+
+#: Filters as callers send them, each with what it says in SQL.
+TREES = [
+    ({"must": [{"key": "lang", "match": {"value": "en"}}, {"key": "n_chars", "range": {"gte": 500, "lt": 4000}}], "must_not": [{"key": "doc_type", "match": {"any": ["email", "note"]}}]}, "lang = 'en' AND n_chars >= 500 AND n_chars < 4000 AND doc_type NOT IN ('email', 'note')"),
+    ({"should": [{"key": "allowed_groups", "match": {"any": ["g1", "g2"]}}, {"is_empty": "allowed_groups"}], "must_not": [{"key": "denied_users", "match": {"value": "u2"}}, {"key": "is_deleted", "match": {"value": True}}]}, "(list_has_any(allowed_groups, ['g1', 'g2']) OR len(allowed_groups) = 0) AND NOT list_contains(denied_users, 'u2') AND NOT is_deleted"),
+    ({"must": [{"should": [{"has_id": list(range(0, 400, 3))}, {"key": "classification_rank", "range": {"gt": 2}}]}, {"key": "tenant_id", "match": {"except": ["src3"]}}], "must_not": [{"must": [{"key": "lang", "match": {"value": "de"}}, {"key": "n_chars", "range": {"lte": 1000}}]}]}, "((doc_id < 400 AND doc_id % 3 = 0) OR classification_rank > 2) AND tenant_id <> 'src3' AND NOT (lang = 'de' AND n_chars <= 1000)"),
+    ({"must": [{"key": "lang", "match": {"value": 5}}]}, "false"),
+]
+_TREE_SQL = " UNION ALL ".join(f"SELECT {k} AS tree, doc_id FROM corpus WHERE {sql}" for k, (_, sql) in enumerate(TREES))
+
+
+@query("harness_match", f"WITH {CORPUS_SQL} {_TREE_SQL}")
+def harness_match(t):
+    """Each filter as one predicate over the corpus."""
+    parts = [C.matching(t.corpus, tree).select(F.lit(k).alias("tree"), "doc_id") for k, (tree, _) in enumerate(TREES)]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+#: Arguments of search calls, each with what its caller may search, and what both say in SQL.
+CALLS = [
+    ({"doc_types": ["policy", "faq"], "languages": ["en"], "date_from": "2024-01-05"}, {"must": [{"key": "tenant_id", "match": {"value": "src1"}}]}, "tenant_id = 'src1' AND doc_type IN ('policy', 'faq') AND lang = 'en' AND modified >= 1704412800"),
+    ({"doc_types": [], "languages": "en", "date_to": "2024-01-03T12:00:00Z", "date_from": "yesterday"}, None, "modified <= 1704283200"),
+    ({"languages": ["de", "fr"]}, {"must": [{"key": "lang", "match": {"value": "de"}}]}, "lang = 'de'"),
+]
+_CALL_SQL = " UNION ALL ".join(f"SELECT {k} AS call, doc_id FROM corpus WHERE {sql}" for k, (*_, sql) in enumerate(CALLS))
+
+
+@query("tool_filter", f"WITH {CORPUS_SQL} {_CALL_SQL}")
+def tool_filter(t):
+    """What the arguments of each call leave of what its caller may search."""
+    docs = t.corpus.withColumn("modified", F.timestamp_seconds("modified"))
+    trees = [C.from_arguments(args, base=base) for args, base, _ in CALLS]
+    parts = [C.matching(docs, tree or {}).select(F.lit(k).alias("call"), "doc_id") for k, tree in enumerate(trees)]
+    return reduce(lambda a, b: a.union(b), parts)

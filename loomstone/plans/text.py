@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fingerprints as P
+from ..operators import planning as N
 from ..operators.graph import spread
 from .base import query
 
@@ -243,3 +244,25 @@ _LUHN_SQL = "SELECT o_orderkey, list_sum(list_transform(range(1, length(d) + 1),
 @query("luhn", _LUHN_SQL)
 def luhn(t):
     return t.orders.select("o_orderkey", F.expr("luhn_check(cast(4000000000000 + o_orderkey * 7919 as string))").alias("ok"))
+
+
+_PLAN_VOCABULARY = N.Vocabulary(("faq", "handbook", "policy"), ("blob", "web"))
+_PLAN_SQL = """WITH j AS (SELECT doc_id, 'Question ' || doc_id AS message, substr(text, 1, 30) AS head, CASE WHEN doc_id % 7 = 0 THEN '{"rewritten": ' || doc_id ELSE json_object('rewritten', CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE ' ' || substr(text, 1, 30) END, 'sub_questions', json_array('Ask ' || lang, 'ask ' || upper(lang), NULL, doc_id, json_array(1), 'last', 'over'),
+  'filter_doc_types', json_array('FAQ', source, ' policy '), 'filter_date_from', CASE doc_id % 4 WHEN 0 THEN '2024' WHEN 1 THEN '2024-05' WHEN 2 THEN '2024-05-06' ELSE 'soon' END, 'filter_date_to', CASE WHEN doc_id % 3 = 0 THEN '2023' ELSE '2024-12' END, 'confidence', doc_id % 40 / 10.0 - 1, 'needs_tools', doc_id % 2 = 0) END AS payload FROM documents),
+f AS (SELECT *, doc_id % 7 = 0 AS degraded, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 OR regexp_full_match(head, '[ \\t\\n\\x0B\\f\\r]*') THEN message ELSE regexp_replace(head, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') END AS rewritten FROM j)
+SELECT doc_id, degraded, md5(rewritten) AS rewritten, CASE WHEN degraded THEN '' ELSE array_to_string([x for x in ['Ask ' || lang, doc_id::VARCHAR, 'last', 'over'] if lower(x) <> lower(rewritten)][1:3], '|') END AS questions, CASE WHEN degraded THEN '' ELSE 'faq,policy' END AS doc_types,
+  CASE WHEN NOT degraded AND (doc_id % 3 <> 0 OR doc_id % 4 = 3) THEN CASE doc_id % 4 WHEN 0 THEN 1704067200 WHEN 1 THEN 1714521600 WHEN 2 THEN 1714953600 END END::BIGINT AS date_from, CASE WHEN NOT degraded THEN CASE WHEN doc_id % 3 <> 0 THEN 1735689600 WHEN doc_id % 4 = 3 THEN 1704067199 END END::BIGINT AS date_to,
+  round(CASE WHEN degraded THEN 0.0 ELSE least(1.0, greatest(0.0, (doc_id % 40)::DOUBLE / 10.0 - 1)) END, 6)::DOUBLE AS confidence, NOT degraded AND doc_id % 2 = 0 AS needs_tools FROM f JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)"""
+
+
+@query("qt_plan", _PLAN_SQL)
+def qt_plan(t):
+    """Answers as a model may give them, some cut short, some with fields of the wrong type, read as plans."""
+    i, words = F.col("doc_id"), F.substring("text", 1, 30)
+    asked = F.concat(F.lit('["Ask '), "lang", F.lit('", "ask '), F.upper("lang"), F.lit('", null, '), i.cast("string"), F.lit(', [1], "last", "over"]'))
+    day = F.when(i % 4 == 0, "2024").when(i % 4 == 1, "2024-05").when(i % 4 == 2, "2024-05-06").otherwise("soon")
+    said = F.to_json(F.struct(F.when(i % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), words)).alias("rewritten")))
+    whole = F.concat(F.rtrim(said, F.lit("}")), F.lit(', "sub_questions": '), asked, F.lit(', "filter_doc_types": ["FAQ", "'), "source", F.lit('", " policy "], "filter_date_from": "'), day, F.lit('", "filter_date_to": "'), F.when(i % 3 == 0, "2023").otherwise("2024-12"), F.lit('", "confidence": '), (i % 40 / 10.0 - 1).cast("string"), F.lit(', "needs_tools": '), (i % 2 == 0).cast("string"), F.lit("}"))
+    answers = t.documents.select(i, F.concat(F.lit("Question "), i.cast("string")).alias("message"), F.when(i % 7 == 0, F.concat(F.lit('{"rewritten": '), i.cast("string"))).otherwise(whole).alias("payload"))
+    p = N.plan(answers, vocabulary=_PLAN_VOCABULARY, keep=("doc_id",))
+    return p.select("doc_id", "degraded", F.md5("rewritten").alias("rewritten"), F.array_join("sub_questions", "|").alias("questions"), F.array_join("doc_types", ",").alias("doc_types"), F.unix_timestamp("date_from").alias("date_from"), F.unix_timestamp("date_to").alias("date_to"), F.round("confidence", 6).alias("confidence"), "needs_tools")
