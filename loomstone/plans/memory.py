@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
+from ..operators import consolidate as C
 from ..operators import memory as M
 from .base import NOW, query
 
@@ -226,3 +227,35 @@ def cache_meta(t):
 def cache_ids(t):
     plan = t.values([(list(range(20, 140, 3)),)], "ids array<long>").select(F.posexplode("ids").alias("rank", "id"))
     return cache(t).join(F.broadcast(plan), "id").select("id", F.round((40 - F.col("rank")) / 40, 6).alias("fusion_score"))
+
+
+def stored(t):
+    """``memories`` with texts and the columns of the whole table."""
+    m = memories(t)
+    return m.select("user", "id", "kind", F.concat(F.lit("memory "), F.col("id").cast("string")).alias("text"), "vector", "salience", "hits", F.lit(NOW - 90 * 86_400).cast("long").alias("created"), "last_used", "expires", F.lit(None).cast("long").alias("supersedes"))
+
+
+def profiles(t):
+    """Every user but each eleventh has a profile, every seventh of them without consent."""
+    return t.embeddings.select((F.col("vec_id") % 40).alias("user")).distinct().where("user % 11 <> 10").select("user", (F.col("user") % 7 != 3).alias("memory_consent"))
+
+
+@query("mem_consolidate")
+def mem_consolidate(t):
+    """What a pass over all users does: a row for each, with digests of what it leaves."""
+    out = C.consolidate(stored(t), profiles(t), NOW, 0.3, 8)
+    after = out["memories"].groupBy("user").agg(F.count(F.lit(1)).alias("left"), F.sum("hits").alias("hits"), F.round(F.sum("salience"), 6).alias("salience"))
+    return out["report"].join(after, "user", "left")
+
+
+@query("mem_profile")
+def mem_profile(t):
+    return C.consolidate(stored(t), profiles(t), NOW, 0.3, 8)["profiles"].select("user", F.md5("summary").alias("digest"))
+
+
+@query("mem_write")
+def mem_write(t):
+    """Every tenth vector said again by the user before: stored, in the place of what is like it, or dropped."""
+    i = F.col("vec_id")
+    c = t.embeddings.where("vec_id % 10 = 0").select(((i + 39) % 40).alias("user"), (1_000_000 + i).alias("id"), F.lit("fact").alias("kind"), F.concat(F.lit("New fact of mail"), i.cast("string"), F.lit("@example.org")).alias("text"), F.col("embedding").alias("vector"), F.lit(1.5).alias("salience"))
+    return C.write_back(c, stored(t), profiles(t), NOW, 0.4, 60)["stored"]
