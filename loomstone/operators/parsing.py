@@ -105,14 +105,10 @@ def parse_markdown(text: str) -> list[dict]:
     return b.out
 
 
-def parse_csv(text: str, most: int = MOST, delimiter: str = ",") -> list[dict]:
+def add_tables(b: Blocks, head: list[str], rows: list[list[str]], most: int = MOST) -> None:
     """Tables of as many rows as fit under ``most`` tokens with the header."""
-    rows = list(csv.reader(io.StringIO(text), delimiter=delimiter))
-    b = Blocks()
-    if not rows:
-        return []
-    head, held, room = rows[0], [], most - tokens(table(rows[:1]))
-    for r in rows[1:]:
+    held, room = [], most - tokens(table([head]))
+    for r in rows:
         cost = tokens(" | ".join(r))
         if held and cost > room:
             b.add("table", table([head, *held]))
@@ -120,6 +116,14 @@ def parse_csv(text: str, most: int = MOST, delimiter: str = ",") -> list[dict]:
         held.append(r)
         room -= cost
     b.add("table", table([head, *held]))
+
+
+def parse_csv(text: str, most: int = MOST, delimiter: str = ",") -> list[dict]:
+    """The rows of a file in tables, each with the header."""
+    rows = list(csv.reader(io.StringIO(text), delimiter=delimiter))
+    b = Blocks()
+    if rows:
+        add_tables(b, rows[0], rows[1:], most)
     return b.out
 
 

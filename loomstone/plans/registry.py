@@ -6,7 +6,7 @@ import importlib
 
 from .base import QUERIES
 
-FAMILIES = ("access", "text", "delta", "search", "guard", "memory", "evaluation", "store", "folds", "more", "composite", "citing", "ingesting")
+FAMILIES = ("access", "text", "delta", "search", "guard", "memory", "evaluation", "store", "folds", "more", "composite", "citing", "ingesting", "office")
 for _name in FAMILIES:
     importlib.import_module(f"{__package__}.{_name}")
 
