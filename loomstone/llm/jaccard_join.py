@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets_for, chunks, documents, grams, lasting, mixed, rows, sieve, sieved, staged, temporary, text_bytes
+from .common import WordHashes, buckets_for, chunks, documents, grams, lasting, mixed, rows, sieve, sieved, staged, sweep, temporary, text_bytes
 from .components import components
 from .families import linked_families
 
@@ -338,10 +338,14 @@ def _links(spark, d: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
     left = classes.join(count, "s1").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
     key = F.xxhash64("doc_id", "th").alias("h")
     left = staged(left.select("s1", "s2", "n", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth")), "left")
+    del parts, count
+    sweep(spark)  # the prefixes of all documents are not needed any more
     # Only texts that may be wanted are dealt out.
     some = sieved(d.select(key, "doc_id", "th", "text"), sieve(left.select(F.xxhash64("rid", "rth").alias("h"))))
     found = some.join(left, some.doc_id.eqNullSafe(F.col("rid")) & (some.th == F.col("rth"))).select("s1", "s2", "n", "text")
     whole = staged(found.mapInArrow(_whole_sets, "s1 long, s2 long, n long, tokens binary"), "whole")
+    del some, found
+    sweep(spark)  # nor the texts that were dealt out
     # Second order, rare tokens first: families.
     orders = _orders(whole)
     n_buckets = buckets_for(spark, (whole.agg(F.sum("n")).first()[0] or 0) / 5, TOKENS_A_BUCKET)
