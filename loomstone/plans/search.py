@@ -22,7 +22,7 @@ def asked(t, *columns):
 _KNN = "SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id"
 
 
-def nearest(t, k=None, floor=None):
+def nearest(t, k=S.PREFETCH, floor=None):
     """Every hundredth vector against all others."""
     return S.knn(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0, k, floor)
 
@@ -63,17 +63,27 @@ def embed_tfidf(t):
     return v.select("id", "bucket", F.round("w", 6).alias("w"))
 
 
-_RANKED_SQL = f"""{VISIBLE_SQL}, {TERMS_SQL}, docs AS (SELECT DISTINCT doc_id, text FROM visible WHERE persona = 'engineer'), {_BM_SQL}, {_VEC_SQL},
+_OWN_SQL = r"""docs AS (SELECT DISTINCT persona, doc_id, text FROM visible),
+own AS (SELECT persona, doc_id AS id, unnest(w) AS term, len(w) AS dl FROM (SELECT persona, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM docs)),
+shape AS (SELECT persona, count(*) AS n, avg(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS avgdl FROM docs GROUP BY persona),
+tf AS (SELECT persona, id, term, count(*) AS tf, max(dl) AS dl FROM own GROUP BY ALL), dfs AS (SELECT persona, term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT query, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN dfs USING (persona, term) JOIN terms USING (persona, term) JOIN shape USING (persona) GROUP BY query, id),
+idf AS (SELECT persona, term, ln((n + 1.0) / (df + 1)) + 1 AS idf FROM dfs JOIN shape USING (persona)),
+v0 AS (SELECT persona, id, ('0x' || substr(md5(term), 1, 6))::BIGINT % 512 AS bucket, sum(tf * idf) AS w FROM tf JOIN idf USING (persona, term) GROUP BY ALL), v AS (SELECT persona, id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY persona, id)) AS w FROM v0),
+q0 AS (SELECT query, persona, ('0x' || substr(md5(term), 1, 6))::BIGINT % 512 AS bucket, sum(coalesce(idf, ln(n + 1.0) + 1)) AS w FROM terms LEFT JOIN idf USING (persona, term) JOIN shape USING (persona) GROUP BY ALL), qv AS (SELECT query, persona, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY query)) AS w FROM q0),
+dense AS (SELECT query, id, sum(v.w * qv.w) AS score FROM v JOIN qv USING (persona, bucket) GROUP BY ALL)"""
+_RANKED_SQL = f"""{VISIBLE_SQL}, {TERMS_SQL}, {_OWN_SQL},
 b1 AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 60),
 b2 AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM dense) WHERE rank <= 60)"""
 _FUSED_SQL = f"{_RANKED_SQL}, f AS (SELECT query, id, sum(1 / (60.0 + rank)) AS score FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2) GROUP BY query, id), fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 30)"
 
 
 def branches(t):
-    docs = A.visible(t.corpus, t.principals.where("persona = 'engineer'")).select("doc_id", "text")
-    q = asked(t, "query", "term")
+    """Both branches of every query, over what its own persona may read."""
+    rights = A.visible(t.corpus.drop("text"), t.principals).select("persona", F.col("doc_id").alias("id")).distinct()
     nine = lambda d: d.withColumn("score", F.round("score", 9))  # noqa: E731  so that engines order alike
-    return S.top(nine(S.bm25(q, docs)), "query", "score", S.PREFETCH, "id"), S.top(nine(S.tfidf_search(q, docs)), "query", "score", S.PREFETCH, "id")
+    found = S.search_as(asked(t, "query", "persona", "term"), S.term_counts(t.documents), rights)
+    return tuple(S.top(nine(d), "query", "score", S.PREFETCH, "id") for d in found)
 
 
 def fused(t):
@@ -98,7 +108,8 @@ def doc_cap(t):
     return S.capped(r, "query", "document", "rank", 3, 1).select("query", "rank", "dropped_reason")
 
 
-_FUSION_SQL = f"WITH k AS ({_KNN}), b AS (SELECT query, id, round(score, 9) AS score FROM k), z AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM b WINDOW w AS (PARTITION BY query)) SELECT query, id, round(least(1, greatest(0, (score - (m - 3 * s)) / (6 * s))), 6) AS score FROM z"
+_TOP_SQL = f"SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM ({_KNN})) WHERE rn <= 60"
+_FUSION_SQL = f"WITH k AS ({_TOP_SQL}), b AS (SELECT query, id, round(score, 9) AS score FROM k), z AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM b WINDOW w AS (PARTITION BY query)) SELECT query, id, round(least(1, greatest(0, (score - (m - 3 * s)) / (6 * s))), 6) AS score FROM z"
 
 
 @query("fusion_kind", _FUSION_SQL)
@@ -107,7 +118,7 @@ def fusion_kind(t):
     return S.dbsf(b).select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query("rrf_offline", f"WITH k AS ({_KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k WHERE score > 0) SELECT query, id, round(0.05 * score, 6) AS score, round(1 / (60.0 + rank), 9) AS fused FROM r")
+@query("rrf_offline", f"WITH k AS ({_TOP_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k WHERE score > 0) SELECT query, id, round(0.05 * score, 6) AS score, round(1 / (60.0 + rank), 9) AS fused FROM r")
 def rrf_offline(t):
     r = nearest(t).where("score > 0")
     return r.select("query", "id", F.round(0.05 * F.col("score"), 6).alias("score"), F.round(1 / (60.0 + F.col("rank")), 9).alias("fused"))
@@ -146,7 +157,7 @@ def rerank_noop(t):
     return _ranked(t).select("query", "id", F.round((F.col("n") - F.col("rank") + 1) / F.col("n"), 6).alias("score"))
 
 
-@query("rerank_fixture", f"SELECT query, id, round(1 / (1 + exp(-12 * (score - 0.30))), 6) AS score FROM ({_KNN})")
+@query("rerank_fixture", f"SELECT query, id, round(1 / (1 + exp(-12 * (score - 0.30))), 6) AS score FROM ({_TOP_SQL})")
 def rerank_fixture(t):
     return nearest(t).select("query", "id", F.round(1 / (1 + F.exp(-12 * (F.col("score") - 0.30))), 6).alias("score"))
 
