@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NOTHING = "No chunks in the indexed corpus matched that query for this user. Do not invent an answer; say what is and is not covered."
@@ -70,3 +70,24 @@ def render_sources(queries: DataFrame, hits: DataFrame, chars: int = 300) -> Dat
     lines = F.concat_ws("\n", head, F.concat(F.lit("    source: "), "uri"), F.concat(F.lit("    chunk_id: "), "chunk_id"), F.concat(F.lit("    "), snippet))
     g = hits.select("query", F.struct("rank", lines.alias("line")).alias("x")).groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
     return queries.select("query").distinct().join(g, "query", "left").select("query", F.coalesce("text", F.lit(NOTHING)).alias("text"))
+
+
+def route(tools: Column, enough: Column) -> Column:
+    """Where a question goes: one for tools to them, and to retrieval as well if it also asks for text; else to retrieval or nowhere."""
+    return F.when(tools & enough, "both").when(tools, "tools").when(enough, "retrieval").otherwise("neither")
+
+
+def loops(calls: DataFrame, same: Sequence[str], order: str, most: int) -> DataFrame:
+    """Calls with ``looped``: whether a call has been made ``most`` times before with the same arguments."""
+    return calls.withColumn("looped", F.row_number().over(Window.partitionBy(*same).orderBy(order)) > most)
+
+
+def projected(result: str, path: str) -> Column:
+    """What a tool's JSON result has at a path."""
+    return F.get_json_object(result, f"$.{path}")
+
+
+def visible(principals: DataFrame, tools: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(principal, tool) of the tools that each may use: those that ask for no role, or for one that it has."""
+    rows = principals.sparkSession.createDataFrame([(k, list(v)) for k, v in tools.items()], "tool string, need array<string>")
+    return principals.join(F.broadcast(rows), (F.size("need") == 0) | F.arrays_overlap("need", "roles"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as V
 from ..operators import lineage as L
+from ..operators import tools
 from .base import CORPUS_SQL, PRINCIPALS_SQL, query
 
 ITEMS_SQL = "items AS (SELECT l.doc_id AS item_id, d.source AS category, CASE WHEN l.doc_id % 9 = 0 THEN NULL ELSE l.quality::DOUBLE END AS faithfulness, CASE WHEN l.doc_id % 7 = 0 THEN NULL ELSE (l.doc_id % 100) / 100.0::DOUBLE END AS recall, 1.0::DOUBLE - l.toxic AS acl_leak, (l.doc_id % 1000) * 30.0::DOUBLE AS latency, (l.doc_id % 50) / 1000.0::DOUBLE AS cost, l.doc_id % 6 <> 0 AS passed FROM labels l JOIN documents d USING (doc_id))"
@@ -27,52 +29,44 @@ def items(t):
 
 
 METRICS = [m for m, *_ in FLOORS]
+RULES = [V.Limit(*x) for x in FLOORS]
 _MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS) + ", round(avg(CASE WHEN passed THEN 1.0 ELSE 0 END), 6) AS pass_rate, count(*) AS n, round(sum(cost), 6) AS cost"
 
 
-def means():
-    return [*(F.round(F.avg(m), 6).alias(m) for m in METRICS), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 6).alias("cost")]
-
-
 @query("ev_aggregate", f"WITH {ITEMS_SQL} SELECT {_MEANS} FROM items")
 def ev_aggregate(t):
-    return items(t).agg(*means())
+    return V.aggregate(items(t), METRICS)
 
 
 @query("ev_category", f"WITH {ITEMS_SQL} SELECT category, {_MEANS} FROM items GROUP BY category")
 def ev_category(t):
-    return items(t).groupBy("category").agg(*means())
+    return V.aggregate(items(t), METRICS, ("category",))
 
 
 @query("ev_rollup", f"WITH {ITEMS_SQL} SELECT category, passed, count(*) AS n FROM items GROUP BY ROLLUP (category, passed)")
 def ev_rollup(t):
-    return items(t).rollup("category", "passed").agg(F.count(F.lit(1)).alias("n"))
+    return V.rollup(items(t), "category", "passed")
 
 
 @query("ev_fail_cat", f"WITH {ITEMS_SQL} SELECT category, count(*) AS n FROM items WHERE NOT passed GROUP BY 1")
 def ev_fail_cat(t):
-    return items(t).where("not passed").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return V.failing(items(t), "category")
 
 
 @query("ev_worst", f"WITH {ITEMS_SQL} SELECT item_id FROM items ORDER BY passed, (coalesce(faithfulness, 0) + coalesce(recall, 0)), item_id LIMIT 10")
 def ev_worst(t):
     """A top-k report: failing first, then the lowest scores."""
-    return items(t).orderBy("passed", F.coalesce("faithfulness", F.lit(0.0)) + F.coalesce("recall", F.lit(0.0)), "item_id").limit(10).select("item_id")
+    return V.worst(items(t), ("faithfulness", "recall"), 10).select("item_id")
 
 
 @query("ev_select", f"WITH {ITEMS_SQL} SELECT item_id FROM items WHERE category IN ('src0', 'src3') ORDER BY item_id LIMIT 15")
 def ev_select(t):
-    return items(t).where(F.col("category").isin("src0", "src3")).orderBy("item_id").limit(15).select("item_id")
+    return V.chosen(items(t), "category", ("src0", "src3"), 15).select("item_id")
 
 
 @query("ev_thresholds", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {max(f, 1.0) if h else f}::DOUBLE, {str(h).lower()})" for m, f, h, _ in FLOORS) + ") AS v(metric, floor, hard)")
 def ev_thresholds(t):
-    return thresholds(t).select("metric", "floor", "hard")
-
-
-def thresholds(t):
-    rows = t.values([list(x) for x in FLOORS], "metric string, floor double, hard boolean, upper boolean")
-    return rows.withColumn("floor", F.when(F.col("hard"), F.greatest("floor", F.lit(1.0))).otherwise(F.col("floor")))
+    return V.limits(t.spark, RULES).select("metric", "floor", "hard")
 
 
 _LIMITS = "limits(metric, lim, hard, upper) AS (VALUES " + ", ".join(f"('{m}', {f}::DOUBLE, {str(h).lower()}, {str(u).lower()})" for m, f, h, u in FLOORS) + ")"
@@ -80,34 +74,25 @@ _LIMITS = "limits(metric, lim, hard, upper) AS (VALUES " + ", ".join(f"('{m}', {
 
 @query("ev_gate", f"WITH {ITEMS_SQL}, {_LIMITS}, a AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM items), u AS (UNPIVOT a ON {', '.join(METRICS)} INTO NAME metric VALUE v) SELECT metric, round(v, 6) AS value, v IS NULL OR CASE WHEN upper THEN v <= lim ELSE v >= lim END AS passed FROM limits LEFT JOIN u USING (metric)")
 def ev_gate(t):
-    a = items(t).agg(*(F.avg(m).alias(m) for m in METRICS))
-    u = a.unpivot([], METRICS, "metric", "v")
-    ok = F.col("v").isNull() | F.when(F.col("upper"), F.col("v") <= F.col("floor")).otherwise(F.col("v") >= F.col("floor"))
-    return thresholds(t).join(u, "metric", "left").select("metric", F.round("v", 6).alias("value"), ok.alias("passed"))
+    return V.gate(items(t), RULES)
 
 
 @query("ev_item_fail", f"WITH {ITEMS_SQL}, {_LIMITS}, u AS (SELECT * FROM (SELECT item_id, {', '.join(METRICS)} FROM items) UNPIVOT (v FOR metric IN ({', '.join(METRICS)}))) SELECT item_id, metric FROM u JOIN limits USING (metric) WHERE CASE WHEN upper THEN v > lim ELSE v < lim END")
 def ev_item_fail(t):
-    u = items(t).select("item_id", *METRICS).unpivot(["item_id"], METRICS, "metric", "v").where("v is not null")
-    bad = F.when(F.col("upper"), F.col("v") > F.col("floor")).otherwise(F.col("v") < F.col("floor"))
-    return u.join(F.broadcast(thresholds(t)), "metric").where(bad).select("item_id", "metric")
+    return V.item_failures(items(t), RULES)
 
 
 @query("ev_compare", f"WITH {ITEMS_SQL}, cur AS (SELECT item_id, passed FROM items WHERE item_id % 8 <> 0), base AS (SELECT item_id, item_id % 5 <> 0 AS was FROM items WHERE item_id % 10 <> 1) SELECT item_id, CASE WHEN was IS NULL THEN 'new' WHEN passed IS NULL THEN 'missing' WHEN was AND NOT passed THEN 'regression' WHEN NOT was AND passed THEN 'fixed' ELSE 'same' END AS change FROM cur FULL JOIN base USING (item_id)")
 def ev_compare(t):
     i = items(t)
-    cur = i.where("item_id % 8 <> 0").select("item_id", "passed")
-    base = i.where("item_id % 10 <> 1").select("item_id", (F.col("item_id") % 5 != 0).alias("was"))
-    change = F.when(F.col("was").isNull(), "new").when(F.col("passed").isNull(), "missing").when(F.col("was") & ~F.col("passed"), "regression").when(~F.col("was") & F.col("passed"), "fixed").otherwise("same")
-    return cur.join(base, "item_id", "full").select("item_id", change.alias("change"))
+    return V.compare(i.where("item_id % 8 <> 0"), i.where("item_id % 10 <> 1").withColumn("passed", F.col("item_id") % 5 != 0))
 
 
 _LEAK_SQL = f"WITH {CORPUS_SQL}, {PRINCIPALS_SQL} SELECT persona, doc_id, CASE WHEN tenant_id <> tenant THEN 'tenant' WHEN classification_rank > clearance THEN 'clearance' WHEN list_contains(denied_users, usr) THEN 'denied' END AS leak FROM corpus JOIN principals ON doc_id % 4 = clearance"
 
 
 def _leaks(t):
-    kind = F.when(F.col("tenant_id") != F.col("tenant"), "tenant").when(F.col("classification_rank") > F.col("clearance"), "clearance").when(F.array_contains("denied_users", F.col("user")), "denied")
-    return t.corpus.join(F.broadcast(t.principals), F.col("doc_id") % 4 == F.col("clearance")).select("persona", "doc_id", kind.alias("leak"))
+    return t.corpus.join(F.broadcast(t.principals), F.col("doc_id") % 4 == F.col("clearance")).select("persona", "doc_id", V.leak_kind().alias("leak"))
 
 
 @query("ev_leak_chunk", _LEAK_SQL)
@@ -117,47 +102,42 @@ def ev_leak_chunk(t):
 
 @query("ev_leak", f"SELECT persona, CASE WHEN count(leak) = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM ({_LEAK_SQL}) GROUP BY persona")
 def ev_leak(t):
-    return _leaks(t).groupBy("persona").agg(F.when(F.count("leak") == 0, 1.0).otherwise(0.0).alias("score"))
+    return V.leak_score(_leaks(t), "persona")
 
 
 @query("ev_refusal", "SELECT event_id, (event_type = 'click') = (event_id % 2 = 0) AS correct FROM events")
 def ev_refusal(t):
-    return t.events.select("event_id", ((F.col("event_type") == "click") == (F.col("event_id") % 2 == 0)).alias("correct"))
+    return t.events.select("event_id", V.refusal_correct(F.col("event_type") == "click", F.col("event_id") % 2 == 0).alias("correct"))
 
 
 @query("ev_tool", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_type IN ('click', 'view') THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM events")
 def ev_tool(t):
     """Right if the expected tool is among those called, by name or by a dotted part of it."""
     calls = F.array(F.concat(F.lit("ui."), "event_type"), F.col("event_type"))
-    hit = F.exists(calls, lambda x: (x == "click") | x.endswith(".click")) | F.exists(calls, lambda x: x == "view")
-    return t.events.select("event_id", F.when(F.col("event_id") % 3 != 0, F.when(hit, 1.0).otherwise(0.0)).alias("score"))
+    return t.events.select("event_id", V.tool_score(calls, ("click", "view"), F.col("event_id") % 3 != 0).alias("score"))
 
 
 @query("ev_substring", "SELECT doc_id, array_to_string(list_filter(['the', 'und', 'zzz'], lambda x: NOT contains(lower(text), x)), ',') AS missing, array_to_string(list_filter(['stupid', 'secret'], lambda x: contains(lower(text), x)), ',') AS forbidden FROM documents")
 def ev_substring(t):
-    low = F.lower("text")
-    out = lambda words, found: F.array_join(F.filter(F.array(*map(F.lit, words)), lambda x: F.contains(low, x) == found), ",")
-    return t.documents.select("doc_id", out(("the", "und", "zzz"), False).alias("missing"), out(("stupid", "secret"), True).alias("forbidden"))
+    return t.documents.select("doc_id", V.words_found("text", ("the", "und", "zzz"), False).alias("missing"), V.words_found("text", ("stupid", "secret")).alias("forbidden"))
 
 
 @query("ev_recall", "WITH g AS (SELECT l_orderkey, list_distinct(list(l_partkey % 10)) AS want, list_distinct(list(l_suppkey % 10)) AS got FROM lineitem GROUP BY 1) SELECT l_orderkey, round(len(list_intersect(want, got)) / len(want)::DOUBLE, 6) AS recall FROM g")
 def ev_recall(t):
     g = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 10).alias("want"), F.collect_set(F.col("l_suppkey") % 10).alias("got"))
-    return g.select("l_orderkey", F.round(F.size(F.array_intersect("want", "got")) / F.size("want"), 6).alias("recall"))
+    return g.select("l_orderkey", V.set_recall("want", "got").alias("recall"))
 
 
 @query("ev_similarity", "SELECT a.vec_id AS id, CASE WHEN a.vec_id % 10 = 0 THEN NULL ELSE round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) END AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 2")
 def ev_similarity(t):
-    from ..operators.search import cosine
-
     b = t.embeddings.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("other"))
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine("embedding", "other")))
-    return t.embeddings.join(b, "vec_id").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 10 != 0, F.round(s, 6)).alias("similarity"))
+    s = F.round(V.similarity("embedding", "other"), 6)
+    return t.embeddings.join(b, "vec_id").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 10 != 0, s).alias("similarity"))
 
 
 @query("ev_ceiling", f"WITH {CORPUS_SQL} SELECT tenant_id, max(classification_rank) AS ceiling FROM corpus GROUP BY 1")
 def ev_ceiling(t):
-    return t.corpus.groupBy("tenant_id").agg(F.max("classification_rank").alias("ceiling"))
+    return V.highest(t.corpus, "tenant_id", "classification_rank", "ceiling")
 
 
 RATES = [("click", 5.0, 25.0), ("view", 3.0, 15.0), ("purchase", 1.0, 5.0)]
@@ -168,13 +148,12 @@ _RATE_SQL = "rates(event_type, i, o) AS (VALUES " + ", ".join(f"('{k}', {a}::DOU
 def ev_cost(t):
     """Tokens in and out, read from and written to the cache, at a rate table's prices a million."""
     e = F.col("event_id")
-    cost = (F.floor("value") * F.col("i") + (e % 100) * F.col("o") + (e % 7) * F.col("i") * 0.1 + (e % 5) * F.col("i") * 1.25) / 1e6
-    return t.events.join(F.broadcast(t.values([list(r) for r in RATES], "event_type string, i double, o double")), "event_type").groupBy("user_id").agg(F.round(F.sum(cost), 9).alias("cost"))
+    return V.cost(t.events, {k: (i, o) for k, i, o in RATES}, "user_id", "event_type", F.floor("value"), e % 100, e % 7, e % 5)
 
 
 @query("ev_usage", "SELECT event_type, count(*) AS calls, sum(floor(value))::BIGINT AS tokens FROM events GROUP BY 1")
 def ev_usage(t):
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.floor("value")).cast("long").alias("tokens"))
+    return V.usage(t.events, "event_type", F.floor("value"))
 
 
 _AP = "SELECT user_id, event_id % 3 = 0 AS useful, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events"
@@ -183,39 +162,34 @@ _AP = "SELECT user_id, event_id % 3 = 0 AS useful, row_number() OVER (PARTITION
 @query("ev_ctx_precision", f"SELECT user_id, round(coalesce(avg(hits / rank) FILTER (WHERE useful), 0), 6) AS score FROM (SELECT *, sum(CASE WHEN useful THEN 1.0 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY rank) AS hits FROM ({_AP})) GROUP BY user_id")
 def ev_ctx_precision(t):
     """Average precision over the ranks of useful rows."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    r = t.events.withColumn("useful", F.col("event_id") % 3 == 0).withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum(F.when(F.col("useful"), 1.0).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("useful"), F.col("hits") / F.col("rank"))), F.lit(0.0)), 6).alias("score"))
+    return V.average_precision(t.events, "user_id", "event_id", F.col("event_id") % 3 == 0)
 
 
 @query("ev_ctx_recall", "SELECT user_id, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 6) AS score FROM events GROUP BY 1")
 def ev_ctx_recall(t):
-    return t.events.groupBy("user_id").agg(F.round(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)), 6).alias("score"))
+    return V.share(t.events, "user_id", F.col("value") > 50)
 
 
 @query("ev_faithful", "SELECT c_custkey, round(coalesce(avg(CASE WHEN o_totalprice > 100000 THEN 1.0 WHEN o_totalprice IS NULL THEN NULL ELSE 0 END), 1.0), 6) AS score FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def ev_faithful(t):
-    ok = F.when(F.col("o_totalprice") > 100000, 1.0).when(F.col("o_totalprice").isNotNull(), 0.0)
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.round(F.coalesce(F.avg(ok), F.lit(1.0)), 6).alias("score"))
+    return V.share(t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left"), "c_custkey", F.col("o_totalprice") > 100000, 1.0)
 
 
 @query("ev_relevancy", "SELECT a.label, round(avg(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 3 GROUP BY 1")
 def ev_relevancy(t):
-    from ..operators.search import cosine
-
     b = t.embeddings.select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("other"))
-    return t.embeddings.join(b, "vec_id").groupBy("label").agg(F.round(F.avg(F.greatest(F.lit(0.0), cosine("embedding", "other"))), 6).alias("score"))
+    return t.embeddings.join(b, "vec_id").groupBy("label").agg(F.round(F.avg(V.similarity("embedding", "other")), 6).alias("score"))
 
 
 @query("ev_correct", "SELECT event_id, round(0.75 * CASE WHEN event_id % 10 + event_id % 4 + event_id % 3 = 0 THEN 0 ELSE 2.0 * (event_id % 10) / (2 * (event_id % 10) + event_id % 4 + event_id % 3) END + 0.25 * least(1, value / 100), 6) AS score FROM events WHERE event_id % 10 + event_id % 4 + event_id % 3 > 0")
 def ev_correct(t):
     tp, fp, fn = (F.col("event_id") % k for k in (10, 4, 3))
-    return t.events.where(tp + fp + fn > 0).select("event_id", F.round(0.75 * (2.0 * tp / (2 * tp + fp + fn)) + 0.25 * F.least(F.lit(1.0), F.col("value") / 100), 6).alias("score"))
+    return t.events.where(tp + fp + fn > 0).select("event_id", F.round(V.correctness(tp, fp, fn, F.col("value") / 100), 6).alias("score"))
 
 
 @query("ops_metrics", "SELECT event_type, least(9, floor(value / 25))::BIGINT AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def ops_metrics(t):
-    return t.events.groupBy("event_type", F.least(F.lit(9), F.floor(F.col("value") / 25)).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return V.histogram(t.events, "event_type", F.col("value"), 25, 9)
 
 
 LINEAGE_SQL = """edges AS (SELECT 'o' || o_orderkey AS child, 'c' || o_custkey AS parent FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r0', 'r1' UNION ALL SELECT 'r1', 'r0')"""
@@ -241,22 +215,25 @@ def lin_doc(t):
 
 @query("tool_route", "SELECT event_id, CASE WHEN event_type = 'click' AND value > 50 THEN 'both' WHEN event_type = 'click' THEN 'tools' WHEN value > 10 THEN 'retrieval' ELSE 'neither' END AS route FROM events")
 def tool_route(t):
-    tool = F.col("event_type") == "click"
-    return t.events.select("event_id", F.when(tool & (F.col("value") > 50), "both").when(tool, "tools").when(F.col("value") > 10, "retrieval").otherwise("neither").alias("route"))
+    return t.events.select("event_id", tools.route(F.col("event_type") == "click", F.col("value") > F.when(F.col("event_type") == "click", 50).otherwise(10)).alias("route"))
 
 
 @query("tool_loop", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, floor(value / 10) ORDER BY event_id) > 2 AS looped FROM events")
 def tool_loop(t):
-    w = Window.partitionBy("user_id", "event_type", F.floor(F.col("value") / 10)).orderBy("event_id")
-    return t.events.select("event_id", (F.row_number().over(w) > 2).alias("looped"))
+    return tools.loops(t.events.withColumn("argument", F.floor(F.col("value") / 10)), ("user_id", "event_type", "argument"), "event_id", 2).select("event_id", "looped")
 
 
 @query("tool_project", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def tool_project(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return t.events.select("event_id", tools.projected("props", "k").alias("k"))
 
 
 @query("tool_visible", f"WITH {PRINCIPALS_SQL}, tools(tool, need) AS (VALUES ('search', []::VARCHAR[]), ('sql', ['admin']), ('audit', ['auditor', 'admin'])) SELECT persona, tool FROM principals JOIN tools ON len(need) = 0 OR list_has_any(need, roles)")
 def tool_visible(t):
-    tools = t.values([("search", []), ("sql", ["admin"]), ("audit", ["auditor", "admin"])], "tool string, need array<string>")
-    return t.principals.join(F.broadcast(tools), (F.size("need") == 0) | F.arrays_overlap("need", "roles")).select("persona", "tool")
+    return tools.visible(t.principals, {"search": (), "sql": ("admin",), "audit": ("auditor", "admin")}).select("persona", "tool")
+
+@query("ev_report")
+def ev_report(t):
+    """The run's report against a run before, line by line."""
+    i = items(t)
+    return V.report(i, i.where("item_id % 10 <> 1").withColumn("passed", F.col("item_id") % 5 != 0), RULES)
