@@ -144,10 +144,17 @@ def pii_overlap(t):
     return every.join(kept, "kind", "left").select("kind", "found", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-@query("jwt_check")
+_JWT_SQL = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'eyJhbGciOiJIUzI1NiJ9' WHEN 1 THEN 'eyJ0eXAiOiJKV1QifQ' WHEN 2 THEN 'eyJhbGciOiJSUzI1NiIsImtpZCI6IjEifQ' WHEN 3 THEN 'eyJub3QganNvbg' ELSE 'eyJhbGciOiJIUzI1NiJ9' END || '.' || md5(text) || CASE WHEN doc_id % 5 = 4 THEN '' ELSE '.' || substr(md5(text), 1, 8) END AS word, doc_id % 5 IN (0, 2) AS ok FROM documents"""
+
+
+@query("jwt_check", _JWT_SQL)
 def jwt_check(t):
-    """Token-like words of documents and whether their head says how they are signed."""
-    w = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_.-]*"), F.lit(0))).alias("word"))
+    """Tokens put into the documents, found again, and whether their head says how they are signed; a word of two parts is none."""
+    heads = F.array(*map(F.lit, ("eyJhbGciOiJIUzI1NiJ9", "eyJ0eXAiOiJKV1QifQ", "eyJhbGciOiJSUzI1NiIsImtpZCI6IjEifQ", "eyJub3QganNvbg", "eyJhbGciOiJIUzI1NiJ9")))
+    i = F.col("doc_id")
+    token = F.concat(F.element_at(heads, (i % 5 + 1).cast("int")), F.lit("."), F.md5("text"), F.when(i % 5 == 4, "").otherwise(F.concat(F.lit("."), F.substring(F.md5("text"), 1, 8))))
+    text = F.concat("text", F.lit(" bearer "), token, F.lit(" ends"))
+    w = t.documents.select(i, F.explode(F.regexp_extract_all(text, F.lit(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_.-]*"), F.lit(0))).alias("word"))
 
     @F.pandas_udf("boolean")
     def ok(words: pd.Series) -> pd.Series:

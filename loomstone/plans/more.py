@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import access as A
 from ..operators import fingerprints as P
+from ..operators import embedding as M
 from ..operators import folds as D
 from ..operators import guardrails as G
 from ..operators import parsing as R
@@ -317,13 +318,5 @@ def input_guard(t):
 
 @query("embed_batch")
 def embed_batch(t):
-    """The seam of a model: batches of clipped texts to vectors; here hashed words."""
-    import zlib
-
-    def vector(i, x):
-        v = [0.0] * 16
-        for w in (x or "")[:2000].lower().split():
-            v[zlib.crc32(w.encode()) % 16] += 1.0
-        return i, v
-
-    return _python(t.documents, "doc_id text", "doc_id long, vector array<double>", vector)
+    """Whole texts through the seam of a model; here words hashed to places."""
+    return M.embed(t.documents).withColumnRenamed("id", "doc_id")
