@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import assemble as A
 from ..operators import citations as C
+from ..operators import output as O
 from ..operators.graph import spread
-from .base import query
+from .base import query, strings
+from .memory import turns
 
 
 def told(t):
@@ -61,3 +64,32 @@ def cite_windows(t):
     before = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source"))
     other = d.select("doc_id", claim.alias("claim")).join(before, "doc_id").select((2 * F.col("doc_id") + 1).alias("id"), "claim", "source")
     return C.best_windows(spread(own.union(other))).select("id", "n", F.round("share", 6).alias("share"), "start", "end", F.round("ratio", 6).alias("ratio"))
+
+
+def callers(t):
+    """Each answer with the one who asked: of the document's tenant and group, with a clearance that is too low for some."""
+    i = F.col("answer_id")
+    answers = told(t).withColumn("answer", F.when(i % 6 == 1, "Sorry, no.").when(i % 6 == 2, F.concat("answer", F.lit(" Write to jane.doe@example.com."))).otherwise(F.col("answer")))
+    who = t.documents.select(F.col("doc_id").alias("answer_id"), F.col("source").alias("tenant"), F.concat(F.lit("u"), (F.col("doc_id") % 3).cast("string")).alias("user"), strings("user", "auditor").alias("roles"), F.array(F.concat(F.lit("g"), (F.col("doc_id") % 5).cast("string"))).alias("groups"), (F.lit(3) - F.col("doc_id") % 5 % 4).cast("int").alias("clearance"))
+    grounded = C.report(C.read_answers(answers), C.checked(C.read_answers(answers), printed(t))).select("answer_id", "groundedness")
+    return answers.join(who, "answer_id").join(grounded, "answer_id")
+
+
+@query("output_guard")
+def output_guard(t):
+    """What becomes of each answer for the one who asked."""
+    access = t.corpus.select(F.col("doc_id").alias("source_id"), "tenant_id", "classification_rank", "allowed_groups", "allowed_roles", "allowed_users", "denied_users")
+    sources = printed(t).where("number = 1 OR answer_id % 7 = 0").join(access, "source_id").withColumn("cited", F.col("number") == 1)
+    g = O.output_guard(callers(t), sources)
+    return g.select("answer_id", "action", F.md5("text").alias("text"), F.md5("stored").alias("stored"), F.array_join("reasons", ",").alias("reasons"), "groundedness", F.col("lost_citations").cast("long").alias("lost_citations"))
+
+
+@query("ctx_assemble")
+def ctx_assemble(t):
+    """A prompt for each conversation: its turns, those of the next one as sources, and of the one after as memory lines."""
+    c = turns(t)
+    asked = c.groupBy(F.col("conv_id").alias("grp")).agg(F.lit(60).alias("fixed"), (F.max("turn") % 3 * 15).cast("long").alias("summary"))
+    own = c.select(F.col("conv_id").alias("grp"), F.col("turn").alias("id"), "tokens", "pinned")
+    sources = c.select((F.col("conv_id") - 1).alias("grp"), F.col("turn").alias("id"), "tokens", (F.col("turn") % 4 / 2).alias("value")).join(asked.select("grp"), "grp")
+    memories = c.select((F.col("conv_id") - 2).alias("grp"), F.col("turn").alias("id"), F.col("turn").alias("pos"), F.least("tokens", F.lit(12)).alias("tokens")).join(asked.select("grp"), "grp")
+    return A.assemble(asked, own, sources, memories, 700, 100)["stats"]
