@@ -197,6 +197,16 @@ def sieve(keys: DataFrame) -> np.ndarray | None:
     return None if n > MOST_SIEVED else out
 
 
+def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of a sieve."""
+    h = h.view(np.uint64)
+    block = (h >> np.uint64(57)).astype(np.int64)
+    keep = np.ones(len(h), dtype=bool)
+    for at in _sieve_bits(h):
+        keep &= (table[block, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return keep
+
+
 def sieved(df: DataFrame, bits: np.ndarray | None) -> DataFrame:
     """Rows of ``df`` whose hashed key ``h`` may be among the keys of the sieve; none that is gets lost."""
     if bits is None:
@@ -206,17 +216,50 @@ def sieved(df: DataFrame, bits: np.ndarray | None) -> DataFrame:
     def run(batches):
         table = shared.value
         for b in batches:
-            h = np.asarray(b.column("h"), dtype=np.int64).view(np.uint64)
-            block = (h >> np.uint64(57)).astype(np.int64)
-            keep = np.ones(len(h), dtype=bool)
-            for at in _sieve_bits(h):
-                keep &= (table[block, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            keep = _among(np.asarray(b.column("h"), dtype=np.int64), table)
             if keep.any():
                 yield b.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)
 
 
+def unsieved(df: DataFrame, bits: np.ndarray | None, then, schema: str) -> DataFrame:
+    """What ``then`` makes of the batches of the other rows, whose keys are certainly none of the sieve's; no rows where there is no sieve."""
+    if bits is None:
+        return df.sparkSession.createDataFrame([], schema)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        table = shared.value
+
+        def others():
+            for b in batches:
+                keep = ~_among(np.asarray(b.column("h"), dtype=np.int64), table)
+                if keep.any():
+                    yield b.filter(pa.array(keep))
+
+        yield from then(others())
+
+    return df.mapInArrow(run, schema)
+
+
+#: What an operator keeps in a worker between tasks.
+_HELD: dict = {}
+
+
+def held(key, make):
+    """``make()``, kept in the worker for the tasks that follow; a worker keeps one such table, of the operator that asked last."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drops what tasks of other operators have left in the worker."""
+    _HELD.clear()
+
+
 class WordHashes(dict):
     """64-bit hashes of words; keeps the words seen of late, at most ``most`` of them."""
 

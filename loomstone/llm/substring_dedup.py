@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets_for, chunks, documents, kept_schema, lasting, rows, sieve, sieved, staged, temporary, text_bytes, with_kept
+from .common import WordHashes, buckets_for, chunks, documents, kept_schema, lasting, rows, sieve, sieved, staged, temporary, text_bytes, unsieved, with_kept
 from .runs import covered, runs, spans
 
 WINDOW = 50
@@ -154,6 +154,11 @@ def _remove(batches):
         yield with_kept(b, [b.column("doc_id"), b.column("th"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], ["doc_id", "th", "n_words", "n_removed", "kept"])
 
 
+def _keep(batches):
+    """Texts that lose nothing."""
+    return _remove(b.append_column("gone", pa.nulls(b.num_rows, pa.list_(pa.null()))) for b in batches)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, th, n_words, n_removed, kept (the words left, joined by one space)."""
     spark = docs.sparkSession
@@ -180,8 +185,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = F.array(F.lit(0), F.col("n") + F.lit(WINDOW - 1))
         hits = found.join(verdict, ["key", "g"]).withColumn("spans", F.when(order > F.col("first"), whole).otherwise(F.col("spans"))).where("spans is not null")
         gone = lasting(hits.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("start", "spans")).alias("gone")), "gone")
-    out = d.join(gone, d.doc_id.eqNullSafe(F.col("d2")) & (d.th == F.col("th2")), "left").drop("d2", "th2")
-    return out.mapInArrow(_remove, "doc_id long, th long, n_words long, n_removed long, kept string" + kept_schema(d))
+    # Only texts that may lose something are dealt out to meet what they lose.
+    schema = "doc_id long, th long, n_words long, n_removed long, kept string" + kept_schema(d)
+    bits = sieve(gone.select(F.xxhash64("d2", "th2").alias("h")))
+    d = d.withColumn("h", F.xxhash64("doc_id", "th"))
+    whole = unsieved(d, bits, _keep, schema)
+    some = sieved(d, bits)
+    met = some.join(gone, some.doc_id.eqNullSafe(F.col("d2")) & (some.th == F.col("th2")), "left").drop("d2", "th2", "h")
+    return whole.union(met.mapInArrow(_remove, schema))
 
 
 def remove_reference_spans(docs: DataFrame, reference: list[str], width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
