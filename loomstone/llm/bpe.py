@@ -17,7 +17,6 @@ library; repeated rows are encoded alike.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -29,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import chunks, documents, rows
+from .common import chunks, documents, held, rows
 
 TOKENIZER = "word_bpe_49k.json"
 SHORT = 48
@@ -263,14 +262,13 @@ class Encoder(dict):
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(tokenizer: str) -> Encoder:
-    """The encoder of a vocabulary file, or of a public one by its name; a worker keeps it."""
+    """The encoder of a vocabulary file, or of a public one by its name; a worker keeps it while its tasks ask for it."""
     if "/" not in tokenizer:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(tokenizer)
-    return Encoder(tokenizer)
+    return held(("bpe", tokenizer), lambda: Encoder(tokenizer))
 
 
 def texts_of(column) -> list[str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets_for, chunks, documents, grams, lasting, mixed, rows, sieve, sieved, staged, sweep, temporary, text_bytes
+from .common import WordHashes, buckets_for, chunks, documents, grams, lasting, let_go, mixed, rows, sieve, sieved, staged, sweep, temporary, text_bytes
 from .components import components
 from .families import linked_families
 
@@ -76,6 +76,7 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 def _sets(batches):
     """Each document's number of shingles and signature."""
+    let_go()
     hashes = WordHashes()
     for b in chunks(batches):
         own = shingle_sets(text_bytes(b.column("text")), hashes)
@@ -84,6 +85,7 @@ def _sets(batches):
 
 
 def _whole_sets(batches):
+    let_go()
     hashes = WordHashes()
     for b in chunks(batches):
         own = shingle_sets(text_bytes(b.column("text")), hashes)
@@ -124,6 +126,7 @@ def _first_prefixes(n_buckets: int):
     """Long prefixes under the first order, from the texts; a set that the task has just seen is not sent again."""
 
     def run(batches):
+        let_go()
         hashes, seen = WordHashes(), set()
         for b in chunks(batches):
             sigs, own = [], []

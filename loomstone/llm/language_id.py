@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, kept_schema, rows, ship, with_kept
+from .common import chunks, documents, kept_schema, let_go, rows, ship, with_kept
 
 PER_LANG = 1000
 LONGEST = 20_000
@@ -196,6 +196,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
     def run(batches):
+        let_go()
         m = shared.value
         labeller = Labeller(m)
         for b in chunks(batches):

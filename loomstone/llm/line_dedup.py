@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, kept_schema, lasting, rows, staged, temporary, text_bytes, with_kept
+from .common import SPACES, chunks, kept_schema, lasting, let_go, rows, staged, temporary, text_bytes, with_kept
 
 MIN_DOCS = 10
 #: Frequent hashes of 16 bytes that are broadcast at most, and the parts of each beyond that.
@@ -30,6 +30,7 @@ def key_of(line: bytes) -> bytes:
 
 
 def _line_rows(batches):
+    let_go()
     for b in chunks(batches):
         ids, ths, ks = [], [], []
         for d, th, t in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), text_bytes(b.column("text")), strict=True):

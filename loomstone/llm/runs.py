@@ -11,22 +11,22 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mixed
+from .common import held, mixed
 
 _BASE = 0x5851F42D4C957F2D
 
 
 KEPT = 1 << 21
-_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the base and of its inverse, ``n`` of them at least; the longest so far up to ``KEPT`` stay."""
     if n > KEPT:
         return _new_powers(n)
-    if not _POWERS or len(_POWERS[0]) <= n:
-        _POWERS[:] = _new_powers(n)
-    return _POWERS[0], _POWERS[1]
+    kept = held("powers", list)
+    if not kept or len(kept[0]) <= n:
+        kept[:] = _new_powers(n)
+    return kept[0], kept[1]
 
 
 def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
