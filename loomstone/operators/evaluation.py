@@ -198,7 +198,7 @@ def report(items: DataFrame, before: DataFrame, rules: Sequence[Limit], category
     names = [r.metric for r in rules]
     g = gate(items, rules)
     mark = lambda c: F.when(c, "pass").otherwise("FAIL")
-    number = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("–"))
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c).cast("double"))).otherwise("–")
     row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     bounds = limits(items.sparkSession, rules)
     hard = g.join(F.broadcast(bounds), "metric")

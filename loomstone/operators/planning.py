@@ -9,8 +9,10 @@ cannot be parsed, or is no object, gives the plan of the bare message, marked
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +99,29 @@ def plan(answers: DataFrame, message: str = "message", payload: str = "payload",
     inverted = F.coalesce(F.col("date_from") > F.col("date_to"), F.lit(False))
     open_ = {x: F.when(~inverted, F.col(x)) for x in ("date_from", "date_to")}
     return d.withColumns(open_)
+
+
+def transform(messages: DataFrame, ask: Callable[[Sequence[str]], Sequence[str | None]] | None = None, message: str = "message", keep: tuple[str, ...] = (), batch: int = 32, **options) -> DataFrame:
+    """The plans of messages: a model's answers where there is one, read as ``plan`` does.
+
+    ``ask`` takes messages and gives an answer for each.  A call that fails, or gives
+    another number of answers, leaves its messages without one; nothing is raised, for
+    a plan of the bare message is better than no turn.
+    """
+
+    def answers(texts: list[str]) -> list[str | None]:
+        try:
+            found = list(ask(texts))
+        except Exception:  # noqa: BLE001  whatever a model's client raises
+            return [None] * len(texts)
+        return found if len(found) == len(texts) else [None] * len(texts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [x or "" for x in pdf[message]]
+            yield pdf.assign(payload=[a for at in range(0, len(texts), batch) for a in answers(texts[at : at + batch])])
+
+    m = messages.select(*keep, message)
+    schema = ", ".join(f"`{c}` {t}" for c, t in m.dtypes) + ", payload string"
+    asked = m.withColumn("payload", F.lit(None).cast("string")) if ask is None else m.mapInPandas(run, schema)
+    return plan(asked, message, "payload", keep=keep, **options)

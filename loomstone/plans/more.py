@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import access as A
 from ..operators import fingerprints as P
 from ..operators import embedding as M
+from ..operators import enrich as N
 from ..operators import folds as D
 from ..operators import guardrails as G
 from ..operators import parsing as R
@@ -42,10 +43,17 @@ def dates_effective(t):
     """The first dates after words of validity; an end that is not after its start is none."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     later = F.date_format(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")).otherwise(F.col("o_orderdate") + F.expr("interval 30 days")), "d MMMM yyyy")
-    text = F.concat(F.lit("This applies. Effective from: "), day, F.lit(" and valid until "), later, F.lit("."))
-    start = F.try_to_date(F.regexp_extract(text, r"(?i)(?:effective(?:\s+from)?|valid\s+from)\s*[:\-]?\s*(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-    end = F.try_to_date(F.regexp_extract(text, r"(?i)(?:valid\s+until|expires(?:\s+on)?|until)\s*[:\-]?\s*(\d{1,2}\s+\w+\s+\d{4})", 1), "d MMMM yyyy")
-    return t.orders.select("o_orderkey", F.date_format(start, "yyyy-MM-dd").alias("effective_from"), F.date_format(F.when(end > start, end), "yyyy-MM-dd").alias("effective_to"))
+    start, end = N.effective_dates(F.concat(F.lit("This applies. Effective from: "), day, F.lit(" and valid until "), later, F.lit(".")))
+    return t.orders.select("o_orderkey", F.date_format(start, "yyyy-MM-dd").alias("effective_from"), F.date_format(end, "yyyy-MM-dd").alias("effective_to"))
+
+
+@query("enrich_doc")
+def enrich_doc(t):
+    """Documents with dates put into some of them, enriched."""
+    i = F.col("doc_id")
+    text = F.concat(F.when(i % 4 == 0, F.lit("Effective from 2024-05-06, valid until 7 June 2025. ")).when(i % 4 == 1, F.lit("Valid from: 2024-05-06 until 1 May 2024. ")).otherwise(""), "text")
+    e = N.enrich(t.documents.select(i, text.alias("text")))
+    return e.select(F.col("id").alias("doc_id"), F.md5("text").alias("digest"), F.array_join("pii_types", ",").alias("pii_types"), "lang", F.date_format("effective_from", "yyyy-MM-dd").alias("effective_from"), F.date_format("effective_to", "yyyy-MM-dd").alias("effective_to"), F.array_join("keywords", ",").alias("keywords"))
 
 
 @query("lin_record", "SELECT 'o' || o_orderkey AS subject, 'c' || o_custkey AS parent, 'import' AS operation FROM orders UNION ALL SELECT 'x', 'o1', 'merge'")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import access as A
+from ..operators import conditions as C
 from ..operators import search as S
 from .access import VISIBLE_SQL
 from .base import query
@@ -194,3 +197,24 @@ def distinct_docs(t):
 @query("max_score", "SELECT c_custkey, coalesce(max(o_totalprice), 0) AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def max_score(t):
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.coalesce(F.max("o_totalprice"), F.lit(0.0)).alias("top"))
+
+
+#: Calls of the search tool: who calls, the words, the arguments, and what these leave in SQL.
+SEARCHES = [(1, "engineer", "the tion ing and", {"languages": ["en"], "doc_types": ["policy", "faq", "runbook", "contract"]}, "lang = 'en' AND doc_type IN ('policy', 'faq', 'runbook', 'contract')"), (2, "intern", "los que ción con", {"languages": ["es", "en"]}, "lang IN ('es', 'en')"), (3, "admin", "les des que ment", {"languages": [], "date_to": "2024-01-20"}, "modified <= 1705708800")]
+_CALL_TERMS_SQL = "terms(query, persona, term) AS (VALUES " + ", ".join(f"({q}, 'call {q}', '{w}')" for q, _, text, *_ in SEARCHES for w in text.split()) + ")"
+_CALL_DOCS_SQL = VISIBLE_SQL.replace("visible AS (", "seen AS (") + ", visible AS (" + " UNION ALL ".join(f"SELECT 'call {q}' AS persona, doc_id, text FROM seen WHERE persona = '{p}' AND {sql}" for q, p, _, _, sql in SEARCHES) + ")"
+_SEARCH_SQL = _FUSED_SQL.replace(f"{VISIBLE_SQL}, {TERMS_SQL}", f"{_CALL_DOCS_SQL}, {_CALL_TERMS_SQL}")
+
+
+@query("tool_search", f"{_SEARCH_SQL} SELECT query AS call, id, round(score, 6) AS score, rank FROM fused WHERE rank <= 8")
+def tool_search(t):
+    """Each call ranks what its caller may read and its arguments leave."""
+    docs = t.corpus.drop("text").withColumn("modified", F.timestamp_seconds("modified"))
+    seen = A.visible(docs, t.principals)
+    parts = [C.matching(seen.where(F.col("persona") == p), C.from_arguments(args) or {}).select(F.lit(f"call {q}").alias("persona"), F.col("doc_id").alias("id")) for q, p, _, args, _ in SEARCHES]
+    rights = reduce(lambda a, b: a.union(b), parts).distinct()
+    words = t.values([(q, f"call {q}", w) for q, _, text, *_ in SEARCHES for w in text.split()], "query long, persona string, term string")
+    nine = lambda d: d.withColumn("score", F.round("score", 9))  # noqa: E731  so that engines order alike
+    both = [S.top(nine(b), "query", "score", S.PREFETCH, "id") for b in S.search_as(words, S.term_counts(t.documents), rights)]
+    r = S.top(nine(S.rrf(*both)), "query", "score", S.KEPT, "id")
+    return r.select(F.col("query").alias("call"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

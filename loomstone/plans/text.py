@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import enrich as E
 from ..operators import fingerprints as P
 from ..operators import planning as N
 from ..operators.graph import spread
@@ -202,16 +203,13 @@ SELECT doc_id, word, n, rn AS place FROM (SELECT *, row_number() OVER (PARTITION
 @query("insights_heur", _KEY_SQL)
 def insights_heur(t):
     """The ten most frequent words of each document, ties by first place."""
-    e = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0))).alias("pos", "word")).where(~F.col("word").isin(*T.STOP_WORDS))
-    g = e.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))).where("place <= 10").select("doc_id", "word", "n", F.col("place").cast("long").alias("place"))
+    return E.keyword_counts(t.documents).select(F.col("id").alias("doc_id"), "word", "n", F.col("place").cast("long").alias("place"))
 
 
 @query("keywords_clean", "SELECT p_partkey, array_to_string(list_distinct_keep, ',') AS keywords FROM (SELECT p_partkey, [lower(p_brand)] AS list_distinct_keep FROM part)")
 def keywords_clean(t):
     raw = F.array(F.concat(F.lit(" "), "p_brand", F.lit(".")), F.lower("p_brand"), F.lit(" ,; "))
-    clean = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"\s+", " "), r"^[ .,;:!?]+|[ .,;:!?]+$", ""))
-    return t.part.select("p_partkey", F.array_join(F.slice(F.array_distinct(F.filter(clean, lambda x: x != "")), 1, 12), ",").alias("keywords"))
+    return t.part.select("p_partkey", F.array_join(E.clean_keywords(raw), ",").alias("keywords"))
 
 
 @query("insights_cache", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({NORM_SQL})) AS computed_for FROM documents")
@@ -266,3 +264,11 @@ def qt_plan(t):
     answers = t.documents.select(i, F.concat(F.lit("Question "), i.cast("string")).alias("message"), F.when(i % 7 == 0, F.concat(F.lit('{"rewritten": '), i.cast("string"))).otherwise(whole).alias("payload"))
     p = N.plan(answers, vocabulary=_PLAN_VOCABULARY, keep=("doc_id",))
     return p.select("doc_id", "degraded", F.md5("rewritten").alias("rewritten"), F.array_join("sub_questions", "|").alias("questions"), F.array_join("doc_types", ",").alias("doc_types"), F.unix_timestamp("date_from").alias("date_from"), F.unix_timestamp("date_to").alias("date_to"), F.round("confidence", 6).alias("confidence"), "needs_tools")
+
+
+@query("qt_transform", "SELECT conv_id, turn, md5(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS rewritten, true AS degraded, NOT regexp_full_match(text, '[ \\t\\n\\x0B\\f\\r]*') AS needs_retrieval, 0 AS sub_questions FROM conversations WHERE role = 'user'")
+def qt_transform(t):
+    """Users' messages as plans where there is no model to ask: each stands for itself."""
+    m = t.conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("message"))
+    p = N.transform(m, keep=("conv_id", "turn"))
+    return p.select("conv_id", "turn", F.md5("rewritten").alias("rewritten"), "degraded", "needs_retrieval", F.size("sub_questions").alias("sub_questions"))
