@@ -117,3 +117,48 @@ def acl_fingerprint() -> Column:
     """SHA-256 of the access lists, sorted, with the tenant and the rank."""
     parts = [F.concat_ws(",", F.array_sort(listed(x))) for x in ("allowed_groups", "allowed_roles", "allowed_users", "denied_users")]
     return F.sha2(F.concat_ws("|", "tenant_id", *parts, F.col("classification_rank").cast("string")), 256)
+
+
+#: Fixed: names under which a map of metadata may declare the groups of an item, best first.
+GROUP_NAMES = ("allowed_groups", "groups", "acl_groups")
+
+
+def from_map(found: Column, names: tuple[str, ...] = GROUP_NAMES) -> Column:
+    """The groups that a map declares under the first of some names that it has; null if none."""
+    raw = F.coalesce(*(F.try_element_at(found, F.lit(k)) for k in names))
+    return F.when(raw.isNotNull(), parse_list(raw))
+
+
+def from_sidecar(raw: Column, name: str = "allowed_groups") -> Column:
+    """The groups of a sidecar file of JSON, each once; null where it does not parse or declares none."""
+    return F.array_distinct(F.from_json(raw, f"`{name}` array<string>")[name])
+
+
+def from_metadata(tags: Column, metadata: Column, names: tuple[str, ...] = GROUP_NAMES) -> Column:
+    """What an item's tags declare, else its metadata."""
+    return F.coalesce(from_map(tags, names), from_map(metadata, names))
+
+
+#: Fixed: the shape of a permission object, and the reach of a link that opens an item to everybody.
+PERMISSION, EVERYBODY = "array<struct<group:string,user:string,scope:string>>", "organization"
+
+
+def from_permissions(raw: Column) -> Column:
+    """Grants of permission objects: groups and users by id, numbers refused; a link for the whole organisation leaves none, which is no restriction."""
+    p = F.from_json(raw, PERMISSION)
+    ids = F.filter(F.transform(p, lambda x: F.coalesce(x["group"], x["user"])), lambda x: x.isNotNull() & ~x.rlike("^[0-9]+$"))
+    return F.when(F.exists(p, lambda x: F.coalesce(x["scope"], F.lit("")) == EVERYBODY), F.array().cast("array<string>")).otherwise(ids)
+
+
+def resolved(*sources: Column, default: tuple[str, ...] = ()) -> Column:
+    """The first source that declares groups, best first, else the default."""
+    last = F.array(*map(F.lit, default)).cast("array<string>")
+    return F.coalesce(*(F.when(F.size(c) > 0, c) for c in sources), last)
+
+
+def filter_fingerprint(facets: Facets, tenant: Column, clearance: Column, version: int = 1) -> Column:
+    """A short hash of what decides a search's rows, equal for equal filters in any order."""
+    named = (("doc_type", facets.doc_types), ("lang", facets.langs), ("doc_id", facets.document_ids))
+    parts = [f"{k}={','.join(sorted(map(str, v)))}" for k, v in named if v]
+    parts += [f"{k}={v}" for k, v in (("from", facets.modified_from), ("to", facets.modified_to), ("rank", facets.max_rank)) if v is not None] + ["nothing"] * facets.nothing
+    return F.substring(F.sha2(F.concat_ws("|", F.lit(str(version)), tenant, clearance.cast("string"), *map(F.lit, parts)), 256), 1, 32)

@@ -190,6 +190,12 @@ def histogram(rows: DataFrame, by: str, value: Column, width: float, last: int)
     return rows.groupBy(by, F.least(F.lit(last), F.floor(value / width)).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def config_fingerprint(settings: Mapping[str, object], chars: int = 16, **columns: Column) -> Column:
+    """A short hash of settings and of columns by name, in the order given."""
+    parts = [F.lit("|".join(f"{k}={v}" for k, v in settings.items())), *(F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in columns.items())]
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, chars)
+
+
 # --- reports ----------------------------------------------------------------------------
 
 

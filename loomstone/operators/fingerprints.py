@@ -107,10 +107,3 @@ def greedy(rows: DataFrame, group: str, order: str, text_col: str, most: int = 3
     base = rows.select(F.col(group).cast("string").alias("grp"), F.col(order).cast("long").alias("pos"), F.col("id"), F.col(text_col).alias("text"))
     known = base.join(simhash(base.dropDuplicates(["id"]), "id", "text"), "id", "left").select("grp", "pos", "id", T.exact_hash("text").alias("digest"), F.when(F.length("text") >= least_chars, T.hex16(F.col("simhash"))).alias("simhash"))
     return known.groupBy("grp").applyInPandas(fold, "grp string, pos long, id long, reason string")
-
-
-def token(value: str, key: bytes, kind: str) -> str:
-    """A stable stand-in for a value."""
-    import hmac
-
-    return f"<{kind}:{hmac.new(key, value.encode(), hashlib.sha256).hexdigest()[:16]}>"

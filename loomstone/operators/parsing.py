@@ -65,6 +65,10 @@ def parse_text(text: str) -> list[dict]:
     return b.out
 
 
+#: Fixed: a heading of Markdown, which may be closed by marks.
+_HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*$")
+
+
 def parse_markdown(text: str) -> list[dict]:
     b, held, kind = Blocks(), [], ""
 
@@ -87,7 +91,7 @@ def parse_markdown(text: str) -> list[dict]:
         elif m := re.match(r"(`{3,}|~{3,})", s):
             flush()
             fence, kind = m[1], "code"
-        elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", s):
+        elif m := _HEADING.match(s):
             flush()
             b.heading(m[2], len(m[1]))
         elif held and not kind and len(held) == 1 and re.fullmatch(r"=+|-{2,}", s):

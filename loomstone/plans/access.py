@@ -111,10 +111,11 @@ def acl_fingerprint(t):
     return t.corpus.select("doc_id", A.acl_fingerprint().alias("fingerprint"))
 
 
-@query("filter_fingerprint", f"WITH {PRINCIPALS_SQL} SELECT persona, substr(sha256('1|' || tenant || '|' || clearance || '|doc_type=email,faq,policy|lang=de,en'), 1, 32) AS fingerprint FROM principals")
+@query("filter_fingerprint", f"WITH {CORPUS_SQL} SELECT tenant_id, classification_rank, count(*) AS documents, substr(sha256('1|' || tenant_id || '|' || classification_rank || '|doc_type=email,faq,policy|lang=de,en|from=1704103200|to=1706587200'), 1, 32) AS fingerprint FROM corpus GROUP BY ALL")
 def filter_fingerprint(t):
-    facets = "|".join(f"{k}={','.join(sorted(v))}" for k, v in (("doc_type", FACETS.doc_types), ("lang", FACETS.langs)))
-    return t.principals.select("persona", F.substring(F.sha2(F.concat_ws("|", F.lit("1"), "tenant", F.col("clearance").cast("string"), F.lit(facets)), 256), 1, 32).alias("fingerprint"))
+    """One filter as asked by callers of every tenant and clearance that the corpus has."""
+    g = t.corpus.groupBy("tenant_id", "classification_rank").agg(F.count(F.lit(1)).alias("documents"))
+    return g.withColumn("fingerprint", A.filter_fingerprint(FACETS, F.col("tenant_id"), F.col("classification_rank")))
 
 
 @query("doc_list", f"{VISIBLE_SQL} SELECT persona, doc_id, rn AS place FROM (SELECT persona, doc_id, row_number() OVER (PARTITION BY persona ORDER BY modified DESC, doc_id) AS rn FROM visible WHERE doc_type IN ('policy', 'faq') AND contains(lower(text), 'the')) WHERE rn <= 25")

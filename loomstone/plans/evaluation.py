@@ -64,9 +64,14 @@ def ev_select(t):
     return V.chosen(items(t), "category", ("src0", "src3"), 15).select("item_id")
 
 
-@query("ev_thresholds", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {max(f, 1.0) if h else f}::DOUBLE, {str(h).lower()})" for m, f, h, _ in FLOORS) + ") AS v(metric, floor, hard)")
+_MEASURED = ", ".join(f"count({m}) AS {m}" for m in METRICS)
+
+
+@query("ev_thresholds", f"WITH {ITEMS_SQL}, c AS (SELECT {_MEASURED} FROM items), u AS (UNPIVOT c ON {', '.join(METRICS)} INTO NAME metric VALUE n) SELECT metric, floor, hard, n AS measured FROM (VALUES " + ", ".join(f"('{m}', {max(f, 1.0) if h else f}::DOUBLE, {str(h).lower()})" for m, f, h, _ in FLOORS) + ") AS v(metric, floor, hard) JOIN u USING (metric)")
 def ev_thresholds(t):
-    return V.limits(t.spark, RULES).select("metric", "floor", "hard")
+    """Every limit with the number of items that it is held against."""
+    n = items(t).agg(*(F.count(m).alias(m) for m in METRICS)).unpivot([], METRICS, "metric", "measured")
+    return V.limits(t.spark, RULES).join(n, "metric").select("metric", "floor", "hard", "measured")
 
 
 _LIMITS = "limits(metric, lim, hard, upper) AS (VALUES " + ", ".join(f"('{m}', {f}::DOUBLE, {str(h).lower()}, {str(u).lower()})" for m, f, h, u in FLOORS) + ")"
@@ -228,12 +233,8 @@ def tool_project(t):
     return t.events.select("event_id", tools.projected("props", "k").alias("k"))
 
 
-@query("tool_visible", f"WITH {PRINCIPALS_SQL}, tools(tool, need) AS (VALUES ('search', []::VARCHAR[]), ('sql', ['admin']), ('audit', ['auditor', 'admin'])) SELECT persona, tool FROM principals JOIN tools ON len(need) = 0 OR list_has_any(need, roles)")
+@query("tool_visible", "WITH tools(tool, need) AS (VALUES ('search', []::VARCHAR[]), ('sql', ['building']), ('audit', ['machinery', 'building'])) SELECT c_custkey, tool FROM customer JOIN tools ON len(need) = 0 OR list_has_any(need, [lower(c_mktsegment), 'user'])")
 def tool_visible(t):
-    return tools.visible(t.principals, {"search": (), "sql": ("admin",), "audit": ("auditor", "admin")}).select("persona", "tool")
-
-@query("ev_report")
-def ev_report(t):
-    """The run's report against a run before, line by line."""
-    i = items(t)
-    return V.report(i, i.where("item_id % 10 <> 1").withColumn("passed", F.col("item_id") % 5 != 0), RULES)
+    """Customers as callers, with their segment as a role."""
+    callers = t.customer.select("c_custkey", F.array(F.lower("c_mktsegment"), F.lit("user")).alias("roles"))
+    return tools.visible(callers, {"search": (), "sql": ("building",), "audit": ("machinery", "building")}).select("c_custkey", "tool")
\ No newline at end of file

@@ -66,15 +66,15 @@ def lin_record(t):
 def acl_resolve_blob(t):
     """A sidecar's list if there is one that parses, else the item's own, else the source's."""
     sidecar = t.corpus.where("doc_id % 6 = 0").select("doc_id", F.format_string('{"groups": ["sidecar%d"]}', F.col("doc_id") % 4).alias("raw"))
-    own = F.from_json("raw", "groups array<string>")["groups"]
-    return t.corpus.join(sidecar, "doc_id", "left").select("doc_id", F.coalesce(F.try_element_at(own, F.lit(1)), F.try_element_at("allowed_groups", F.lit(1)), F.lit("g0")).alias("grp"))
+    groups = A.resolved(A.from_sidecar(F.col("raw"), "groups"), F.col("allowed_groups"), default=("g0",))
+    return t.corpus.join(sidecar, "doc_id", "left").select("doc_id", F.element_at(groups, 1).alias("grp"))
 
 
-@query("graph_item", "SELECT substr(sha256(s_nationkey || chr(0) || s_suppkey), 1, 32) AS document_id, s_suppkey % 7 = 0 AS is_deleted, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END AS title FROM supplier WHERE s_suppkey % 5 <> 0")
+@query("graph_item", "SELECT substr(sha256(s_nationkey || chr(0) || s_suppkey), 1, 32) AS document_id, s_suppkey % 7 = 0 AS is_deleted, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END AS title FROM supplier")
 def graph_item(t):
-    """Feed items: folders are left out, ids come from the stable item id, deleted ones are tombstones."""
+    """Feed items: ids come from the stable item id, deleted ones are tombstones."""
     gone = F.col("s_suppkey") % 7 == 0
-    return t.supplier.where("s_suppkey % 5 <> 0").select(T.document_id(F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("document_id"), gone.alias("is_deleted"), F.when(gone, "").otherwise(F.col("s_name")).alias("title"))
+    return t.supplier.select(T.document_id(F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("document_id"), gone.alias("is_deleted"), F.when(gone, "").otherwise(F.col("s_name")).alias("title"))
 
 
 @query("acl_from_map", f"WITH {CORPUS_SQL} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'm' || (doc_id % 3) END AS grp FROM corpus")
@@ -82,30 +82,27 @@ def acl_from_map(t):
     """The first of several names under which a map may declare groups; nothing declared is null."""
     value = F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string"))
     m = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("x"), F.lit("y"))).when(F.col("doc_id") % 4 == 1, F.create_map(F.lit("allowed_groups"), value)).otherwise(F.create_map(F.lit("groups"), value))
-    found = F.coalesce(*(F.try_element_at(m, F.lit(k)) for k in ("allowed_groups", "groups", "acl_groups")))
-    return t.corpus.select("doc_id", F.try_element_at(A.parse_list(found), F.lit(1)).alias("grp"))
+    return t.corpus.select("doc_id", F.try_element_at(A.from_map(m), F.lit(1)).alias("grp"))
 
 
 @query("acl_from_sidecar", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'a,b' || (doc_id % 5) END AS grps FROM documents")
 def acl_from_sidecar(t):
     raw = F.when(F.col("doc_id") % 3 == 0, "not json").otherwise(F.format_string('{"allowed_groups": ["a", "b%d", "a"]}', F.col("doc_id") % 5))
-    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.from_json(raw, "allowed_groups array<string>")["allowed_groups"]), ",").alias("grps"))
+    return t.documents.select("doc_id", F.array_join(A.from_sidecar(raw), ",").alias("grps"))
 
 
 @query("acl_from_metadata", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tag' ELSE 'meta' END AS grp FROM documents")
 def acl_from_metadata(t):
     """Tags win over metadata."""
     meta, tags = F.create_map(F.lit("groups"), F.lit("meta")), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("groups"), F.lit("tag"))).otherwise(F.create_map(F.lit("other"), F.lit("")))
-    return t.documents.select("doc_id", F.coalesce(F.try_element_at(tags, F.lit("groups")), F.try_element_at(meta, F.lit("groups"))).alias("grp"))
+    return t.documents.select("doc_id", F.element_at(A.from_metadata(tags, meta), 1).alias("grp"))
 
 
 @query("acl_from_graph", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'g' || (doc_id % 4) || ',u' || (doc_id % 3) END AS grants FROM documents")
 def acl_from_graph(t):
     """Grants of permission objects: groups and users by id, numeric ids refused, an organisation-wide link lifts all."""
     raw = F.format_string('[{"group":"g%d","scope":"%s"},{"user":"u%d"},{"user":"12345"}]', F.col("doc_id") % 4, F.when(F.col("doc_id") % 10 == 0, "organization").otherwise("users"), F.col("doc_id") % 3)
-    p = F.from_json(raw, "array<struct<group:string,user:string,scope:string>>")
-    ids = F.filter(F.transform(p, lambda x: F.coalesce(x["group"], x["user"])), lambda x: ~x.rlike("^[0-9]+$"))
-    return t.documents.select("doc_id", F.when(F.exists(p, lambda x: F.coalesce(x["scope"], F.lit("")) == "organization"), "").otherwise(F.array_join(ids, ",")).alias("grants"))
+    return t.documents.select("doc_id", F.array_join(A.from_permissions(raw), ",").alias("grants"))
 
 
 @query("acl_resolve_graph", "SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'default' ELSE 'g' || (doc_id % 4) END AS grp FROM documents")
@@ -213,11 +210,14 @@ def tool_redact(t):
     return t.events.select("event_id", F.regexp_replace(args, r'("(?:token|secret|password|api_key)"\s*:\s*)"[^"]*"', '$1"***"').alias("args"))
 
 
-@query("ev_config_fp", "SELECT substr(sha256('k1=1.2|b=0.75|rrf=60'), 1, 16) AS fingerprint")
+@query("ev_config_fp", "SELECT source, count(*) AS documents, substr(sha256('k1=1.2|b=0.75|rrf=60|index=' || source || '|size=' || count(*)), 1, 16) AS fingerprint FROM documents GROUP BY source")
 def ev_config_fp(t):
+    """What a run's figures depend on, the index that it ran on included: one for each source's."""
+    from ..operators import evaluation as V
     from ..operators import search as S
 
-    return t.values([(f"k1={S.K1}|b={S.B}|rrf={S.RRF_K}",)], "c string").select(F.substring(F.sha2("c", 256), 1, 16).alias("fingerprint"))
+    g = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    return g.select("source", "documents", V.config_fingerprint({"k1": S.K1, "b": S.B, "rrf": S.RRF_K}, index=F.col("source"), size=F.col("documents")).alias("fingerprint"))
 
 
 @query("null_sink", "SELECT count(*) AS rows FROM documents")
