@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import delta as D
+from ..operators import store as S
 from .base import query
 
 LISTING_SQL = """listing AS (SELECT doc_id AS document_id, source, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE md5(text) END AS sha, 'e' || (doc_id % 6) AS etag, 'a' || (doc_id % 5) AS acl, doc_id % 23 = 0 AS deleted, n_chars FROM documents WHERE doc_id % 29 <> 0),
@@ -152,46 +153,45 @@ def upsert_chunks(t):
 
 @query("soft_delete", f"WITH s AS ({_SNAP_SQL}) SELECT id, owner IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS is_deleted FROM s")
 def soft_delete(t):
-    gone = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"), F.lit(True).alias("gone"))
-    return _snapshot(t).join(gone, "owner", "left").select("id", F.coalesce("gone", F.lit(False)).alias("is_deleted"))
+    return S.soft_delete(_snapshot(t), t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("owner")), "owner").select("id", "is_deleted")
 
 
 @query("hard_delete", f"WITH s AS ({_SNAP_SQL}) SELECT id FROM s WHERE NOT (owner % 10 = 0)")
 def hard_delete(t):
-    return _snapshot(t).where("not (owner % 10 = 0)").select("id")
+    return S.hard_delete_where(_snapshot(t), F.col("owner") % 10 == 0).select("id")
 
 
 @query("acl_rewrite", f"WITH s AS ({_SNAP_SQL}) SELECT id, coalesce(CASE WHEN c_acctbal < 0 THEN 'restricted' END, 'internal') AS classification FROM s LEFT JOIN customer ON owner = c_custkey")
 def acl_rewrite(t):
-    new = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"), F.lit("restricted").alias("new"))
-    return _snapshot(t).join(new, "owner", "left").select("id", F.coalesce("new", F.lit("internal")).alias("classification"))
+    new = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"), F.lit("restricted").alias("classification"))
+    return S.rewrite(_snapshot(t).withColumn("classification", F.lit("internal")), new, "owner").select("id", "classification")
 
 
 @query("tombstone_missing", "SELECT DISTINCT o_custkey AS document_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def tombstone_missing(t):
-    return t.orders.select(F.col("o_custkey").alias("document_id")).subtract(t.customer.where("c_acctbal > 0").select("c_custkey"))
+    kept = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("document_id"))
+    return S.missing(t.orders.select(F.col("o_custkey").alias("document_id")), kept, "document_id")
 
 
 @query("count_where", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
 def count_where(t):
-    return t.orders.where("o_totalprice > 1000").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return S.counts(t.orders, F.col("o_totalprice") > 1000, "o_orderstatus")
 
 
 @query("prune_doc", "SELECT l_orderkey, l_linenumber FROM lineitem ANTI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey)")
 def prune_doc(t):
-    keep = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.join(keep, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    gone = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return S.prune(t.lineitem, gone, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @query("doc_upsert", f"WITH {LISTING_SQL} SELECT document_id, coalesce(m_version, 1) + CASE WHEN sha IS NOT NULL AND m_sha IS NOT NULL AND sha <> m_sha THEN 1 ELSE 0 END AS version, false AS is_deleted FROM listing LEFT JOIN manifest USING (document_id) WHERE NOT deleted")
 def doc_upsert(t):
-    j = listing(t).where("not deleted").join(manifest(t), "document_id", "left")
-    return j.select("document_id", (F.coalesce("m_version", F.lit(1)) + F.when(F.col("sha") != F.col("m_sha"), 1).otherwise(0)).alias("version"), F.lit(False).alias("is_deleted"))
+    return S.next_versions(listing(t).where("not deleted"), manifest(t), "document_id").select("document_id", "version", F.lit(False).alias("is_deleted"))
 
 
 @query("docs_delete", "SELECT doc_id, doc_id % 17 = 0 OR source = 'src3' AS is_deleted FROM documents")
 def docs_delete(t):
-    return t.documents.select("doc_id", ((F.col("doc_id") % 17 == 0) | (F.col("source") == "src3")).alias("is_deleted"))
+    return S.soft_delete_where(t.documents, (F.col("doc_id") % 17 == 0) | (F.col("source") == "src3")).select("doc_id", "is_deleted")
 
 
 @query("src_sql", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS watermark FROM orders WHERE o_orderdate > TIMESTAMP '1995-06-01' ")

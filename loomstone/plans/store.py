@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import store as S
 from ..operators.delta import upsert
 from ..operators.graph import new_folder
 from ..sources import feed, files, web
@@ -28,10 +29,7 @@ def user_upsert(t):
 @query("sources_list", "SELECT s_suppkey, row_number() OVER (ORDER BY s_name) AS place FROM supplier WHERE s_nationkey = 3")
 def sources_list(t):
     """One tenant's sources by name: a bounded listing."""
-    from pyspark.sql import Window
-
-    own = t.supplier.where("s_nationkey = 3")
-    return own.select("s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_name")).cast("long").alias("place"))
+    return S.listed(t.supplier.where("s_nationkey = 3"), "s_nationkey", ("s_name",)).select("s_suppkey", "place")
 
 
 @query("run_record", "SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars, CASE WHEN source = 'src1' THEN 'rewritten' ELSE 'first' END AS state FROM documents GROUP BY source")
@@ -48,9 +46,7 @@ def item_record(t):
 
 @query("sess_get_create", "SELECT DISTINCT user_id AS session FROM events UNION SELECT c_custkey FROM customer")
 def sess_get_create(t):
-    have = t.events.select(F.col("user_id").alias("session")).distinct()
-    asked = t.customer.select(F.col("c_custkey").alias("session"))
-    return have.union(asked.join(have, "session", "left_anti"))
+    return S.get_or_create(t.events.select(F.col("user_id").alias("session")), t.customer.select(F.col("c_custkey").alias("session")), "session").select("session")
 
 
 @query("sess_get", "SELECT conv_id, turn FROM conversations WHERE conv_id = 3")
@@ -60,14 +56,13 @@ def sess_get(t):
 
 @query("sess_delete", "SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 6 = 0)")
 def sess_delete(t):
-    return t.conversations.where("not (conv_id % 6 = 0)").select("conv_id", "turn")
+    return S.hard_delete_where(t.conversations, F.col("conv_id") % 6 == 0).select("conv_id", "turn")
 
 
 @query("msg_append", "SELECT conv_id, count(*) + 1 AS n, max(turn) + 1 AS last FROM conversations GROUP BY 1")
 def msg_append(t):
-    c = t.conversations.select("conv_id", "turn")
-    new = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
-    return c.unionByName(new).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
+    c = S.append(t.conversations.select("conv_id", "turn", "text"), "conv_id", "turn", text=F.lit("more"))
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
 
 
 @query("tool_log", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (WHERE value > 90) AS errors FROM events GROUP BY 1")
@@ -77,8 +72,9 @@ def tool_log(t):
 
 @query("profile_get", "SELECT c_custkey, coalesce(any_value(o_orderpriority), 'none') = 'none' AS created FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def profile_get(t):
-    have = t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("have", F.lit(True))
-    return t.customer.join(have, "c_custkey", "left").select("c_custkey", F.col("have").isNull().alias("created"))
+    have = t.orders.select(F.col("o_custkey").alias("c_custkey"))
+    asked = t.customer.select("c_custkey")
+    return S.get_or_create(have.join(asked, "c_custkey", "left_semi"), asked, "c_custkey")
 
 
 @query("profile_save", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'saved' ELSE c_mktsegment END AS profile FROM customer")
@@ -89,8 +85,8 @@ def profile_save(t):
 
 @query("consent_set", "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0) AS is_deleted FROM orders")
 def consent_set(t):
-    out = t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("gone"))
-    return t.orders.join(out, "o_custkey", "left").select("o_orderkey", F.coalesce("gone", F.lit(False)).alias("is_deleted"))
+    out = t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return S.soft_delete(t.orders, out, "o_custkey").select("o_orderkey", "is_deleted")
 
 
 @query("mem_upsert", "SELECT o_orderkey, o_orderkey % 8 = 0 AS superseded FROM orders")
@@ -101,7 +97,7 @@ def mem_upsert(t):
 
 @query("mem_delete", "SELECT o_orderkey, o_custkey = 7 AS is_deleted FROM orders")
 def mem_delete(t):
-    return t.orders.select("o_orderkey", (F.col("o_custkey") == 7).alias("is_deleted"))
+    return S.soft_delete_where(t.orders, F.col("o_custkey") == 7).select("o_orderkey", "is_deleted")
 
 
 @query("ev_run_write", "SELECT source, count(*) AS items, sum(quality)::BIGINT AS passed FROM labels JOIN documents USING (doc_id) GROUP BY 1")
@@ -117,10 +113,7 @@ def ev_result_write(t):
 
 @query("admin_runs", "SELECT user_id, event_id FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 5")
 def admin_runs(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return t.events.where("event_type = 'purchase'").withColumn("r", F.row_number().over(w)).where("r <= 5").select("user_id", "event_id")
+    return S.newest(t.events.where("event_type = 'purchase'"), "user_id", (F.desc("ts"), "event_id"), 5).select("user_id", "event_id")
 
 
 @query("feedback", "SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')")
