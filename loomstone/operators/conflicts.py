@@ -16,7 +16,6 @@ as 0; candidates of a null document are of no document and pair with nothing.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

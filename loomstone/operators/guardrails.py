@@ -174,3 +174,32 @@ def _held(shared):
             yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field("doc_id").type), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
 
     return run
+
+
+def combined(findings: DataFrame, by: str, score: str = "score", digits: int = 3) -> DataFrame:
+    """(by, score): the chance that one of several findings is right, each by itself."""
+    return findings.groupBy(by).agg(F.round(1 - F.product(1 - F.col(score)), digits).alias("score"))
+
+
+#: Fixed: what the results of a question it can answer have at least: how many, the best score, the mean, and a spread unless the best is high.
+FEW, LOW_TOP, LOW_MEAN, COLLAPSED, SURE = 3, 0.3, 0.25, 0.02, 0.5
+
+
+def result_signals(hits: DataFrame, query: str = "query", score: str = "score", tie: str = "id", k: int = 5) -> DataFrame:
+    """(query, n, top, mean, spread) of the ``k`` best results of each question."""
+    w = Window.partitionBy(query).orderBy(F.desc(score), tie)
+    best = hits.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    s = F.col(score)
+    return best.groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.max(s).alias("top"), F.avg(s).alias("mean"), (F.max(s) - F.min(s)).alias("spread"))
+
+
+def out_of_domain(n: str = "n", top: str = "top", mean: str = "mean", spread: str = "spread") -> Column:
+    """Why the corpus has no answer, by the first sign; null if it may have one."""
+    n, top, mean, spread = map(F.col, (n, top, mean, spread))
+    return F.when(n < FEW, "few").when(top < LOW_TOP, "low_top").when(mean < LOW_MEAN, "low_mean").when((spread < COLLAPSED) & (top < SURE), "collapsed")
+
+
+def domain_verdict(tools: Column, n: str = "n", top: str = "top") -> Column:
+    """What becomes of a question: answered, given to a tool where one can take it, or refused."""
+    weak = (F.col(n) < FEW) | (F.col(top) < LOW_TOP)
+    return F.when(~weak, "answer").when(tools, "tool").otherwise("refuse")

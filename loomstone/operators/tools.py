@@ -91,3 +91,29 @@ def visible(principals: DataFrame, tools: Mapping[str, Sequence[str]]) -> DataFr
     """(principal, tool) of the tools that each may use: those that ask for no role, or for one that it has."""
     rows = principals.sparkSession.createDataFrame([(k, list(v)) for k, v in tools.items()], "tool string, need array<string>")
     return principals.join(F.broadcast(rows), (F.size("need") == 0) | F.arrays_overlap("need", "roles"))
+
+
+def coerced(arguments: str, name: str, kind: str, default: object = None) -> Column:
+    """An argument as a type, the default where it is missing or of none."""
+    value = F.get_json_object(arguments, f"$.{name}").try_cast(kind)
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
+#: Fixed: names of arguments whose values are never written down.
+HIDDEN = ("token", "secret", "password", "api_key")
+
+
+def redacted(arguments: Column, names: Sequence[str] = HIDDEN) -> Column:
+    """JSON arguments with the values of some names masked."""
+    return F.regexp_replace(arguments, rf'("(?:{"|".join(names)})"\s*:\s*)"[^"]*"', '$1"***"')
+
+
+def refused(rank: Column, ceiling: int, text: Column, pattern: str = "@") -> Column:
+    """Why arguments may not leave: a classification above the tool's, or personal data; null if they may."""
+    return F.when(rank > ceiling, "classification").when(text.rlike(pattern), "personal data")
+
+
+def gated(calls: DataFrame, same: Sequence[str], order: str, most: int, hidden: Column, screened: Column) -> DataFrame:
+    """Calls with ``gate``: the first that a call fails (hidden, loop, screened), or ``ran``."""
+    gate = F.when(hidden, "hidden").when(F.col("looped"), "loop").when(screened, "screened").otherwise("ran")
+    return loops(calls, same, order, most).withColumn("gate", gate).drop("looped")

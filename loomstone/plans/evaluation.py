@@ -6,7 +6,6 @@ id and a latency, null where unmeasured; its category is the document's source.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import conflicts as N
+from ..operators import context as X
 from ..operators import guardrails as G
 from .base import CORPUS_SQL, DOC_TYPES, query
 
@@ -57,7 +57,8 @@ def inj_quarantine(t):
 
 @query("inj_combine", "SELECT o_orderkey, round(1 - product(1 - l_discount), 3) AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def inj_combine(t):
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(1 - F.product(1 - F.col("l_discount")), 3).alias("score")).join(t.orders.select("o_orderkey"), "o_orderkey")
+    each = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_discount").alias("score"))
+    return G.combined(each, "o_orderkey").join(t.orders.select("o_orderkey"), "o_orderkey")
 
 
 @query("inj_action", "SELECT event_id, CASE WHEN value >= 80 THEN 'block' WHEN value >= 50 THEN 'warn' ELSE 'allow' END AS action FROM events")
@@ -83,22 +84,17 @@ s AS (SELECT query, count(*) AS n, max(score) AS top, avg(score) AS mean, max(sc
 
 
 def _signals(t):
-    r = t.orders.select(F.col("o_custkey").alias("query"), (F.col("o_totalprice") / 499979).alias("score"), "o_orderkey")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "o_orderkey")
-    five = r.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    return five.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean"), (F.max("score") - F.min("score")).alias("spread"))
+    return G.result_signals(t.orders.select(F.col("o_custkey").alias("query"), (F.col("o_totalprice") / 499979).alias("score"), F.col("o_orderkey").alias("id")))
 
 
 @query("ood_signals", f"{_OOD_SQL} SELECT query, n, round(top, 6) AS top, round(mean, 6) AS mean, round(spread, 6) AS spread, CASE WHEN n < 3 THEN 'few' WHEN top < 0.3 THEN 'low_top' WHEN mean < 0.25 THEN 'low_mean' WHEN spread < 0.02 AND top < 0.5 THEN 'collapsed' END AS reason FROM s")
 def ood_signals(t):
-    reason = F.when(F.col("n") < 3, "few").when(F.col("top") < 0.3, "low_top").when(F.col("mean") < 0.25, "low_mean").when((F.col("spread") < 0.02) & (F.col("top") < 0.5), "collapsed")
-    return _signals(t).select("query", "n", *(F.round(x, 6).alias(x) for x in ("top", "mean", "spread")), reason.alias("reason"))
+    return _signals(t).select("query", "n", *(F.round(x, 6).alias(x) for x in ("top", "mean", "spread")), G.out_of_domain().alias("reason"))
 
 
 @query("ood_gate", f"{_OOD_SQL} SELECT query, CASE WHEN NOT (n < 3 OR top < 0.3) THEN 'answer' WHEN query % 2 = 0 THEN 'tool' ELSE 'refuse' END AS verdict FROM s")
 def ood_gate(t):
-    weak = (F.col("n") < 3) | (F.col("top") < 0.3)
-    return _signals(t).select("query", F.when(~weak, "answer").when(F.col("query") % 2 == 0, "tool").otherwise("refuse").alias("verdict"))
+    return _signals(t).select("query", G.domain_verdict(F.col("query") % 2 == 0).alias("verdict"))
 
 
 _TERM_SQL = r"""WITH c AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}]{3,}')) AS term FROM benchmark), u AS (SELECT id, term, count(*) AS n FROM c WHERE term NOT IN (%s) GROUP BY id, term),
@@ -216,25 +212,25 @@ def refusal_assess(t):
 
 @query("ctx_budget", "SELECT c_custkey, floor((120000 + c_custkey - 16000) * 0.55)::BIGINT AS sources, floor((120000 + c_custkey - 16000) * 0.08)::BIGINT AS memory FROM customer")
 def ctx_budget(t):
-    room = F.lit(120_000) + F.col("c_custkey") - 16_000
-    return t.customer.select("c_custkey", F.floor(room * F.lit(0.55).cast("decimal(3,2)")).cast("long").alias("sources"), F.floor(room * F.lit(0.08).cast("decimal(3,2)")).cast("long").alias("memory"))
+    sources, memory = X.budget(F.lit(120_000) + F.col("c_custkey"))
+    return t.customer.select("c_custkey", sources.alias("sources"), memory.alias("memory"))
 
 
 @query("ctx_value", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(greatest(0, 0.05 - l_discount) * CASE WHEN l_linenumber % 2 = 0 THEN 0.35 ELSE 1 END / l_quantity, 9) AS density FROM lineitem")
 def ctx_value(t):
-    value = F.greatest(F.lit(0.0), 0.05 - F.col("l_discount")) * F.when(F.col("l_linenumber") % 2 == 0, 0.35).otherwise(1.0)
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(value / F.col("l_quantity"), 9).alias("density"))
+    novelty = F.when(F.col("l_linenumber") % 2 == 0, 0.35).otherwise(1.0)
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(X.density(0.05 - F.col("l_discount"), novelty, F.col("l_quantity")), 9).alias("density"))
 
 
 @query("ctx_compact_why", "SELECT conv_id, CASE WHEN n > 20 THEN 'max_turns' WHEN n < 4 THEN 'none' WHEN n % 5 = 0 THEN 'periodic' WHEN chars > 2000 THEN 'ratio' ELSE 'none' END AS why FROM (SELECT conv_id, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY 1)")
 def ctx_compact_why(t):
     s = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-    return s.select("conv_id", F.when(F.col("n") > 20, "max_turns").when(F.col("n") < 4, "none").when(F.col("n") % 5 == 0, "periodic").when(F.col("chars") > 2000, "ratio").otherwise("none").alias("why"))
+    return s.select("conv_id", X.compaction_reason(F.col("n"), F.col("chars")).alias("why"))
 
 
 @query("ctx_tool_ttl", "SELECT conv_id, count(*) AS old, sum(length(text))::BIGINT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn > 3 GROUP BY 1")
 def ctx_tool_ttl(t):
-    old = t.conversations.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("rn > 3")
+    old = X.older_than(t.conversations, "conv_id", "turn")
     return old.groupBy("conv_id").agg(F.count(F.lit(1)).alias("old"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
@@ -243,11 +239,8 @@ _SEQ_SQL = "WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'user'
 
 @query("msg_sequence", _SEQ_SQL)
 def msg_sequence(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
     r = t.conversations.withColumn("role", F.when(F.col("turn") % 3 == 0, "user").otherwise("assistant"))
-    i = r.withColumn("new", F.when(F.lag("role").over(w) == F.col("role"), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    g = i.groupBy("conv_id", "island").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    return g.select("conv_id", F.col("island").cast("long").alias("place"), "role", F.md5(F.array_join(F.transform("m", lambda x: x["text"]), "\n")).alias("digest"))
+    return X.sequence(r, "conv_id", "turn").select("conv_id", "place", "role", F.md5("text").alias("digest"))
 
 
 assert re.compile(G.FORGERY)

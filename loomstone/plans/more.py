@@ -16,7 +16,7 @@ from ..operators import enrich as N
 from ..operators import folds as D
 from ..operators import guardrails as G
 from ..operators import parsing as R
-from ..operators import pii
+from ..operators import pii, tools
 from .access import VISIBLE_SQL
 from .base import CORPUS_SQL, query
 from .delta import CLASSIFY_SQL, decided
@@ -188,26 +188,24 @@ def clearance_check(t):
 
 @query("tool_screen", "SELECT event_id, CASE WHEN event_id % 4 > 2 THEN 'classification' WHEN contains(props, '@') THEN 'personal data' END AS refused FROM events")
 def tool_screen(t):
-    return t.events.select("event_id", F.when(F.col("event_id") % 4 > 2, "classification").when(F.contains("props", F.lit("@")), "personal data").alias("refused"))
+    return t.events.select("event_id", tools.refused(F.col("event_id") % 4, 2, F.col("props")).alias("refused"))
 
 
 @query("tool_dispatch", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'hidden' WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 3 THEN 'loop' WHEN event_id % 4 > 2 THEN 'screened' ELSE 'ran' END AS gate FROM events")
 def tool_dispatch(t):
     """The first gate that a call fails."""
-    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    return t.events.select("event_id", F.when(F.col("event_type") == "view", "hidden").when(n > 3, "loop").when(F.col("event_id") % 4 > 2, "screened").otherwise("ran").alias("gate"))
+    return tools.gated(t.events, ("user_id", "event_type"), "event_id", 3, F.col("event_type") == "view", F.col("event_id") % 4 > 2).select("event_id", "gate")
 
 
 @query("tool_coerce", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(try_cast(json_extract_string(props, '$.limit') AS BIGINT), 10) AS lim FROM events")
 def tool_coerce(t):
-    get = lambda k: F.get_json_object("props", f"$.{k}").try_cast("long")
-    return t.events.select("event_id", get("k").alias("k"), F.coalesce(get("limit"), F.lit(10)).alias("lim"))
+    return t.events.select("event_id", tools.coerced("props", "k", "long").alias("k"), tools.coerced("props", "limit", "long", 10).alias("lim"))
 
 
 @query("tool_redact", """SELECT event_id, '{"token":"***","k":' || (event_id % 9) || '}' AS args FROM events""")
 def tool_redact(t):
     args = F.format_string('{"token":"s%d","k":%d}', F.col("event_id"), F.col("event_id") % 9)
-    return t.events.select("event_id", F.regexp_replace(args, r'("(?:token|secret|password|api_key)"\s*:\s*)"[^"]*"', '$1"***"').alias("args"))
+    return t.events.select("event_id", tools.redacted(args).alias("args"))
 
 
 @query("ev_config_fp", "SELECT source, count(*) AS documents, substr(sha256('k1=1.2|b=0.75|rrf=60|index=' || source || '|size=' || count(*)), 1, 16) AS fingerprint FROM documents GROUP BY source")
