@@ -12,7 +12,8 @@ Words seen of late keep their ids, at most ``most`` of them; this only saves wor
 Defined results: null and empty texts have no ids and decode to the empty text;
 control characters, marks and unpaired pieces are encoded byte by byte, so every
 text has ids; the two special strings in a text are their own ids, as in the
-library; repeated rows are encoded alike.
+library; repeated rows are encoded alike; null ids stay null; an empty table gives no
+rows.  Columns are read by the names given, others are ignored.
 """
 
 from __future__ import annotations

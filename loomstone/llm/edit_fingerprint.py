@@ -14,7 +14,8 @@ such links are a class, named by its least id.
 Defined results: null is the empty text, whose fingerprint is all zeros; equal texts
 have equal fingerprints; after the last document comes the first, and a document
 alone is its own next; null ids come before all others, equal ids in the order of
-a hash of their texts.
+a hash of their texts; an empty table gives no rows.  Columns are read by the names
+given, others are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ the least one it is connected to.
 
 Defined results: a document without words (null, empty or blank) has no shingles,
 no links and itself as component; fewer than five words are one shingle; rows of
-equal sets are linked; a null id is never a component's least id unless all are null.
+equal sets are linked; a null id is never a component's least id unless all are null; an empty table gives no
+rows.  Columns are read by the names given, others are ignored.
 """
 
 from __future__ import annotations

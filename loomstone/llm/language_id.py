@@ -12,7 +12,8 @@ text alone.
 Defined results: a null text or one without letters is ``und`` with score 0; words
 without letters take the label of their neighbours; with no labelled row at all
 every document is ``und``; rows with a null id count as not held out; of languages
-with equally many letters the first by name wins, and equal texts are labelled alike.
+with equally many letters the first by name wins, and equal texts are labelled alike;
+an empty table gives no rows.  Columns are read by the names given, others pass as told.
 """
 
 from __future__ import annotations

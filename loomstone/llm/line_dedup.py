@@ -8,7 +8,8 @@ documents), and texts are put together again by position.
 
 Defined results: a null or empty text is one empty line; an empty key (a blank
 line) is never dropped; a document without lines left is an empty text; every
-row counts as a document, repeated ids too.
+row counts as a document, repeated ids too; an empty table gives no rows.  Columns are
+read by the names given, others pass as told.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Words are known by 64-bit hashes.  Counts cover all training documents and stay
 a table; the ``KNOWN`` most frequent go to all workers, the rest are joined.
 
 Defined results: null is the empty text, a single end; with nothing to train on
-every word is unseen; ids of null train.
+every word is unseen; ids of null train; repeated rows count and are scored each; an
+empty table gives no rows.  Columns are read by the names given, others are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ length which a third of all rows share is still spread over all buckets.
 
 Defined results: a null or empty text is the single end id; a document longer than
 the capacity is cut into full pieces and a last one that may be shorter; repeated
-rows are packed as documents of their own.
+rows are packed as documents of their own, and rows equal in id, text and piece take
+their places in any order; a null id comes with the others; an empty table gives no
+rows.  Columns are read by the names given, others are ignored.
 """
 
 from __future__ import annotations

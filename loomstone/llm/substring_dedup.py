@@ -12,7 +12,8 @@ then added to it.
 
 Defined results: null has no words; a document is compared with those of strictly
 smaller id, so rows of one id leave each other alone and a null id comes last;
-windows are judged on the input.
+windows are judged on the input; an empty table gives no rows.  Columns are read by
+the names given, others pass as told.
 """
 
 from __future__ import annotations

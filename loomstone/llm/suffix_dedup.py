@@ -16,7 +16,8 @@ Stretches that can match are brought together first by the keys of their windows
 
 Defined results: null is empty; a text under ``WINDOW`` bytes loses nothing; of a
 text with a copy every byte goes, in both; what is left of a text is raw bytes and
-may break characters apart.
+may break characters apart; null and repeated ids are documents like others; an empty
+table gives no rows.  Columns are read by the names given, others are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Defined results: a null file has no pages; a broken or unknown one gives the pag
 before the fault and a row with page -1 and the reason in ``error``; faults are also
 strips that end early, pages over ``MOST_PAGE_BYTES`` and predictors of samples that
 are not whole bytes; a chain that comes back to a directory it has seen ends there.
-Files that are repeated give their rows again.
+Files that are repeated give their rows again, null ids stay null, and an empty table
+gives no rows.  Columns are read by the names given, others are ignored.
 """
 
 from __future__ import annotations
