@@ -245,3 +245,19 @@ def test_very_long_texts(spark):
     got = lexical_search.lexical_search(df, spark.createDataFrame(asked, "item_id long, text string")).collect()
     assert {(r.item_id, r["rank"]): (r.doc_id, r.score) for r in got} == ranked(rows, asked, 50)
     assert sorted(map(tuple, secret_scan.secret_scan(df).collect())) == sorted(secrets(rows))
+
+
+def test_lines_of_repeated_rows_and_their_sql(spark, tmp_path):
+    """Every row is a document, to the operator and to its SQL."""
+    import duckdb
+
+    from loomstone.llm import line_dedup
+
+    rows = [(7, "one\ntwo", "en", "s", "", 0, 0, 0, 0, "")] * 12 + [(k, f"One \nown {k}", "en", "s", "", 0, 0, 0, 0, "") for k in range(4)] + [(None, None, None, None, "", 0, 0, 0, 0, "")]
+    df = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(line_dedup.ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in line_dedup.query(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 17 and {r[2] for r in got} == {0, 1, 2}
