@@ -24,7 +24,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Markers, quotations, ends of sentences and paragraphs, words that support nothing, and thresholds.
@@ -319,3 +319,31 @@ def best_windows(pairs: DataFrame) -> DataFrame:
             yield frame.astype({"start": "Int64", "end": "Int64"}).assign(id=pdf["id"].to_numpy())[["id", "n", "share", "start", "end", "ratio"]]
 
     return pairs.select("id", "claim", "source").mapInPandas(run, "id long, n long, share double, start long, end long, ratio double")
+
+
+# --- columns --------------------------------------------------------------------------
+
+
+def snippet(text: str, chars: int = 120, more: str = "…") -> Column:
+    """A text of at most ``chars`` characters, cut at the last space before them, with a sign that there is more."""
+    head = F.substring(text, 1, chars)
+    back = F.instr(F.reverse(head), " ")
+    cut_at = F.when(back > 0, head.substr(F.lit(1), F.lit(chars) - back)).otherwise(head)
+    return F.when(F.length(text) <= chars, F.col(text)).otherwise(F.concat(cut_at, F.lit(more)))
+
+
+def claims(text: str, least: int = CLAIM_WORDS) -> Column:
+    """Whether a sentence states something: words enough, and no question."""
+    x = F.trim(text)
+    return (x != "") & ~x.endswith("?") & (F.size(F.split(x, r"\s+")) >= least)
+
+
+def with_notice(answer: str, notice: str, sign: str) -> Column:
+    """An answer with a notice below, unless it has one by its sign."""
+    return F.when(F.contains(answer, F.lit(sign)), F.col(answer)).otherwise(F.concat(answer, F.lit(f"\n\n{notice}")))
+
+
+def longest_quotation(text: Column) -> Column:
+    """The longest text between double quotes; null if there is none."""
+    quotes = F.transform(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.struct(F.length(x).alias("n"), x.alias("q")))
+    return F.array_max(quotes)["q"]

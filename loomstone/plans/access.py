@@ -62,7 +62,8 @@ def clearance_ceiling(t):
 
 @query("tenant_filter", f"WITH {CORPUS_SQL} SELECT tenant_id, doc_id FROM corpus WHERE tenant_id IN ('src1', 'src2') AND is_deleted AND doc_id NOT IN (17, 34)")
 def tenant_filter(t):
-    return t.corpus.where(F.col("tenant_id").isin("src1", "src2") & F.col("is_deleted") & ~F.col("doc_id").isin(17, 34)).select("tenant_id", "doc_id")
+    tree = {"must": [{"key": "tenant_id", "match": {"any": ["src1", "src2"]}}, {"key": "is_deleted", "match": {"value": True}}], "must_not": [{"has_id": [17, 34]}]}
+    return C.matching(t.corpus, tree).select("tenant_id", "doc_id")
 
 
 @query("effective_at", f"WITH {CORPUS_SQL}, d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE modified END AS a, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE modified + 86400 * (doc_id % 30) END AS b FROM corpus) SELECT doc_id FROM d WHERE (a IS NULL OR a <= 1706000000) AND (b IS NULL OR 1706000000 < b)")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import citations as C
 from ..operators import conflicts as N
 from ..operators import context as X
 from ..operators import guardrails as G
@@ -173,15 +174,12 @@ def citation_score(t):
 
 @query("cite_is_claim", r"SELECT conv_id, turn, trim(text) <> '' AND NOT ends_with(trim(text), '?') AND len(regexp_split_to_array(trim(text), '\s+')) >= 5 AS claim FROM conversations")
 def cite_is_claim(t):
-    x = F.trim("text")
-    return t.conversations.select("conv_id", "turn", ((x != "") & ~x.endswith("?") & (F.size(F.split(x, r"\s+")) >= 5)).alias("claim"))
+    return t.conversations.select("conv_id", "turn", C.claims("text").alias("claim"))
 
 
 @query("cite_clip", "SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE CASE WHEN strpos(reverse(substr(text, 1, 120)), ' ') > 0 THEN substr(text, 1, 120 - strpos(reverse(substr(text, 1, 120)), ' ')) ELSE substr(text, 1, 120) END || '…' END AS snippet FROM documents")
 def cite_clip(t):
-    head = F.substring("text", 1, 120)
-    back = F.instr(F.reverse(head), " ")
-    return t.documents.select("doc_id", F.when(F.length("text") <= 120, F.col("text")).otherwise(F.concat(F.when(back > 0, F.expr("substring(text, 1, 120 - instr(reverse(substring(text, 1, 120)), ' '))")).otherwise(head), F.lit("…"))).alias("snippet"))
+    return t.documents.select("doc_id", C.snippet("text").alias("snippet"))
 
 
 @query("cite_recall", r"WITH w AS (SELECT a.conv_id, a.turn, list_distinct(list_filter(regexp_extract_all(lower(a.text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 4)) AS need, lower(b.text) AS hay FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, round(len(list_filter(need, lambda x: contains(hay, substr(x, 1, 4)))) / greatest(1, len(need))::DOUBLE, 6) AS recall FROM w")
@@ -195,7 +193,7 @@ def cite_recall(t):
 
 @query("cite_notice", "SELECT conv_id, turn, CASE WHEN contains(text, 'Note: ') THEN text ELSE text || chr(10) || chr(10) || 'Note: unverified.' END AS answer FROM conversations WHERE role = 'assistant'")
 def cite_notice(t):
-    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.when(F.contains("text", F.lit("Note: ")), F.col("text")).otherwise(F.concat("text", F.lit("\n\nNote: unverified."))).alias("answer"))
+    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", C.with_notice("text", "Note: unverified.", "Note: ").alias("answer"))
 
 
 @query("leak_span", r"WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS c FROM benchmark), a AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS a FROM documents) SELECT doc_id, item_id FROM a JOIN n ON length(c) > 0 AND (CASE WHEN length(c) <= 60 THEN contains(a, c) ELSE len(list_filter(range(1, length(c) - 58, 30), lambda k: contains(a, substr(c, k, 60)))) > 0 END)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import access as A
+from ..operators import citations as C
 from ..operators import fingerprints as P
 from ..operators import embedding as M
 from ..operators import enrich as N
@@ -176,8 +177,7 @@ def cite_strip(t):
 def cite_quote(t):
     """The longest of the quotations in a text."""
     text = F.format_string('say "q" then "q%d long" end', F.col("event_id") % 7)
-    q = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
-    return t.events.select("event_id", F.array_max(F.transform(q, lambda x: F.struct(F.length(x).alias("n"), x.alias("q"))))["q"].alias("quoted"))
+    return t.events.select("event_id", C.longest_quotation(text).alias("quoted"))
 
 
 @query("clearance_check", f"WITH {CORPUS_SQL} SELECT doc_id, CASE WHEN is_deleted THEN 'deleted' WHEN classification_rank > 2 THEN 'clearance' WHEN list_contains(denied_users, 'u2') THEN 'denied' END AS violation FROM corpus WHERE is_deleted OR classification_rank > 2 OR list_contains(denied_users, 'u2')")
