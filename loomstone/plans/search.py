@@ -30,6 +30,11 @@ def nearest(t, k=S.PREFETCH, floor=None):
     return S.knn(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0, k, floor)
 
 
+def scored(t):
+    """Every hundredth vector with all others."""
+    return S.scores(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0)
+
+
 @query("cosine", "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine(t):
     e = t.embeddings
@@ -112,12 +117,12 @@ def doc_cap(t):
 
 
 _TOP_SQL = f"SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM ({_KNN})) WHERE rn <= 60"
-_FUSION_SQL = f"WITH k AS ({_TOP_SQL}), b AS (SELECT query, id, round(score, 9) AS score FROM k), z AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM b WINDOW w AS (PARTITION BY query)) SELECT query, id, round(least(1, greatest(0, (score - (m - 3 * s)) / (6 * s))), 6) AS score FROM z"
+_FUSION_SQL = f"WITH k AS ({_KNN}), b AS (SELECT query, id, round(score, 9) AS score FROM k), z AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM b WINDOW w AS (PARTITION BY query)) SELECT query, id, round(least(1, greatest(0, (score - (m - 3 * s)) / (6 * s))), 6) AS score FROM z"
 
 
 @query("fusion_kind", _FUSION_SQL)
 def fusion_kind(t):
-    b = nearest(t).select("query", "id", F.round("score", 9).alias("score"))
+    b = scored(t).select("query", "id", F.round("score", 9).alias("score"))
     return S.dbsf(b).select("query", "id", F.round("score", 6).alias("score"))
 
 
