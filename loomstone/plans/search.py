@@ -126,9 +126,10 @@ def fusion_kind(t):
     return S.dbsf(b).select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query("rrf_offline", f"WITH k AS ({_TOP_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k WHERE score > 0) SELECT query, id, round(0.05 * score, 6) AS score, round(1 / (60.0 + rank), 9) AS fused FROM r")
+@query("rrf_offline", f"WITH k AS ({_KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k WHERE score > 0) SELECT query, id, round(0.05 * score, 6) AS score, round(1 / (60.0 + rank), 9) AS fused FROM r")
 def rrf_offline(t):
-    r = nearest(t).where("score > 0")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    r = scored(t).where("score > 0").withColumn("rank", F.row_number().over(best))
     return r.select("query", "id", F.round(0.05 * F.col("score"), 6).alias("score"), F.round(1 / (60.0 + F.col("rank")), 9).alias("fused"))
 
 
