@@ -116,7 +116,6 @@ def doc_cap(t):
     return S.capped(r, "query", "document", "rank", 3, 1).select("query", "rank", "dropped_reason")
 
 
-_TOP_SQL = f"SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM ({_KNN})) WHERE rn <= 60"
 _FUSION_SQL = f"WITH k AS ({_KNN}), b AS (SELECT query, id, round(score, 9) AS score FROM k), z AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM b WINDOW w AS (PARTITION BY query)) SELECT query, id, round(least(1, greatest(0, (score - (m - 3 * s)) / (6 * s))), 6) AS score FROM z"
 
 
@@ -166,9 +165,9 @@ def rerank_noop(t):
     return _ranked(t).select("query", "id", F.round((F.col("n") - F.col("rank") + 1) / F.col("n"), 6).alias("score"))
 
 
-@query("rerank_fixture", f"SELECT query, id, round(1 / (1 + exp(-12 * (score - 0.30))), 6) AS score FROM ({_TOP_SQL})")
+@query("rerank_fixture", f"SELECT query, id, round(1 / (1 + exp(-12 * (score - 0.30))), 6) AS score FROM ({_KNN})")
 def rerank_fixture(t):
-    return nearest(t).select("query", "id", F.round(1 / (1 + F.exp(-12 * (F.col("score") - 0.30))), 6).alias("score"))
+    return scored(t).select("query", "id", F.round(1 / (1 + F.exp(-12 * (F.col("score") - 0.30))), 6).alias("score"))
 
 
 @query("relevance_cal", "SELECT event_id, round(1 / (1 + exp(-least(60, greatest(-60, value - 50)))), 6) AS calibrated, round(least(1, greatest(0, value / 2000 / 0.05)), 6) AS plain FROM events")

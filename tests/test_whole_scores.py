@@ -5,7 +5,7 @@ import pytest
 from loomstone.plans import registry
 
 
-@pytest.mark.parametrize("name", ["fusion_kind", "rrf_offline"])
+@pytest.mark.parametrize("name", ["fusion_kind", "rrf_offline", "rerank_fixture"])
 def test_all_others_are_scored(spark, tmp_path, name):
     """More vectors than any list of best ones has: every pair of an asked one with another is in the result, as in SQL."""
     v = np.random.default_rng(2).normal(size=(230, 6)).round(3)
