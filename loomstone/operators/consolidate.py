@@ -197,8 +197,8 @@ def write_back(candidates: DataFrame, memories: DataFrame, profiles: DataFrame,
 
 def _nearest(asked: DataFrame, held: DataFrame) -> DataFrame:
     """(user, id, other, sim, ot): of each asked vector the most like held one of its user, the lesser id on a tie."""
-    from .search import cosine
+    from .search import best_in_group
 
-    j = asked.join(held, "user").withColumn("sim", F.round(cosine("vector", "ov"), 9))
-    best = j.groupBy("user", "id").agg(F.max_by(F.struct("other", "sim", "ot"), F.struct("sim", -F.col("other"))).alias("b"))
-    return best.select("user", "id", "b.other", "b.sim", "b.ot")
+    best = best_in_group(asked.select(F.col("id").alias("query"), F.col("user").alias("grp"), "vector"), held.select(F.col("other").alias("id"), F.col("user").alias("grp"), F.col("ov").alias("vector")), itself=True)
+    best = best.select(F.col("grp").alias("user"), F.col("query").alias("id"), F.col("id").alias("other"), F.col("score").alias("sim"))
+    return best.join(held.select("user", "other", "ot"), ["user", "other"]).select("user", "id", "other", "sim", "ot")
