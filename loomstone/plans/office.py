@@ -7,11 +7,11 @@ import re
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import office as O
 from ..operators.graph import spread
+from ..operators.parsing import grouped
 from .base import query
 
 #: Characters that XML cannot hold.
@@ -74,9 +74,8 @@ def _files(df, make):
     """id and content of a file made of each row (id, ...)."""
 
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                yield pd.DataFrame({"id": [row.id], "content": [make(row)]})
+        made = ((row.id, make(row)) for pdf in batches for row in pdf.itertuples(index=False))
+        yield from grouped((len(content), {"id": i, "content": content}) for i, content in made)
 
     return spread(df).mapInPandas(run, "id long, content binary")
 

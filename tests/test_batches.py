@@ -16,3 +16,12 @@ def test_batches_are_small_unless_told(spark):
         assert spark.conf.get(BATCH_LIMIT) == "5000000"
     finally:
         spark.conf.set(BATCH_LIMIT, before) if before else spark.conf.unset(BATCH_LIMIT)
+
+
+def test_small_rows_share_a_frame():
+    """Frames are of some bytes or rows, and lose nothing; a large row stands alone."""
+    from loomstone.operators.parsing import grouped
+
+    sizes = [3, 4, 50, 1, 1, 1, 1, 1]
+    got = [f["id"].tolist() for f in grouped(((n, {"id": k}) for k, n in enumerate(sizes)), 7, 4)]
+    assert got == [[0, 1], [2], [3, 4, 5, 6], [7]] and list(grouped(iter(()))) == []
