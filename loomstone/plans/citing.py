@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import assemble as A
 from ..operators import citations as C
 from ..operators import output as O
-from ..operators.graph import spread
+from ..operators.graph import cut, spread
 from .base import query, strings
 from .memory import turns
 
@@ -29,9 +29,10 @@ def printed(t):
     return one.union(d.select(F.col("doc_id") - 1, F.lit(2), "doc_id", "text"))
 
 
-def marks(t):
-    parsed = C.read_answers(told(t))
-    return parsed, C.checked(parsed, printed(t))
+def marks(t, answers=None):
+    """Answers as read and their markers as checked, each written once: what follows uses both more than once."""
+    parsed = cut(C.read_answers(told(t) if answers is None else answers))
+    return parsed, cut(C.checked(parsed, printed(t)))
 
 
 @query("cite_extract")
@@ -71,7 +72,7 @@ def callers(t):
     i = F.col("answer_id")
     answers = told(t).withColumn("answer", F.when(i % 6 == 1, "Sorry, no.").when(i % 6 == 2, F.concat("answer", F.lit(" Write to jane.doe@example.com."))).otherwise(F.col("answer")))
     who = t.documents.select(F.col("doc_id").alias("answer_id"), F.col("source").alias("tenant"), F.concat(F.lit("u"), (F.col("doc_id") % 3).cast("string")).alias("user"), strings("user", "auditor").alias("roles"), F.array(F.concat(F.lit("g"), (F.col("doc_id") % 5).cast("string"))).alias("groups"), (F.lit(3) - F.col("doc_id") % 5 % 4).cast("int").alias("clearance"))
-    grounded = C.report(C.read_answers(answers), C.checked(C.read_answers(answers), printed(t))).select("answer_id", "groundedness")
+    grounded = C.report(*marks(t, answers)).select("answer_id", "groundedness")
     return answers.join(who, "answer_id").join(grounded, "answer_id")
 
 
