@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +31,43 @@ def effective_dates(text: Column) -> tuple[Column, Column]:
     return start, F.when(start.isNull() | (end > start), end)
 
 
+def _frequent(k: int):
+    """The ``k`` most frequent words of each row, the first found first on a tie: a counter has them in that order."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for words in b.column("words").to_pylist():
+                own = Counter((words or "").split())
+                for w in STOP_WORDS:
+                    own.pop(w, None)
+                found.append(own.most_common(k))
+            flat = [x for own in found for x in own]
+            at = [k for k, own in enumerate(found) for _ in own]
+            places = [n for own in found for n in range(1, len(own) + 1)]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array([w for w, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int64()), pa.array(places, pa.int32())], names=["id", "word", "n", "place"])
+
+    return run
+
+
 def keyword_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = KEYWORDS) -> DataFrame:
-    """(id, word, n, place): the ``k`` most frequent words of each document that are no stop words, ties by first place."""
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}]{3,}"), F.lit(0))
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "word")).where(~F.col("word").isin(*STOP_WORDS))
+    """(id, word, n, place): the ``k`` most frequent words of each document that are no stop words, ties by first place.
+
+    Words are counted where the text is and nothing is shuffled; only the words of rows
+    that have an id in common are brought together.
+    """
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0))
+    schema = f"id {dict(d.dtypes)['id']}, word string, n long, place int"
+    alone = lambda rows: rows.select("id", F.array_join(words, " ").alias("words")).mapInArrow(_frequent(k), schema)
+    twice = cut(d.groupBy("id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col("id").alias("_twice")))
+    if not twice.limit(1).count():
+        return alone(d)
+    same = F.col("id").eqNullSafe(F.col("_twice"))
+    each = d.join(twice, same, "left_semi").select("id", F.posexplode(words).alias("pos", "word")).where(~F.col("word").isin(*STOP_WORDS))
     g = each.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))).where(F.col("place") <= k).select("id", "word", "n", "place")
+    g = g.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))).where(F.col("place") <= k)
+    return alone(d.join(twice, same, "left_anti")).union(g.select("id", "word", "n", "place"))
 
 
 def clean_keywords(raw: Column, most: int = MOST_KEYWORDS) -> Column:
