@@ -66,8 +66,7 @@ dense AS (SELECT query, id, sum(v.w * qv.w) AS score FROM v JOIN qv USING (bucke
 
 @query("embed_tfidf", f"WITH {TERMS_SQL}, docs AS (SELECT * FROM documents), {_BM_SQL}, {_VEC_SQL} SELECT id, bucket, round(w, 6) AS w FROM v")
 def embed_tfidf(t):
-    counts = S.tokens(t.documents, "doc_id", "text").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    v = S.tfidf(counts, counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), t.documents.agg(F.count(F.lit(1)).alias("n")))
+    v = S.tfidf(t.documents)
     return v.select("id", "bucket", F.round("w", 6).alias("w"))
 
 

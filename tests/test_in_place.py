@@ -1,10 +1,12 @@
 """Words are counted where their texts are: what is shuffled is small, and results are as counted by hand."""
 
+import math
 import re
 from collections import Counter
+from hashlib import md5
 
 from loomstone.functions.text import STOP_WORDS
-from loomstone.operators import enrich
+from loomstone.operators import enrich, search
 from loomstone.plans import registry
 
 ROWS = [(1, "Blue tree blue sky the tree"), (2, None), (3, "gold"), (3, "tree gold tree"), (None, "alpha beta"), (None, "beta"), (4, "12 -- ")]
@@ -33,3 +35,22 @@ def test_keywords_are_counted_in_their_rows(spark, sf):
             want[i] = [(w, n, k) for k, (w, n) in enumerate(top, 1)]
     assert {i: dict((w, n) for w, n, _ in x) for i, x in got.items() if i != 3} == {i: dict((w, n) for w, n, _ in x) for i, x in want.items() if i != 3}
     assert got[1] == want[1] and sorted(w for w, *_ in got[3]) == ["gold", "tree"]
+
+
+def test_vectors_move_terms_once_and_weights_once(spark, sf):
+    assert exchanges(registry.queries()["embed_tfidf"](spark, sf)) == 2
+    for rows in (ROWS, ROWS[:3]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        own = {}
+        for i, text in rows:
+            own.setdefault(i, Counter()).update(re.findall(r"\w+", (text or "").lower()))
+        df, want = Counter(t for c in own.values() for t in c), {}
+        for i, c in own.items():
+            for t, n in c.items():
+                key = (i, int(md5(t.encode()).hexdigest()[:6], 16) % 512)
+                want[key] = want.get(key, 0) + n * (math.log((len(rows) + 1) / (df[t] + 1)) + 1)
+        norm = Counter()
+        for (i, _), w in want.items():
+            norm[i] += w * w
+        got = {(r.id, r.bucket): r.w for r in search.tfidf(docs).collect()}
+        assert got.keys() == want.keys() and all(abs(w - want[k] / math.sqrt(norm[k[0]])) < 1e-9 for k, w in got.items())
