@@ -19,8 +19,10 @@ supports nothing; a number without a source is ``unknown_marker``.
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -42,12 +44,12 @@ FOUND = "struct<k:int,sentence:int,reason:string,start:int,end:int,ratio:double>
 
 
 class _Folds(dict):
-    """A character's letters and digits in normal form; all else is a space."""
+    """A character's letters and digits in normal form, by its code; all else is a space."""
 
-    def __missing__(self, char: str) -> str:
-        folded = unicodedata.normalize("NFKC", char).casefold()
-        self[char] = "".join(x if x.isalnum() else " " for x in folded)
-        return self[char]
+    def __missing__(self, code: int) -> str:
+        folded = unicodedata.normalize("NFKC", chr(code)).casefold()
+        self[code] = "".join(x if x.isalnum() else " " for x in folded)
+        return self[code]
 
 
 _FOLDS = _Folds()
@@ -55,19 +57,24 @@ _FOLDS = _Folds()
 
 def normal_form(text: str) -> tuple[str, np.ndarray]:
     """Words in normal form with one space between them, and for each character the place in ``text`` that it came from."""
-    pieces = [_FOLDS[c] for c in text]
-    flat = "".join(pieces)
-    if not flat.strip():
+    flat = text.translate(_FOLDS)
+    normal = " ".join(flat.split())
+    if not normal:
         return "", np.zeros(0, np.int64)
-    place = np.repeat(np.arange(len(text)), [len(p) for p in pieces])
+    place = np.arange(len(text))
+    if len(flat) > len(text):  # no character becomes nothing, some become several
+        code, width = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.ones(len(text), np.int64)
+        for c in map(ord, set(text)):
+            if len(_FOLDS[c]) > 1:
+                width[code == c] = len(_FOLDS[c])
+        place = np.repeat(place, width)
     space = np.frombuffer(flat.encode("utf-32-le"), np.uint32) == 32
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
     solid = np.flatnonzero(~space)
     keep[: solid[0]] = False
     keep[solid[-1] + 1 :] = False
-    at = np.flatnonzero(keep)
-    return "".join(map(flat.__getitem__, at.tolist())), place[at]
+    return normal, place[keep]
 
 
 def content_words(normal: str) -> list[str]:
@@ -87,6 +94,42 @@ def common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Bits of a word of ``common_with``, so that a carry has room in it, and cells (words by characters by windows) that it has at once.
+WORD, CELLS = 62, 1 << 19
+#: Windows of best bounds that are compared before the others.
+FIRST = 128
+
+
+def common_with(a: str, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``common`` of ``a`` with each window of a text (codes of its characters): all windows go on by one character at a time."""
+    letters, words = sorted(set(map(ord, a))), -(-len(a) // WORD)
+    where = np.zeros((words, len(letters) + 1), np.int64)  # the last column is of letters that ``a`` has not
+    for k, c in enumerate(a):
+        where[k // WORD, letters.index(ord(c))] |= 1 << k % WORD
+    at = np.minimum(np.searchsorted(letters, code), len(letters) - 1)
+    letter = np.append(np.where(np.array(letters)[at] == code, at, len(letters)), len(letters))
+    full = np.full((words, 1), (1 << WORD) - 1)
+    full[-1] = (1 << len(a) - WORD * (words - 1)) - 1
+    out, length = np.zeros(len(start), np.int64), int((end - start).max(initial=1))
+    step = max(FIRST, CELLS // (words * length))
+    for first in range(0, len(start), step):
+        s, e = start[first : first + step], end[first : first + step]
+        at = s + np.arange(length)[:, None]
+        now = where[:, letter[np.where(at < e, at, len(code))]]
+        row = np.repeat(full, len(s), axis=1)
+        hit, total = np.empty_like(row), np.empty_like(row)
+        for j in range(length):
+            np.bitwise_and(row, now[:, j], out=hit)
+            np.add(row, hit, out=total)
+            for k in range(1, words):
+                total[k] += total[k - 1] >> WORD
+            np.bitwise_xor(row, hit, out=row)
+            np.bitwise_and(total, full, out=total)
+            np.bitwise_or(row, total, out=row)
+        out[first : first + step] = len(a) - np.bitwise_count(row).sum(axis=0, dtype=np.int64)
+    return out
+
+
 def blocks(a: str, b: str) -> difflib.SequenceMatcher:
     return difflib.SequenceMatcher(None, a, b, autojunk=False)
 
@@ -97,13 +140,22 @@ class Source:
     def __init__(self, text: str | None):
         self.text = text or ""
         self.normal, self.place = normal_form(self.text)
-        words = list(re.finditer(r"\S+", self.normal))
-        self.start = np.fromiter((m.start() for m in words), np.int64, len(words))
-        self.end = np.fromiter((m.end() for m in words), np.int64, len(words))
-        self.by_stem: dict[str, list[int]] = {}
-        for k, m in enumerate(words):
-            self.by_stem.setdefault(m[0][:STEM], []).append(k)
-        self.numbers = set(re.findall(r"\d{2,}", self.normal))
+        self.code = np.frombuffer(self.normal.encode("utf-32-le"), np.uint32)
+        space = np.flatnonzero(self.code == 32)
+        self.start = np.concatenate([[0], space + 1]) if self.normal else np.zeros(0, np.int64)
+        self.end = np.append(space, len(self.normal)) if self.normal else np.zeros(0, np.int64)
+        self.padded = f" {self.normal} "
+
+    @functools.cached_property
+    def numbers(self) -> set[str]:
+        return set(re.findall(r"\d{2,}", self.normal))
+
+    def with_stem(self, stem: str) -> np.ndarray:
+        """The words that begin with a stem; a shorter one is a whole word."""
+        look, found, at = f" {stem}" if len(stem) == STEM else f" {stem} ", [], -1
+        while (at := self.padded.find(look, at + 1)) >= 0:
+            found.append(at)
+        return np.searchsorted(self.start, found)
 
     def original(self, start: int, end: int) -> tuple[int, int]:
         return int(self.place[start]), int(self.place[end - 1]) + 1
@@ -116,18 +168,17 @@ class Source:
         stop = np.maximum(np.searchsorted(self.end, self.start + width, side="right"), np.arange(len(self.start)) + 1)
         n = np.arange(len(self.start))
         hits = np.zeros(len(n), np.int64)
-        for stem in {w[:STEM] for w in need}:
-            at = np.array(self.by_stem.get(stem, []), np.int64)
-            hits += sum(w[:STEM] == stem for w in need) * (np.searchsorted(at, n) < np.searchsorted(at, stop))
+        for stem, times in Counter(w[:STEM] for w in need).items():
+            at = self.with_stem(stem)
+            hits += times * (np.searchsorted(at, n) < np.searchsorted(at, stop))
         use = np.flatnonzero(hits)
         return self.start[use], self.end[stop[use] - 1], hits[use] / max(1, len(need))
 
     def _letters_in_common(self, claim: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each window how many letters it has in common with a claim, in any order."""
-        code = np.frombuffer(self.normal.encode("utf-32-le"), np.uint32)
         out = np.zeros(len(start), np.int64)
         for c in set(claim):
-            sums = np.concatenate([[0], np.cumsum(code == ord(c))])
+            sums = np.concatenate([[0], np.cumsum(self.code == ord(c))])
             out += np.minimum(sums[end] - sums[start], claim.count(c))
         return out
 
@@ -140,16 +191,32 @@ class Source:
         size = len(claim) + end - start
         bound = np.maximum(2 * self._letters_in_common(claim, start, end) / size, score)
         top = max(floor, float(score.max()))
-        for k in np.argsort(-bound, kind="stable").tolist():
-            if bound[k] < top:
-                break
-            window = self.normal[start[k] : end[k]]
-            if score[k] < 1 and 2 * common(claim, window) / size[k] >= top:
-                score[k] = max(score[k], blocks(claim, window).ratio())
-                top = max(top, float(score[k]))
+        open_ = np.flatnonzero((bound >= top) & (score < 1))
+        open_ = open_[np.argsort(-bound[open_], kind="stable")]
+        # A few of best bounds first, for what they reach leaves few of the others open.
+        top = self._likeness(claim, open_[:FIRST], start, end, size, score, top)
+        left = open_[FIRST:]
+        self._likeness(claim, left[bound[left] >= top], start, end, size, score, top)
         k = int(score.argmax())
         return (int(start[k]), int(end[k]), float(score[k])) if score[k] >= floor else None
 
+    def _likeness(self, claim: str, now: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray, score: np.ndarray, top: float) -> float:
+        """Raises the scores of windows to their likeness where that can reach ``top``; the best score so far."""
+        if not len(now):
+            return top
+        bound = 2 * common_with(claim, self.code, start[now], end[now]) / size[now]
+        known: dict[str, float] = {}  # a text that repeats itself has many equal windows
+        for n in np.argsort(-bound, kind="stable").tolist():
+            if bound[n] < top:
+                break
+            k = now[n]
+            window = self.normal[start[k] : end[k]]
+            if window not in known:
+                known[window] = blocks(claim, window).ratio()
+            score[k] = max(score[k], known[window])
+            top = max(top, float(score[k]))
+        return top
+
     def find(self, probe: str, verbatim: bool, numbers: bool) -> tuple[int, int, float] | None:
         """Where a span of an answer is in the text, and how alike: exactly, or as its best window."""
         claim, _ = normal_form(probe[:LONG_SPAN])
