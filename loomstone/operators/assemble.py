@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import folds
 from .context import shed
+from .graph import cut
 
 #: Fixed: a window and what of it is kept free for the answer, shares of sources and memories, turns that stay.
 WINDOW, RESERVED, SOURCES, MEMORIES, LIVE = 120_000, 16_000, 0.55, 0.08, 4
@@ -63,6 +64,7 @@ def assemble(asked: DataFrame, turns: DataFrame, sources: DataFrame, memories: D
         .union(t.select("grp", F.lit("turn"), "id", none.cast("double"), "id", "tokens", "pinned", "dropped_reason"))
         .union(asked.where("summary > 0").select("grp", F.lit("summary"), F.lit(0).cast("long"), none.cast("double"), F.lit(0).cast("long"), F.col("summary").cast("long"), F.lit(False), none.cast("string")))
     )
+    items = cut(items)  # all that follows starts from what has been taken
     inside = items.where("dropped_reason IS NULL")
     size = inside.groupBy("grp").agg(F.sum("tokens").alias("size"))
     need = asked.join(size, "grp", "left").select("grp", (F.col("fixed") + F.coalesce("size", F.lit(0)) - room).alias("need"))
@@ -78,15 +80,15 @@ def assemble(asked: DataFrame, turns: DataFrame, sources: DataFrame, memories: D
 
 
 def _history(turns: DataFrame) -> DataFrame:
-    """(grp, id) of the turns that are taken: of each session in one task, for a turn that does not fit leaves room for older ones."""
-
-    def fold(pdf):
-        pdf = pdf.sort_values("id", ascending=False)
-        left, take = int(pdf["left"].iloc[0]) - int(pdf.loc[pdf["must"], "tokens"].sum()), []
-        for must, n in zip(pdf["must"], pdf["tokens"], strict=True):
-            fits = bool(must) or n <= left
-            left -= 0 if must or not fits else int(n)
-            take.append(fits)
-        return pdf.loc[take, ["grp", "id"]]
-
-    return turns.select("grp", "id", "tokens", "must", "left").groupBy("grp").applyInPandas(fold, "grp long, id long")
+    """(grp, id) of the turns that are taken, from the newest: one that does not fit leaves room for older ones."""
+
+    def step(room, row):
+        grp, i, n, must, left, always = row
+        room = left - always if room is None else room
+        if must:
+            return room, (grp, i)
+        return (room - n, (grp, i)) if n <= room else (room, None)
+
+    always = F.sum(F.when(F.col("must"), F.col("tokens")).otherwise(0)).over(Window.partitionBy("grp"))
+    t = turns.select("grp", "id", "tokens", "must", "left", always.alias("always"))
+    return folds.in_order(t, "grp", [F.desc("id")], step, "grp long, id long")

@@ -6,8 +6,11 @@ import difflib
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 STEM, QUOTE, CLOSE = 4, 0.9, 0.6
 _TOKEN = re.compile(r"\w+")
@@ -16,18 +19,40 @@ _DUTY = re.compile(r"\b(?:must|shall|required|may|allowed|permitted|prohibited)\
 _QUANTITY = re.compile(r"(\d+(?:[.,]\d+)?)\s*(%|[^\W\d_]+)")
 
 
+def in_order(rows: DataFrame, by: str, order: list, step, schema: str) -> DataFrame:
+    """What ``step(state, row)`` makes of the rows of each group in order: (state, values or None); a group's first state is None.
+
+    Groups come one after the other and a row at a time, so many small ones cost no
+    more than their rows and a large one needs no room; rows are tuples of ``rows``.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        key, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != key:
+                    key, state = row[0], None
+                state, made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(kinds)], names=names)
+
+    kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
+    columns = [by, *(c for c in rows.columns if c != by)]
+    return rows.select(columns).repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
 def pack_context(sources: DataFrame, budget: int) -> DataFrame:
     """(grp, id, dropped_reason): sources by falling density, each taken if it still fits; one that does not is passed over."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["density", "id"], ascending=[False, True])
-        left, reasons = budget, []
-        for n in pdf["tokens"]:
-            reasons.append(None if n <= left else "budget")
-            left -= n if n <= left else 0
-        return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "dropped_reason": reasons})
-
-    return sources.groupBy("grp").applyInPandas(fold, "grp long, id long, dropped_reason string")
+    def step(left, row):
+        grp, i, n, _ = row
+        left = budget if left is None else left
+        return (left - n, (grp, i, None)) if n <= left else (left, (grp, i, "budget"))
+
+    return in_order(sources.select("grp", "id", "tokens", "density"), "grp", [F.desc("density"), "id"], step, "grp long, id long, dropped_reason string")
 
 
 def select_history(turns: DataFrame, budget: int, always: int = 4) -> DataFrame:

@@ -88,7 +88,7 @@ def output_guard(t):
 @query("ctx_assemble")
 def ctx_assemble(t):
     """A prompt for each conversation: its turns, those of the next one as sources, and of the one after as memory lines."""
-    c = turns(t)
+    c = cut(turns(t).select("conv_id", "turn", "tokens", "pinned"))  # texts are read and measured once
     asked = c.groupBy(F.col("conv_id").alias("grp")).agg(F.lit(60).alias("fixed"), (F.max("turn") % 3 * 15).cast("long").alias("summary"))
     own = c.select(F.col("conv_id").alias("grp"), F.col("turn").alias("id"), "tokens", "pinned")
     sources = c.select((F.col("conv_id") - 1).alias("grp"), F.col("turn").alias("id"), "tokens", (F.col("turn") % 4 / 2).alias("value")).join(asked.select("grp"), "grp")
