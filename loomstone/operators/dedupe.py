@@ -41,7 +41,7 @@ def ingest(chunks: DataFrame, corpus: DataFrame, least_chars: int = LEAST_CHARS,
     c = cut(c.join(corpus.groupBy("digest").agg(F.min("owner").alias("owner")), "digest", "left").withColumn("foreign", (F.col("text") != "") & F.coalesce(F.col("owner") != F.col("document"), F.lit(False))))
     own = c.where("text <> '' and not foreign")
     first = own.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("text", "id").alias("text"))
-    prints = P.simhash(first.where(F.length("text") >= least_chars), "id", "text")
+    prints = cut(P.simhash(first.where(F.length("text") >= least_chars), "id", "text"))  # used three times
     # A later row of an equal fingerprint never stays: what drops the first of them is as close to the others.
     later = P.members(prints).where("id <> representative").select("id", F.lit(False).alias("never"))
     near = P.near_pairs(prints, most).select("a", "b")
