@@ -54,3 +54,10 @@ def test_vectors_move_terms_once_and_weights_once(spark, sf):
             norm[i] += w * w
         got = {(r.id, r.bucket): r.w for r in search.tfidf(docs).collect()}
         assert got.keys() == want.keys() and all(abs(w - want[k] / math.sqrt(norm[k[0]])) < 1e-9 for k, w in got.items())
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    assert exchanges(search.term_counts(docs.where("doc_id < 3"))) == 0
+    got = {(r.id, r.term): (r.tf, r.dl) for r in search.term_counts(docs).collect()}
+    assert got[1, "tree"] == (2, 6) and got[3, "tree"] == (2, 3) and got[None, "beta"] == (2, 2) and got[2, None][0] == 1
