@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
+from ..operators import dispatch as X
 from ..operators import fingerprints as P
 from ..operators import folds as D
 from ..operators import guardrails as G
@@ -36,8 +37,24 @@ def parse_csv(t):
 
 @query("parse_dispatch")
 def parse_dispatch(t):
-    parts = [R.blocks(t.documents, "doc_id", "text", "text"), R.blocks(t.pages, "page_id", "html", "html")]
-    return parts[0].select(F.lit("text").alias("format"), "kind").union(parts[1].select(F.lit("html"), "kind")).groupBy("format", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Documents and pages as one feed: each row tells its parser by a media type, a file name, an address, or (documents) by nothing."""
+    i, k, page = F.col("doc_id"), F.pmod("doc_id", F.lit(4)), F.pmod("page_id", F.lit(4))
+    docs = t.documents.select(
+        F.concat(F.lit("d"), i).alias("id"),
+        F.when(F.pmod(i, F.lit(5)) == 0, F.concat(F.lit(" Document "), i)).alias("title"),
+        F.when(k == 0, "Text/Plain; charset=utf-8").when(k == 3, "application/octet-stream").alias("media_type"),
+        F.when(k == 1, F.concat(F.lit("a.html/note_"), i, F.lit(".TXT"))).when(k == 3, F.concat(F.lit("log-"), i)).alias("filename"),
+        F.col("text").alias("content_text"),
+    )
+    pages = t.pages.select(
+        F.concat(F.lit("p"), "page_id").alias("id"),
+        F.when(page == 0, " text/HTML; charset=utf-8").when(page == 1, "application/xhtml+xml").alias("media_type"),
+        F.when(page == 2, F.concat(F.lit("site/page-"), "page_id", F.lit(".HTM"))).alias("filename"),
+        F.when(page == 3, F.concat(F.coalesce(F.substring_index("url", "?", 1), F.lit("")), F.lit("/index.html"))).otherwise(F.col("url")).alias("source_uri"),
+        F.encode("html", "utf-8").alias("content_bytes"),
+    )
+    parsed = X.documents(docs.unionByName(pages, allowMissingColumns=True), "id")
+    return X.blocks(parsed).groupBy("format", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("title").alias("titles"))
 
 
 @query("section_path")

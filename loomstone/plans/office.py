@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -9,6 +10,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
 
+from ..operators import dispatch as X
 from ..operators import office as O
 from ..operators.graph import spread
 from ..operators.parsing import grouped
@@ -106,3 +108,47 @@ def parse_xlsx(t):
     g = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("rows"))
     files = _files(g, lambda r: xlsx_of(f"C{r.id}", [["id", "status", "clerk"], *([int(x["o_orderkey"]), x["o_orderstatus"], x["o_orderpriority"]] for x in r.rows)]))
     return O.blocks(files, "id", "content").select("id", "pos", "kind", F.md5("text").alias("digest"))
+
+
+_OPEN = "application/vnd.openxmlformats-officedocument."
+#: Formats that documents are written in, by the remainder of their ids: ending and media type.
+WRITTEN = {
+    "txt": "text/plain",
+    "md": "text/markdown",
+    "html": "text/html",
+    "csv": "text/csv",
+    "tsv": X.TABS,
+    "docx": f"{_OPEN}wordprocessingml.document",
+    "pptx": f"{_OPEN}presentationml.presentation",
+    "xlsx": f"{_OPEN}spreadsheetml.sheet",
+}
+
+
+def written(doc_id: int, body: str) -> bytes:
+    """A document as a file of its format."""
+    ending, lines = list(WRITTEN)[doc_id % len(WRITTEN)], body.split("\n")
+    grid = [["line", "text"], *([k, x] for k, x in enumerate(lines))]
+    if ending in ("csv", "tsv"):
+        out = io.StringIO()
+        csv.writer(out, delimiter="\t" if ending == "tsv" else ",").writerows(grid)
+        return out.getvalue().encode()
+    if ending == "docx":
+        return docx_of(f"Document {doc_id}", lines)
+    if ending == "pptx":
+        return pptx_of([(f"Slide of {doc_id}", lines), ("", ["end"])])
+    if ending == "xlsx":
+        return xlsx_of(f"Sheet {doc_id}", grid)
+    if ending == "html":
+        return (f"<title>Page {doc_id}</title><h2>Lines</h2>" + "".join(f"<p>{escape(x)}</p>" for x in lines)).encode()
+    return (f"# Document {doc_id}\n\n{body}" if ending == "md" else body).encode()
+
+
+@query("parse_formats")
+def parse_formats(t):
+    """Documents written as files of eight formats; every other eight of them say their media type, the others have a name."""
+    files = _files(t.documents.select(F.col("doc_id").alias("id"), "text"), lambda r: written(r.id, r.text or ""))
+    i, of = F.col("id"), lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod("id", F.lit(len(WRITTEN))) + 1).cast("int"))
+    typed = F.pmod(F.floor(i / len(WRITTEN)), F.lit(2)) == 0
+    named = files.select("id", F.when(typed, of(WRITTEN.values())).alias("media_type"), F.when(~typed, F.concat(F.lit("files/the_doc-"), i, F.lit("."), of(WRITTEN))).alias("filename"), F.col("content").alias("content_bytes"))
+    texts = F.transform("blocks", lambda b: F.concat_ws(" ", b["kind"], b["text"]))
+    return X.documents(named, "id").select("id", "format", "title", "page_count", "error", F.size("blocks").alias("n"), F.md5(F.array_join(texts, "\n")).alias("digest"))
